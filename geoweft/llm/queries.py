@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import bpe, token_store
+from geoweft.llm import bpe, packing, token_store
 from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +19,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     token_store.write_store(table(spark, sf_dir, "documents"), out, WORD_BPE)
@@ -26,7 +30,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op5_token_store)}
+    return {f.__name__: f for f in (op1_bpe, op4_packing, op5_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
