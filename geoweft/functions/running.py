@@ -16,16 +16,16 @@ def order_buckets(df: DataFrame, column: str, buckets: int, error: float = 0.002
 def bucket_of(column: Column, splits: list[float]) -> Column:
     """Number of split points below the value: a monotone bucket number; null goes to -1.
 
-    Written as a balanced tree of comparisons, so a row costs log(buckets) tests.
+    A binary search over a constant array, so a row costs log(buckets) steps.
     """
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column > F.lit(int(splits[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(column.isNull(), F.lit(-1)).otherwise(tree(0, len(splits)))
+    if not splits:
+        return F.when(column.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    depth = len(splits).bit_length()
+    beyond = (1 << 63) - 1
+    edges = F.array(*[F.lit(int(x)).cast("long") for x in splits + [beyond] * ((1 << depth) - len(splits))])
+    steps = F.array(*[F.lit(1 << k) for k in range(depth - 1, -1, -1)])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < column, at + step).otherwise(at))
+    return F.when(column.isNull(), F.lit(-1)).otherwise(found)
 
 
 def running_total(df: DataFrame, value: str, order: list[str], bucket: str, out: str, by: list[str] | None = None) -> DataFrame:
