@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import bpe, fingerprints, packing, token_store, warc
+from geoweft.llm import bpe, fingerprints, packing, simhash, token_store, warc
 from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,8 +40,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, out)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store)}
+    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
