@@ -30,9 +30,7 @@ from geoweft.llm.tokens import SegmentEncoder, byte_letters
 class SpeculativeBpe(SegmentEncoder):
     """Encodes and decodes with a tokenizers JSON file; merging is done here, not by the library."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        spec = self.spec
+    def _ready(self, spec: dict) -> None:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""

@@ -14,6 +14,8 @@ __all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts. Python gets it a thousand rows at a time, whatever their length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,7 +31,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of one slice hold about most_bytes, or one row."""
     for batch in batches:
         column, start, held = batch.column(text), 0, 0

@@ -95,7 +95,7 @@ def _cutter(path: str, end_id: int):
                     stops.append(x)
                     digests.append(digest)
                     payloads.append(None if digest in seen else chunk)
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 200_000:
                         seen.add(digest)
                     last = x
             take = pa.array(own, pa.int32())

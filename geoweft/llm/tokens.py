@@ -24,7 +24,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 
 
 class SegmentEncoder:
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 350_000, longest: int = 64):
         """most: segments, and words, kept between batches; longest: characters of a kept one."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -34,7 +34,6 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spec = spec
         self.drops_space = spec["pre_tokenizer"]["type"] != "ByteLevel"
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
@@ -48,10 +47,14 @@ class SegmentEncoder:
         pattern = pattern.replace(r"[^\s\p{L}", rf"[^{SPACE}\p{{L}}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.words_of = regex.compile(pattern).findall
         self.most, self.longest = most, longest
+        self._ready(spec)
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _ready(self, spec: dict) -> None:
+        """For subclasses: takes what they need from the tokenizer's description."""
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -125,15 +128,14 @@ class WordRankEncoder(SegmentEncoder):
     before any other merge. Ids are those of the tokenizers library.
     """
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def _ready(self, spec: dict) -> None:
         import tiktoken
 
-        vocab, mark = self.spec["model"]["vocab"], self.spec["model"]["end_of_word_suffix"]
+        vocab, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         byte_of = {x: b for b, x in enumerate(byte_letters())}
         spelt = {i: bytes(byte_of[c] for c in x.removesuffix(mark)) + b"\xff" * x.endswith(mark) for x, i in vocab.items()}
         ends = sorted((x, i) for i, x in spelt.items() if len(x) == 2 and x[1] == 255)
-        merged = [(spelt[vocab["".join(x)]], vocab["".join(x)]) for x in (m.split(" ") if isinstance(m, str) else m for m in self.spec["model"]["merges"])]
+        merged = [(spelt[vocab["".join(x)]], vocab["".join(x)]) for x in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
         order = [*ends, *((x, i) for x, i in merged)]
         ranks = {x: n for n, (x, _) in enumerate(order)}
         letters = [(bytes([b]), vocab[c]) for c, b in byte_of.items() if b != 255] + [(b"\xff", vocab[byte_letters()[255]])]
@@ -164,7 +166,7 @@ class RankEncoder:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.encoding = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks={x: i for x, i in ranks.items() if i not in special.values()}, special_tokens=special)
         self.dtype = np.dtype("<u2" if max(*ranks.values(), *special.values()) < 1 << 16 else "<u4")
-        self.library = SegmentEncoder(path)
+        self.path = path
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -172,7 +174,7 @@ class RankEncoder:
             try:
                 ids = self.encoding.encode_to_numpy(x, allowed_special="all")
             except ValueError:
-                ids = np.array(self.library.tokenizer.encode(x, add_special_tokens=False).ids)
+                ids = np.array(SegmentEncoder(self.path).tokenizer.encode(x, add_special_tokens=False).ids)
             out.append(ids.astype(self.dtype).tobytes())
         return out
 
