@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import bpe, fingerprints, packing, simhash, token_store, warc
+from geoweft.llm import bpe, fingerprints, packing, pii, secrets, simhash, token_store, warc
 from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,8 +44,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("found", "row")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash, op9_secrets, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
