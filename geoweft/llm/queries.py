@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import bpe, fingerprints, packing, pii, secrets, simhash, token_store, warc
+from geoweft.llm import bpe, fingerprints, linededup, packing, pii, quality, secrets, simhash, token_store, warc
 from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -44,6 +44,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found", "row")
 
@@ -53,8 +61,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash, op9_secrets, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash, op7_quality, op8_line_dedup, op9_secrets, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": linededup.ORACLE_SQL}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import staged, text_slices
+from geoweft.llm.common import free_name, staged, text_slices
 from geoweft.llm.spans import Span, digest
 
 BASE = ["assign", "access", "hex"]
@@ -125,9 +125,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The rows with every found span replaced by its kind in angle brackets; other columns unchanged."""
-    key = "_secret_row"
+    key = free_name(docs, "_secret_row")
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    found = scan(docs, scope).where("size(found) > 0").select(F.col("row").alias("_found_row"), "found")
+    found = scan(docs, scope).where("size(found) > 0").select(F.col("row").alias("_found_row"), F.col("found").alias("_found_spans"))
     joined = numbered.join(found, F.col(key) == F.col("_found_row"), "left")
     names = docs.columns
     at = names.index("text")
@@ -141,7 +141,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
 
-    return joined.select(*names, "found").mapInArrow(run, docs.schema)
+    return joined.select(*[joined[c] for c in names], "_found_spans").mapInArrow(run, docs.schema)
 
 
 def replaced(text: str, spans: list[Span]) -> str:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import staged, text_slices
+from geoweft.llm.common import free_name, staged, text_slices
 from geoweft.operators.components import connected_components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -164,3 +164,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     named = classes.join(ids, "root").select("fp", "component_id")
     hexadecimal = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(named, "fp").select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """One row of docs, as it is, of each component: that with the smallest doc_id, of its rows the first.
+
+    docs is a stored table: its rows are numbered in two reads of it.
+    """
+    key = free_name(docs, "_simhash_row")
+    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    whole = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("row"))
+    rows = near_duplicates(numbered.select(whole.alias("doc_id"), "text"), words, bits)
+    first = rows.select("component_id").distinct().select(F.col("component_id.row").alias("_kept_row"))
+    return numbered.join(first, numbered[key] == first["_kept_row"], "left_semi").drop(key)
