@@ -12,7 +12,7 @@ copies only. k grows with the number of distinct fingerprints (about half its
 logarithm), which holds assigning and comparing in balance.
 
 Equal fingerprints are one before any of this. An anchor with many
-fingerprints is dealt out as tiles, each comparing at most TILE with TILE, and
+fingerprints is dealt out as tiles of at most TILE homes by 4 TILE copies, and
 a tile passes on a spanning forest of its links, never all pairs.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
@@ -138,7 +138,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     k = code_size(fps.count())
     placed = copies(fps, k, bits)
     sizes = placed.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
-    sizes = sizes.where("homes > 0").select("anchor", F.ceil(F.col("homes") / TILE).cast("int").alias("rows"), F.ceil(F.col("all") / TILE).cast("int").alias("columns"))
+    # Tiles wider than they are high copy homes a fraction of the guests' number of times.
+    wide = F.greatest(F.lit(TILE), F.least(F.lit(4 * TILE), 8 * F.col("homes")))
+    sizes = sizes.where("homes > 0").select("anchor", F.ceil(F.col("homes") / TILE).cast("int").alias("rows"), F.ceil(F.col("all") / wide).cast("int").alias("columns"))
     placed = placed.join(F.broadcast(sizes) if k <= 16 else sizes, "anchor")  # at most 2^16 rows of three numbers
     row, column = F.pmod(F.xxhash64("fp"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("columns")).cast("int")
     homes = placed.where("home").select("anchor", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "fp", F.lit(True).alias("home"))
