@@ -31,14 +31,20 @@ from geoweft.functions.running import bucket_of, order_buckets
 from geoweft.llm.common import shuffle_partitions, text_slices
 
 MODULUS = np.uint64((1 << 31) - 1)
+SHIFT, LIFT = np.uint64(31), np.uint64((1 << 32) - 2)
 BASES = (911382323, 972663749)
 SPAN, SMALLEST = 16, 64
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2^31 + 4 that equals x, below 2^63, modulo 2^31 - 1."""
+    x = (x & MODULUS) + (x >> SHIFT)
+    return (x & MODULUS) + (x >> SHIFT)
+
+
 def _mod(x: np.ndarray) -> np.ndarray:
-    """x modulo 2^31 - 1, by its shape, for x below 2^63."""
-    x = (x & MODULUS) + (x >> np.uint64(31))
-    x = (x & MODULUS) + (x >> np.uint64(31))
+    """x modulo 2^31 - 1, for x below 2^63."""
+    x = _folded(x)
     return np.where(x >= MODULUS, x - MODULUS, x)
 
 
@@ -67,20 +73,31 @@ class PrefixHashes:
         self.prefix, self.down = [], []
         for t in self.tables:
             up, down = t.upto(self.n + 1)
+            term = c * up[: self.n]
             sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mod(c * up[: self.n]), out=sums[1:])  # below 2^31 * length: no overflow up to 2^32 code points
-            self.prefix.append(_mod(sums))
+            np.cumsum((term & MODULUS) + (term >> SHIFT), out=sums[1:])  # below 2^32 each: no overflow up to 2^31 code points
+            self.prefix.append(_folded(sums))
             self.down.append(down)
 
     def spans(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
-        """62-bit hashes of the spans starts..ends."""
+        """62-bit hashes of the spans starts..ends, the same wherever a span lies."""
         out = []
         for p, down in zip(self.prefix, self.down):
-            out.append(_mod(_mod(p[ends] + MODULUS - p[starts]) * down[: self.n + 1][starts]))
-        return (out[0] << np.uint64(31)) | out[1]
+            out.append(_mod((p[ends] + LIFT - p[starts]) * down[: self.n + 1][starts]))
+        return (out[0] << SHIFT) | out[1]
 
     def span(self, a: int, b: int) -> int:
-        return int(self.spans(np.array([a]), np.array([b]))[0])
+        m, out = int(MODULUS), 0
+        for p, down in zip(self.prefix, self.down):
+            out = out << 31 | (int(p[b]) - int(p[a])) % m * int(down[a]) % m
+        return out
+
+    def joined(self, a: int, other: PrefixHashes, b: int) -> int:
+        """Hash of the first a code points of this text followed by the first b of other."""
+        m, out = int(MODULUS), 0
+        for p, q, t in zip(self.prefix, other.prefix, self.tables):
+            out = out << 31 | (int(p[a]) + int(q[b]) * int(t.up[a])) % m
+        return out
 
     def common(self, a: int, other: PrefixHashes, b: int) -> int:
         """Length of the longest common extension of position a here and b in other, by binary search."""
@@ -91,20 +108,17 @@ class PrefixHashes:
         return lo
 
 
+def _scrambled(hashes: np.ndarray) -> np.ndarray:
+    """32 bits whose order is unrelated to that of the texts."""
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+
+
 class Fingerprint:
-    __slots__ = ("hashes", "smallest", "whole")
-
-    def __init__(self, hashes: PrefixHashes):
-        n = hashes.n
-        self.hashes = hashes
-        self.whole = hashes.span(0, n)
-        if n == 0:
-            found = np.zeros(0, np.uint64)
-        elif n <= SPAN:
-            found = np.array([self.whole], np.uint64)
-        else:
-            found = hashes.spans(slice(0, n - SPAN + 1), slice(SPAN, n + 1))
-        found = (found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)  # the order of the products is unrelated to that of the texts
+    __slots__ = ("n", "smallest", "whole")
+
+    def __init__(self, n: int, whole: int, found: np.ndarray):
+        """found: scrambled hashes of all spans."""
+        self.n, self.whole = n, whole
         few = 2 * SMALLEST
         while True:  # repeats may fill the first places
             part = np.unique(np.partition(found, few)[:few] if len(found) > few else found)
@@ -115,7 +129,7 @@ class Fingerprint:
 
     def text(self) -> str:
         """All of it: length, whole hash and span hashes, in hexadecimal digits."""
-        return f"{self.hashes.n:x}-{self.whole:016x}-{self.smallest.astype('>u4').tobytes().hex()}"
+        return f"{self.n:x}-{self.whole:016x}-{self.smallest.astype('>u4').tobytes().hex()}"
 
     def likeness(self, other: Fingerprint) -> float:
         a, b = self.smallest, other.smallest
@@ -126,14 +140,48 @@ class Fingerprint:
         return float(2 * j / (1 + j))
 
 
-def points_of(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+class Document:
+    """A text with its prefix arrays, the hashes of its spans, and its fingerprint."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.hashes = h = PrefixHashes(points_of(text))
+        whole = h.span(0, h.n)
+        self.found = _spans_of(h, whole)
+        self.print = Fingerprint(h.n, whole, self.found)
+
+    def edited(self, following: Document) -> tuple[str, Fingerprint, int]:
+        """The edited text, its fingerprint, and how far this text and it agree.
+
+        Nothing of it is hashed again: its spans are this text's up to the cut,
+        the following text's after it, and the few that lie across.
+        """
+        n, m = self.hashes.n, following.hashes.n
+        half = n // 2
+        cut, tail = n - half, min(half, m)
+        text = self.text[:cut] + following.text[:tail]
+        whole = self.hashes.joined(cut, following.hashes, tail)
+        if cut + tail <= SPAN:
+            found = _scrambled(np.array([whole] if text else [], np.uint64))
+        else:
+            low = max(0, cut - SPAN + 1)
+            across = PrefixHashes(points_of(text[low : cut + SPAN - 1]))
+            parts = [self.found[:low], following.found[: max(0, tail - SPAN + 1)]]
+            if across.n >= SPAN:
+                parts.append(_scrambled(across.spans(slice(0, across.n - SPAN + 1), slice(SPAN, across.n + 1))))
+            found = np.concatenate(parts)
+        agree = cut + min(tail, self.hashes.common(cut, following.hashes, 0))
+        return text, Fingerprint(cut + tail, whole, found), agree
+
 
+def _spans_of(h: PrefixHashes, whole: int) -> np.ndarray:
+    if h.n > SPAN:
+        return _scrambled(h.spans(slice(0, h.n - SPAN + 1), slice(SPAN, h.n + 1)))
+    return _scrambled(np.array([whole] if h.n else [], np.uint64))
 
-def edited_text(text: str, following: str) -> str:
-    """The last half of text replaced by as much of the beginning of following."""
-    half = len(text) // 2
-    return text[: len(text) - half] + following[:half]
+
+def points_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
@@ -151,31 +199,28 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = part.column(1).type
         rows: list[tuple] = []
         for bucket, doc_id, text, guest in zip(*(c.to_pylist() for c in part.columns)):
-            text = text or ""
-            print_ = Fingerprint(PrefixHashes(points_of(text)))
-            if before is not None and before[0] == bucket and not before[4]:
-                rows.append(_row(before, text, print_))
-            before = (bucket, doc_id, text, print_, guest)
+            document = Document(text or "")
+            if before is not None and before[0] == bucket and not before[3]:
+                rows.append(_row(before[1], before[2], document))
+            before = (bucket, doc_id, document, guest)
         if rows:
             columns = list(zip(*rows))
             types = [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=names)
 
 
-def _row(own: tuple, following: str, following_print: Fingerprint) -> tuple:
-    _, doc_id, text, print_, _ = own
-    edited = edited_text(text, following)
-    edited_print = Fingerprint(PrefixHashes(points_of(edited)))
+def _row(doc_id: object, own: Document, following: Document) -> tuple:
+    text, print_, agree = own.edited(following)
     return (
         doc_id,
-        len(text),
-        hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+        own.hashes.n,
+        hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
+        own.print.text(),
         print_.text(),
-        edited_print.text(),
-        print_.likeness(edited_print),
-        print_.likeness(following_print),
-        print_.hashes.common(0, edited_print.hashes, 0),
-        print_.hashes.common(0, following_print.hashes, 0),
+        own.print.likeness(print_),
+        own.print.likeness(following.print),
+        agree,
+        own.hashes.common(0, following.hashes, 0),
     )
 
 
