@@ -5,8 +5,10 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoweft.functions import geometry as G
 from geoweft.functions.text import normalize_text, partial_ratio, plain_text
@@ -56,9 +58,6 @@ def within_geometry(df: DataFrame, boundary: dict[str, Any] | None) -> DataFrame
 
 
 def _meets(boundary: dict[str, Any]):
-    import pandas as pd
-    from pyspark.sql import types as T
-
     @F.pandas_udf(T.BooleanType())
     def run(g: pd.DataFrame) -> pd.Series:
         return pd.Series([bool(x["type"]) and G.relation(x, boundary)["intersects"] for x in g.to_dict("records")])
