@@ -22,6 +22,8 @@ doc_ids come first; blank lines stay; other columns are unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def windows(lines: DataFrame, min_chars: int) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, lines): for each document that loses any, the numbers of its lines to remove."""
-    lines = line_table(docs)
+    lines = staged(line_table(docs), "lines")
     classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("pos").alias("name")).where("c > 1").drop("c")
     repeated = lines.join(classes, ["h1", "h2"]).select("doc", "k", "line", "n", "pos", "name")
     found = staged(windows(repeated, min_chars), "line-windows")
@@ -81,7 +83,7 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # Only runs with a window that large need names of 2^level lines.
     deep = found.groupBy("doc", "run").agg(F.max(F.greatest("ahead", "back")).alias("most"))
     names = found.select("doc", "k", "run", "pos", "name")
-    covered = None
+    covered: list[DataFrame] = []
     for level in range(deepest + 1):
         if level:
             half = 1 << (level - 1)
@@ -92,15 +94,17 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             names = checkpointed(pairs.join(classes, ["name", "other"]).select("doc", "k", "run", "pos", F.col("leader").alias("name")))
         here = looked_up.where(F.col("level") == level)
         first = here.join(names.select("doc", "k", "pos", "name"), ["doc", "k"])
+        first = checkpointed(first)
         exact = first.where(F.col("size") == 1 << level).where("name < pos").select("doc", "k", "size")
         longer = first.where(F.col("size") > 1 << level).withColumn("k2", F.col("k") + F.col("size") - (1 << level))
         longer = longer.join(names.select("doc", F.col("k").alias("k2"), F.col("name").alias("name2")), ["doc", "k2"])
         leaders = longer.groupBy("size", "name", "name2").agg(F.min("pos").alias("leader"))
         longer = longer.join(leaders, ["size", "name", "name2"]).where("leader < pos").select("doc", "k", "size")
-        both = exact.unionByName(longer)
-        covered = both if covered is None else covered.unionByName(both)
-    places = covered.select("doc", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k")).distinct()
-    return places.join(found.select("doc", "k", "line"), ["doc", "k"]).groupBy("doc").agg(F.collect_list("line").alias("lines"))
+        # Stored level by level: the plans stay as small as one level.
+        covered.append(staged(exact.unionByName(longer), "line-cover"))
+    places = reduce(DataFrame.unionByName, covered).select("doc", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k")).distinct()
+    lines = places.join(found.select("doc", "k", "line"), ["doc", "k"]).groupBy("doc").agg(F.collect_list("line").alias("lines"))
+    return staged(lines, "removed-lines")
 
 
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
