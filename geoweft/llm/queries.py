@@ -27,7 +27,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), out)
     index = warc.capture_index(spark, out)
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", "offset", "length")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "timestamp")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": linededup.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL}

@@ -208,5 +208,18 @@ def capture_index(spark: SparkSession, archives: str) -> DataFrame:
 
 
 def page_time(page_id: int) -> datetime:
-    """The capture time that records() gives a page."""
+    """The capture time that the archives give a page."""
     return EPOCH + timedelta(seconds=page_id)
+
+
+#: What the archives of pages hold, from the pages themselves.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= {MIN_REVISIT} GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to,
+  strftime(to_timestamp({int(EPOCH.timestamp())} + page_id) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS timestamp
+FROM d LEFT JOIN f ON d.digest = f.digest
+"""
