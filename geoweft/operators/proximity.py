@@ -9,10 +9,13 @@ are joined; the features' columns are fetched by id afterwards.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from geoweft.functions.geodesy import metric_xy, planar_distance, segment_distance_sql
+from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projection_sql, segment_distance_sql
+from geoweft.functions.geometry import distance, point_geometry, representative_point
 from geoweft.operators.components import connected_components
 from geoweft.operators.filters import Where, reference_filter
 
@@ -24,7 +27,64 @@ def _check(distance: float, name: str) -> None:
         raise ValueError(f"{name}: distance must be over 0 and at most {MOST_METRES:g} m")
 
 
+def _is_points(df: DataFrame) -> bool:
+    return {"lon", "lat"} <= set(df.columns)
+
+
+def _as_points(df: DataFrame, key: str) -> DataFrame:
+    """key, lon, lat: points as they are, other geometries by a point on them."""
+    if _is_points(df):
+        return df.select(key, "lon", "lat")
+    at = representative_point("geom")
+    return df.where("geom.type is not null").select(key, at.alias("_p")).select(key, "_p.lon", "_p.lat")
+
+
+def _corners(df: DataFrame) -> DataFrame:
+    if _is_points(df):
+        return df.select("lon", "lat")
+    low, high = (df.select(F.col(f"geom.x{e}").alias("lon"), F.col(f"geom.y{e}").alias("lat")) for e in ("min", "max"))
+    return low.unionByName(high)
+
+
+def _shapes(df: DataFrame, others: list[DataFrame], key: str, meridian: float | None) -> DataFrame:
+    """key, shape (the geometry in metres), x0, y0, x1, y1."""
+    geom = point_geometry(F.col("lon"), F.col("lat")) if _is_points(df) else F.col("geom")
+    rows = df.select(key, geom.alias("geom")).where("geom.type is not null and geom.xmin is not null")
+    if meridian is None:
+        rows = rows.crossJoin(F.broadcast(joint_centre(_corners(df), *map(_corners, others)).select("_meridian")))  # one row
+    else:
+        rows = rows.withColumn("_meridian", F.lit(float(meridian)))
+    x, y = projection_sql("p.x", "p.y", "_meridian")
+    rows = rows.withColumn("parts", F.expr(f"transform(geom.parts, part -> transform(part, ring -> transform(ring, p -> named_struct('x', {x}, 'y', {y}))))"))
+    flat = F.flatten(F.flatten("parts"))
+    xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
+    sides = {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
+    shape = F.struct(F.col("geom.type").alias("type"), *[c.alias(n) for n, c in sides.items()], F.col("parts"))
+    return rows.select(key, shape.alias("shape"))
+
+
+@F.pandas_udf(T.DoubleType())
+def _shape_distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
+    return pd.Series([distance(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype="float64")
+
+
+def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As pairs_within, for any geometries: cells of the boxes, one grown by the distance, then the exact distance in Arrow batches."""
+    side = max(float(metres), 500.0)
+
+    def celled(df: DataFrame, key: str, name: str, grow: float) -> DataFrame:
+        cells = lambda a: F.sequence(F.floor((F.col(f"{name}.{a}min") - grow) / side), F.floor((F.col(f"{name}.{a}max") + grow) / side))
+        return df.select(key, F.col("shape").alias(name)).withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y")))
+
+    met = celled(left, "feature_id", "a", 0.0).join(celled(right, "target_id", "b", float(metres)), ["cx", "cy"])
+    for axis, cell in (("x", "cx"), ("y", "cy")):
+        met = met.where((F.col(f"a.{axis}min") <= F.col(f"b.{axis}max") + metres) & (F.col(f"a.{axis}max") >= F.col(f"b.{axis}min") - metres))
+        met = met.where(F.col(cell) == F.floor(F.greatest(F.col(f"a.{axis}min"), F.col(f"b.{axis}min") - metres) / side))  # the first common cell
+    return met.select("feature_id", "target_id", _shape_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= metres)
+
+
 def _placed(df: DataFrame, others: list[DataFrame], key: str, meridian: float | None) -> DataFrame:
+    df, others = _as_points(df, key), [_corners(o) for o in others]
     return metric_xy(df.select(key, "lon", "lat").where("lon is not null and lat is not null"), *[o.select("lon", "lat") for o in others], meridian=meridian)
 
 
@@ -34,9 +94,9 @@ def _rounded(metres: Column) -> Column:
 
 
 def _feature(row: DataFrame, alias: str) -> Column:
-    """A feature struct of all columns of row."""
-    attributes = [c for c in row.columns if c not in ("lon", "lat")]
-    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    """A feature struct of all columns of row; other geometries than points stay nested structs."""
+    attributes = [c for c in row.columns if c not in ("lon", "lat", "geom")]
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")) if _is_points(row) else F.col("geom")
     properties = F.map_from_arrays(F.array(*map(F.lit, attributes)), F.array(*[F.col(c).cast("string") for c in attributes]))
     return F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties")).alias(alias)
 
@@ -52,11 +112,12 @@ def pairs_within(left: DataFrame, right: DataFrame, distance: float) -> DataFram
     return met.where(F.col("distance_m") <= distance)
 
 
-def nearest_within(df: DataFrame, ref: DataFrame, distance: float, meridian: float | None = None, more: list[DataFrame] | None = None) -> DataFrame:
+def nearest_within(df: DataFrame, ref: DataFrame, metres: float, meridian: float | None = None, more: list[DataFrame] | None = None) -> DataFrame:
     """(feature_id, target_id, distance_m): each feature's nearest target, the smaller target_id of equals."""
-    left = _placed(df, [ref, *(more or [])], "feature_id", meridian)
-    right = _placed(ref, [df, *(more or [])], "target_id", meridian)
-    best = pairs_within(left, right, distance).groupBy("feature_id").agg(F.min(F.struct("distance_m", "target_id")).alias("n"))
+    place, meet = (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_pairs_within)
+    left = place(df, [ref, *(more or [])], "feature_id", meridian)
+    right = place(ref, [df, *(more or [])], "target_id", meridian)
+    best = meet(left, right, metres).groupBy("feature_id").agg(F.min(F.struct("distance_m", "target_id")).alias("n"))
     return best.select("feature_id", "n.target_id", "n.distance_m")
 
 
@@ -147,9 +208,16 @@ def between(df: DataFrame, first: DataFrame, second: DataFrame, corridor_width_m
         if a * b > max_pairs:
             raise ValueError("between: too many reference pairs; filter each target to a specific entity")
     w = float(corridor_width_m)
-    points = _placed(df, [first, second], "feature_id", meridian)
     ends = [_placed(r, [df, o], "target_id", meridian).select(F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y")) for r, o, n in ((first, second, "a"), (second, first, "b"))]
     segments = ends[0].crossJoin(F.broadcast(ends[1]) if max_pairs is not None else ends[1])  # at most max_pairs rows
+    if not _is_points(df):
+        ring = F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
+        box = [F.least("ax", "bx").alias("xmin"), F.least("ay", "by").alias("ymin"), F.greatest("ax", "bx").alias("xmax"), F.greatest("ay", "by").alias("ymax")]
+        lines = segments.select(F.monotonically_increasing_id().alias("target_id"), F.struct(F.lit("LineString").alias("type"), *box, F.array(F.array(ring)).alias("parts")).alias("shape"))
+        kept = shape_pairs_within(_shapes(df, [first, second], "feature_id", meridian), lines, w).select("feature_id").distinct()
+        reason = f"הישות נמצאת במסדרון שבין שתי ישויות הייחוס (רוחב {round(w)} מ׳)."
+        return df.join(kept, "feature_id", "left_semi").withColumn("match_reason", F.lit(reason))
+    points = _placed(df, [first, second], "feature_id", meridian)
     side = max(w, 250.0)
     # Cells met by a segment grown by the width: column by column, the rows that it spans there.
     lo, hi = F.floor((F.least("ax", "bx") - w) / side), F.floor((F.greatest("ax", "bx") + w) / side)
@@ -171,6 +239,12 @@ def cluster(df: DataFrame, min_group_size: int, max_distance_m: float, meridian:
     _check(max_distance_m, "cluster")
     if not 2 <= min_group_size <= 20:
         raise ValueError("cluster: group size must be 2 to 20")
+    if not _is_points(df):
+        shapes = _shapes(df, [], "feature_id", meridian)
+        links = shape_pairs_within(shapes, shapes.withColumnRenamed("feature_id", "target_id"), max_distance_m).where("feature_id < target_id")
+        named = connected_components(links, "feature_id", "target_id").select(F.col("node").alias("feature_id"), F.col("component").alias("cluster_id"))
+        large = named.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_group_size)
+        return df.join(named.join(large, "cluster_id", "left_semi"), "feature_id")
     points = _placed(df, [], "feature_id", meridian)
     # Points of one place are one node, so a crowded spot makes no pairs.
     places = points.groupBy("x", "y").agg(F.min("feature_id").alias("place"), F.count("*").alias("n"))

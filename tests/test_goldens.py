@@ -204,3 +204,14 @@ def test_plans(spark, schools, squares):
     ):
         with pytest.raises(PlanError):
             check_plan({"steps": steps, "output": output}, known, boundary)
+
+
+def test_distances_of_lines_and_areas(spark):
+    areas = shapes(spark, [(1, "POLYGON((34.75 32.05,34.76 32.05,34.76 32.06,34.75 32.06,34.75 32.05))"), (2, "LINESTRING(34.80 32.05,34.81 32.05)"), (3, "POINT(34.9 32.2)")], "feature_id")
+    ref = spark.createDataFrame([(7, 34.755, 32.0605), (8, 34.805, 32.0505), (9, 34.756, 32.055)], "target_id long, lon double, lat double")
+    got = {r.feature_id: (r.target_id, r.distance_m) for r in proximity.nearest_within(areas, ref, 200).collect()}
+    assert got[1] == (9, 0.0) and got[2][0] == 8 and 50 < got[2][1] < 60 and 3 not in got
+    assert ids(proximity.near(areas, ref, 200)) == [1, 2]
+    assert {r.feature_id: r.cluster_id for r in proximity.cluster(areas, 2, 5000).collect()} == {1: 1, 2: 1}
+    a, b = (spark.createDataFrame([(1, x, 32.0555)], "target_id long, lon double, lat double") for x in (34.70, 34.80))
+    assert ids(proximity.between(areas, a, b, 100)) == [1]
