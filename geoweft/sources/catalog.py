@@ -9,7 +9,7 @@ from geoweft.functions.text import clean_tags
 
 CATALOG = "id string, name string, description string, tags array<string>, provider string, source_url string"
 #: Path segments of catalog URLs that aren't ids, and limits of remote layers.
-NOT_IDS = ("entities", "layers", "moriaproject", "cube", "v1", "db")
+NOT_IDS = ("entities", "layers", "cube", "v1", "db")
 MODES = ("auto", "match_not", "legacy")
 MOST_NAME, MOST_DESCRIPTION, MOST_TAGS = 200, 2000, 20
 
@@ -22,11 +22,11 @@ def queryable(layers: DataFrame, providers: list[str]) -> DataFrame:
     return layers.where(F.col("provider").isin(providers))
 
 
-def catalog_parts(layers: DataFrame) -> DataFrame:
+def catalog_parts(layers: DataFrame, reserved: tuple[str, ...] = NOT_IDS) -> DataFrame:
     """Adds layer_id (last segment of the URL that isn't reserved), query_mode, parameters, temporal_field."""
     url = F.trim("source_url")
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
-    segments = F.filter(F.split(path, "/"), lambda s: (s != "") & ~F.lower(s).isin(*NOT_IDS))
+    segments = F.filter(F.split(path, "/"), lambda s: (s != "") & ~F.lower(s).isin(*reserved))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     pairs = F.filter(F.transform(F.split(query, "&"), lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.when(p.contains("="), F.regexp_extract(p, r"=(.*)$", 1))).alias("v"))), lambda p: F.coalesce(p["v"], F.lit("")) != "")
     modes = F.filter(pairs, lambda p: p["k"] == "query_mode")
