@@ -111,7 +111,8 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its columns, text without the removed lines; and n_lines, n_removed (named apart from its columns)."""
     removed = removed_lines(docs, min_chars).select(F.col("doc").alias("_doc_removed"), F.col("lines").alias("_lines_removed"))
     key = document_key(F.col("doc_id"), F.col("text")).cast(BIG)
-    joined = docs.join(removed, key == F.col("_doc_removed"), "left")
+    # The same join at every size: texts move once, and no side must fit one machine.
+    joined = docs.join(removed.hint("shuffle_hash"), key == F.col("_doc_removed"), "left")
     lines = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines_removed"))
     text = F.when(F.col("_lines_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))

@@ -128,7 +128,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     key = free_name(docs, "_secret_row")
     numbered = docs.withColumn(key, F.monotonically_increasing_id())
     found = scan(docs, scope).where("size(found) > 0").select(F.col("row").alias("_found_row"), F.col("found").alias("_found_spans"))
-    joined = numbered.join(found, F.col(key) == F.col("_found_row"), "left")
+    joined = numbered.join(found.hint("shuffle_hash"), F.col(key) == F.col("_found_row"), "left")
     names = docs.columns
     at = names.index("text")
 

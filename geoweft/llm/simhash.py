@@ -178,4 +178,4 @@ def representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     whole = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("row"))
     rows = near_duplicates(numbered.select(whole.alias("doc_id"), "text"), words, bits)
     first = rows.select("component_id").distinct().select(F.col("component_id.row").alias("_kept_row"))
-    return numbered.join(first, numbered[key] == first["_kept_row"], "left_semi").drop(key)
+    return numbered.join(first.hint("shuffle_hash"), numbered[key] == first["_kept_row"], "left_semi").drop(key)
