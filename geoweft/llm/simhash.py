@@ -40,18 +40,25 @@ SEED, WORDS, BITS = 42, 4, 4
 TILE = 1024
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """SimHash of the shingles' XXH64, repeats included."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) + np.arange(len(found))
     width = min(words, len(found))
     lo = np.concatenate([[0], ends[: len(found) - width] + 1]).tolist()
     hi = ends[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(lo, hi)], np.uint64)
+    return np.array([digest(joined[i:j], SEED) for i, j in zip(lo, hi)], np.uint64)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """SimHash of the shingles' XXH64, repeats included."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoweft.llm import fingerprints, linededup, pii, quality, secrets, simhash, warc
+from geoweft.llm import fingerprints, linededup, neardup, pii, quality, secrets, simhash, warc
 from geoweft.llm.spans import digest
 from geoweft.session import shared_dir
 
@@ -124,6 +124,37 @@ def test_links_lose_none(spark):
     assert len(set(zip(got.values(), want.values()))) == len(set(got.values())) == len(set(want.values()))
 
 
+def test_near_duplicate_stage_equals_all_pairs(spark, odd_docs):
+    """Texts with 1 to 30 of 100 words replaced: SimHash at 4 bits loses most pairs of 0.8 to 0.9."""
+    r = random.Random(6)
+    rows = []
+    for seed in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(100)]
+        for edits in (0, 1, 2, 3, 4, 5, 8, 30):
+            other = list(words)
+            at = r.randrange(60)
+            other[at : at + edits] = [f"x{r.randrange(5000)}" for _ in range(edits)]
+            rows.append((len(rows), " ".join(["a common start of every text", *other])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*[text.split()[k:] for k in range(5)])) for _, text in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    want = sorted({root(i) for i in range(len(rows))})
+    assert sorted(x.doc_id for x in neardup.representatives(df).collect()) == want
+    kept = neardup.representatives(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted(x.doc_id or -1 for x in kept.collect()) == [-1, 1, 2, 5, 7]
+
+
 def slow_measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = list(zip(words, words[1:], words[2:]))
