@@ -11,6 +11,10 @@ The join is an equi-join on (row, cell of SCOPE code points) with the exact
 distance as a further condition, kept as a semi join: no pairs are made, and
 a document's parts spread over its cells.
 
+One place may be read in two roles (a key id or a key), and parts may overlap.
+Each reading is linked to parts clear of it; only then the leftmost, longest
+linked reading is chosen, a value before other roles.
+
 Defined cases: null text has no spans; rows repeat as they come; positions are
 code points, ends exclusive; an empty table gives no rows; other columns are
 ignored.
@@ -19,7 +23,9 @@ ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +50,8 @@ WEAK_ASSIGN = re.compile(r"""(?:pwd|pass(?:phrase)?|key|auth|credentials?)["']?\
 WEAK_HINTS = ("pwd", "pass", "key", "auth", "credential")
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
 
+SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
 
 def base_spans(text: str) -> list[Span]:
     out: list[Span] = []
@@ -57,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
-    """Parts clear of the base spans and of each other, the leftmost first."""
+    """Parts clear of the base spans. They may overlap, or be one place in two roles: that is settled after linking."""
     low, found = text.lower(), []
     if any(x in low for x in IDENT_HINTS):
         found += [("ident", *m.span(1)) for m in IDENT.finditer(text)]
@@ -67,22 +75,28 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
         found += [("value", *m.span(1)) for m in WEAK_ASSIGN.finditer(text)]
     if found or base:  # a lone random string has nothing to be linked to
         found += [("value", *m.span()) for m in RANDOM.finditer(text) if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
-    out, strong, k, end = [], sorted((s, e) for _, s, e in base), 0, 0
-    reach = 0
+    strong = sorted((s, e) for _, s, e in base)
+    reach = list(accumulate((e for _, e in strong), max))
+    out = []
     for span in sorted(set(found), key=lambda x: (x[1], -x[2], KINDS.index(x[0]))):
-        while k < len(strong) and strong[k][0] < span[2]:
-            reach = max(reach, strong[k][1])
-            k += 1
-        if span[1] >= end and reach <= span[1]:
+        k = bisect_left(strong, (span[2],))
+        if not k or reach[k - 1] <= span[1]:
+            out.append(span)
+    return out
+
+
+def chosen(linked: list[Span]) -> list[Span]:
+    """Of the linked parts those clear of each other: the leftmost, then the longest, then a value before other roles."""
+    out: list[Span] = []
+    for span in sorted(linked, key=lambda x: (x[1], -x[2], x[0] != "value", KINDS.index(x[0]))):
+        if not out or span[1] >= out[-1][2]:
             out.append(span)
-            end = span[2]
     return out
 
 
 def parsed(docs: DataFrame) -> DataFrame:
     """row, doc_id, base counts and digest, base and weak: the spans of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text=2):
@@ -90,7 +104,7 @@ def parsed(docs: DataFrame) -> DataFrame:
             base = [base_spans(x) for x in texts]
             weak = [weak_parts(x, b) for x, b in zip(texts, base)]
             counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in BASE]
-            lists = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], span) for found in (base, weak)]
+            lists = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found], SPANS) for found in (base, weak)]
             yield pa.RecordBatch.from_arrays([*part.columns[:2], *counts, pa.array([digest(b, BASE) for b in base]), *lists], names=["row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "weak"])
 
     spans = "array<struct<kind:string,start:int,end:int>>"
@@ -108,9 +122,17 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     cells = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     near = parts.select(F.col("row").alias("row2"), F.col("secret").alias("secret2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(cells).alias("cell2"))
     each = weak.withColumn("secret", secret).withColumn("cell", F.floor(F.col("start") / scope))
-    meets = (F.col("row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & (F.col("secret") != F.col("secret2")) & (F.col("start2") <= F.col("end") + scope) & (F.col("end2") >= F.col("start") - scope)
+    clear = (F.col("start2") >= F.col("end")) | (F.col("end2") <= F.col("start"))
+    meets = (F.col("row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & (F.col("secret") != F.col("secret2")) & clear & (F.col("start2") <= F.col("end") + scope) & (F.col("end2") >= F.col("start") - scope)
     found = each.join(near, meets, "left_semi")
-    return found.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("links"))
+    sets = found.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("links"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [chosen([(x["kind"], x["start"], x["end"]) for x in links]) for links in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in lists], SPANS)], names=["row", "links"])
+
+    return sets.mapInArrow(run, "row long, links array<struct<kind:string,start:int,end:int>>")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
