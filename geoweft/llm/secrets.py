@@ -9,7 +9,8 @@ identifier or endpoint, these need a secret, weak or strong.
 
 The join is an equi-join on (row, cell of SCOPE code points) with the exact
 distance as a further condition, kept as a semi join: no pairs are made, and
-a document's parts spread over its cells.
+a document's parts spread over its cells. A part is in all cells it touches,
+its complement in all cells within SCOPE of it.
 
 One place may be read in two roles (a key id or a key), and parts may overlap.
 Each reading is linked to parts clear of it; only then the leftmost, longest
@@ -121,10 +122,12 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = weak.unionByName(strong.join(weak.select("row").distinct(), "row", "left_semi")).withColumn("secret", secret)
     cells = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     near = parts.select(F.col("row").alias("row2"), F.col("secret").alias("secret2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(cells).alias("cell2"))
-    each = weak.withColumn("secret", secret).withColumn("cell", F.floor(F.col("start") / scope))
+    own_cells = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))
+    each = weak.withColumn("secret", secret).withColumn("cell", F.explode(own_cells))
     clear = (F.col("start2") >= F.col("end")) | (F.col("end2") <= F.col("start"))
     meets = (F.col("row") == F.col("row2")) & (F.col("cell") == F.col("cell2")) & (F.col("secret") != F.col("secret2")) & clear & (F.col("start2") <= F.col("end") + scope) & (F.col("end2") >= F.col("start") - scope)
     found = each.join(near, meets, "left_semi")
+    # A part may be found in several of its cells.
     sets = found.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("links"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

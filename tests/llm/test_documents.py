@@ -286,6 +286,24 @@ def test_secret_pairs_of_two_parts(spark):
     assert secret not in secrets.redacted(df).where("doc_id = 1").first().text
 
 
+def test_secret_links_equal_the_plain_condition(spark):
+    r = random.Random(9)
+    rows = []
+    for row in range(300):
+        spans, at = [], r.randrange(400)
+        for _ in range(r.randrange(2, 6)):
+            size = r.choice([3, 20, 60, 300, 900])
+            spans.append((r.choice(["ident", "endpoint", "value"]), at, at + size))
+            at += size + r.choice([1, 100, 197, 200, 201, 350])
+        rows.append((row, [], spans))
+    rows.append((300, [], [("value", 1187, 1247), ("endpoint", 1444, 1464)]))
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    got = {x.row: {tuple(s) for s in x.links} for x in secrets.linked(spark.createDataFrame(rows, f"row long, base {kind}, weak {kind}")).collect()}
+    for row, _, spans in rows:
+        want = {a for a in spans for b in spans if (a[0] == "value") != (b[0] == "value") and b[1] <= a[2] + 200 and b[2] >= a[1] - 200}
+        assert got.get(row, set()) == want
+
+
 def test_pipeline_stages(spark, tmp_path, odd_docs):
     import corpus_pipeline
 
