@@ -68,8 +68,10 @@ def windows(lines: DataFrame, min_chars: int) -> DataFrame:
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, lines): for each document that loses any, the numbers of its lines to remove."""
     lines = staged(line_table(docs), "lines")
-    classes = lines.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("pos").alias("name")).where("c > 1").drop("c")
+    # Repeated rows share their places: a line is repeated if it has two of them, and each place goes on once.
+    classes = lines.groupBy("h1", "h2").agg(F.max("pos").alias("last"), F.min("pos").alias("name")).where("name < last").drop("last")
     repeated = lines.join(classes, ["h1", "h2"]).select("doc", "k", "line", "n", "pos", "name")
+    repeated = repeated.repartition("doc").dropDuplicates(["doc", "k"])
     found = staged(windows(repeated, min_chars), "line-windows")
 
     starts = found.where("ahead is not null").select("doc", "k", F.col("ahead").alias("size"))

@@ -223,6 +223,16 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert linededup.report(no_docs).count() == 0
 
 
+def test_line_dedup_repeated_rows(spark):
+    """Rows that repeat are one document: it loses what an earlier one has, and only that."""
+    passage = [f"shared line {k} of forty characters, about" for k in range(6)]
+    first = "\n".join(["own start of the first", *passage])
+    later = "\n".join(["own start of the later", *passage, "own end"])
+    df = spark.createDataFrame([(1, first), (2, later), (2, later), (2, later)], "doc_id long, text string")
+    got = sorted((x.doc_id, x.text, x.n_removed) for x in linededup.remove_lines(df).collect())
+    assert got == [(1, first, 0), *[(2, "own start of the later\nown end", 6)] * 3]
+
+
 def first_kinds(text, patterns):
     return [(k, *m.span()) for k, (p, ok) in patterns.items() for m in re.finditer(p, text) if ok(m)]
 
