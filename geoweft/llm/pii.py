@@ -27,9 +27,9 @@ from geoweft.llm.spans import Span, digest, joined
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "iban", "account", "login"]
-#: Schemes, and words before an account number.
+#: Schemes, and words before an account number; the search for them ignores the case of A-Z.
 SCHEMES = ["http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "redis://", "mongodb://"]
-CUES = ["account", "acct", "konto", "compte", "cuenta", "IBAN", "iban", "passport", "SSN", "ssn"]
+CUES = ["account", "acct", "konto", "compte", "cuenta", "iban", "passport", "ssn"]
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -67,6 +67,11 @@ def ascii_digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def lowered(text: str) -> str:
+    """A-Z in lower case and nothing else, so places stay as they are."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans) of one text."""
     base: list[Span] = []
@@ -74,7 +79,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     past = {"email": 0, "ip": 0, "card": 0, "phone": 0}
     run = -1  # end of the digit run under way
     cues: list[tuple[str, int]] = []
-    for last, anchor in automaton().iter(text):
+    for last, anchor in automaton().iter(lowered(text)):
         if anchor == "@":
             low = last
             while low > past["email"] and text[low - 1] in LOCAL:
@@ -106,7 +111,7 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
         if anchor.endswith("://"):
             if m := LOGIN.match(text, at):
                 added.append(("login", at, m.start() + m[0].rindex("@")))
-        elif anchor.lower() == "iban" and (m := IBAN.match(text, at)) and iban_valid(m[1]):
+        elif anchor == "iban" and (m := IBAN.match(text, at)) and iban_valid(m[1]):
             added.append(("iban", *m.span(1)))
         elif m := NUMBER.match(text, at):
             added.append(("account", *m.span(1)))

@@ -269,6 +269,12 @@ def test_pii(odd_docs, no_docs):
     assert row.base_sha256 == digest([], pii.BASE) and row.spans == ""
 
 
+def test_pii_cues_in_capitals():
+    iban = "DE89370400440532013000"
+    for text, kind, part in [("Account number: 12345678", "account", "12345678"), ("ACCOUNT 12345678", "account", "12345678"), ("İ Konto: 12345678", "account", "12345678"), ("Passport No 12345678", "account", "12345678"), (f"Iban {iban}", "iban", iban), ("HTTPS://user:pw@host/x", "login", "user:pw")]:
+        assert [(k, text[s:e]) for k, s, e in pii.find(text)[1]] == [(kind, part)]
+
+
 def test_secret_links(spark, odd_docs, no_docs):
     near = "user: alice99 and pwd = hunter22x; far away"
     lone = "pwd = hunter22x"
