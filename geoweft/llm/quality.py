@@ -3,20 +3,22 @@
 Two histograms describe a text: its character classes, and its common words.
 References are the same histograms of each language, counted over all
 documents. A document's verdict is its Jensen-Shannon distance (base 2, from 0
-to 1) to the nearest language, for each histogram: too far from every language
-means rejected. Short texts are only judged where the counts bear it: the
+to 1) to the nearest language, its own or a large one, for each histogram: too
+far from all of them means rejected. Short texts are only judged where the counts bear it: the
 character test from MIN_CHARS characters, the word test from MIN_WORDS words.
 
 Common words are the words of at most LONGEST letters that make up COMMON of
-their language's words, so at most 1 / COMMON of them; a language needs RARE
-of all words to be a reference. Both bound what reaches the driver.
+their language's words, so at most 1 / COMMON of them. A language is a
+reference for its own documents if it has ENOUGH words or RARE of all, and for
+all documents, whatever their language, if it has RARE of all. The driver holds
+at most 1 / COMMON words of each reference.
 
 Base rules come first: fewer than 50 words, or more than half the words in
 three-word windows that occur twice.
 
 Defined cases: null and empty texts have no words and fail the base rules;
-null languages count as one language; rows repeat as they come; without any
-reference (an empty table) nothing is judged.
+null languages count as one language; rows repeat as they come; where a
+document's own language is no reference, neither test is made.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import text_slices
+from geoweft.llm.common import free_name, text_slices
 
-LONGEST, COMMON, RARE = 6, 0.002, 0.005
+LONGEST, COMMON, RARE, ENOUGH = 6, 0.002, 0.005, 5000
 MIN_CHARS, MIN_WORDS = 200, 80
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.34
 CLASSES = ["lower", "upper", "other letter", "digit", "space", "full stop", "comma", "other punctuation", "symbol", "mark", "else"]
@@ -41,6 +43,9 @@ SYMBOLS = b"#*$%&|<>"
 STRIP = ".,;:!?\"'()[]{}#*$%&|<>-"
 
 
+Reference = tuple[list[float], dict[str, float], bool]
+
+
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """Class of each code point of the basic plane; the others share the last."""
@@ -127,25 +132,27 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Per language: shares of the character classes, and of its common words."""
+def references(docs: DataFrame) -> dict[str, Reference]:
+    """Per language: shares of the character classes, and of its common words; and whether it is one for all documents."""
     counts = corpus_counts(docs).persist()
     try:
-        totals = {r.lang: r.n for r in counts.where("kind = 'all words'").orderBy(F.desc("n")).limit(round(1 / RARE)).collect()}
-        every = counts.where("kind = 'all words'").agg(F.sum("n")).first()[0] or 0
-        totals = {lang: n for lang, n in totals.items() if n >= RARE * every and n}
+        all_words = counts.where("kind = 'all words'")
+        every = all_words.agg(F.sum("n")).first()[0] or 0
+        totals = {r.lang: r.n for r in all_words.where((F.col("n") > 0) & (F.col("n") >= min(ENOUGH, RARE * every))).collect()}
         chars: dict[str, list[float]] = {lang: [0.0] * len(CLASSES) for lang in totals}
         words: dict[str, dict[str, float]] = {lang: {} for lang in totals}
         if totals:
-            some = counts.where(F.col("lang").isin(list(totals)))
-            least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(COMMON * n)) for lang, n in totals.items()])
+            sizes = all_words.select("lang", F.col("n").alias("total")).where(F.col("total") >= min(ENOUGH, RARE * every))
+            some = counts.join(sizes, "lang")
             for r in some.where("kind = 'char'").collect():  # classes x languages
-                chars[r.lang][int(r.key)] = float(r.n)
-            for r in some.where("kind = 'word'").where(F.col("n") >= least).collect():  # at most 1 / COMMON a language
-                words[r.lang][r.key] = r.n / totals[r.lang]
+                if r.lang in chars:
+                    chars[r.lang][int(r.key)] = float(r.n)
+            for r in some.where("kind = 'word'").where(F.col("n") >= F.lit(COMMON) * F.col("total")).collect():  # at most 1 / COMMON a language
+                if r.lang in words:
+                    words[r.lang][r.key] = r.n / totals[r.lang]
     finally:
         counts.unpersist()
-    return {lang: ([x / sum(chars[lang]) for x in chars[lang]], words[lang]) for lang in sorted(totals) if sum(chars[lang])}
+    return {lang: ([x / sum(chars[lang]) for x in chars[lang]], words[lang], totals[lang] >= RARE * every) for lang in sorted(totals) if sum(chars[lang])}
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -157,27 +164,31 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 class Judge:
-    def __init__(self, found: dict[str, tuple[list[float], dict[str, float]]]):
-        self.chars = [np.array(c) for c, _ in found.values()]
-        self.words = []
-        for _, w in found.values():
+    def __init__(self, found: dict[str, Reference]):
+        self.chars = {lang: np.array(c) for lang, (c, _, _) in found.items()}
+        self.words = {}
+        for lang, (_, w, _) in found.items():
             q = np.array([*w.values(), max(0.0, 1 - sum(w.values()))])
-            self.words.append(({x: k for k, x in enumerate(w)}, q))
+            self.words[lang] = ({x: k for k, x in enumerate(w)}, q)
+        self.large = [lang for lang, (_, _, large) in found.items() if large]
 
-    def distances(self, text: str, words: list[bytes]) -> tuple[float | None, float | None]:
-        """To the nearest language, by characters and by words; None where the text is too short."""
+    def distances(self, text: str, words: list[bytes], lang: str) -> tuple[float | None, float | None]:
+        """To the nearest language, by characters and by words; None where the text is too short or its language no reference."""
         near_chars = near_words = None
-        if self.chars and len(text) >= MIN_CHARS:
+        if lang not in self.chars:
+            return None, None
+        near = self.large if lang in self.large else [*self.large, lang]
+        if len(text) >= MIN_CHARS:
             p = classes_of(text)
-            near_chars = min(distance(p / p.sum(), q) for q in self.chars)
-        if self.words and len(words) >= MIN_WORDS:
+            near_chars = min(distance(p / p.sum(), self.chars[x]) for x in near)
+        if len(words) >= MIN_WORDS:
             short = Counter(words)
             seen: Counter = Counter()
             for w, n in short.items():
                 if len(w) <= 4 * LONGEST:
                     seen[plain(w)] += n
             near_words = 1.0
-            for index, q in self.words:
+            for index, q in map(self.words.get, near):
                 p = np.zeros(len(q))
                 for x, n in seen.items():
                     if (k := index.get(x)) is not None:
@@ -192,11 +203,11 @@ TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def measure(judge: Judge, text: str) -> tuple:
+def measure(judge: Judge, text: str, lang: str) -> tuple:
     words = text.encode("utf-8", "surrogatepass").split()
     word_chars, symbols, dup_lines, repeat = base_measures(text, words)
     failed = len(words) < 50 or 100 * repeat > 50 * len(words)
-    chars, common = judge.distances(text, words)
+    chars, common = judge.distances(text, words, lang)
     kept = not failed and not (chars is not None and chars > MOST_CHAR_DISTANCE) and not (common is not None and common > MOST_WORD_DISTANCE)
     return len(words), word_chars, symbols, dup_lines, repeat, failed, kept, chars, common
 
@@ -209,21 +220,22 @@ def judged(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(found)
         for part in text_slices(batches):
-            rows = [measure(judge, x or "") for x in part.column(1).to_pylist()]
+            rows = [measure(judge, x or "", lang or "") for x, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), TYPES))], names=["doc_id", *NAMES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, as they are."""
     found = references(docs)
     at = docs.columns.index("text")
+    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(found)
         for part in text_slices(batches, text=at):
-            keep = [measure(judge, x or "")[6] for x in part.column(at).to_pylist()]
-            yield part.filter(pa.array(keep))
+            keep = [measure(judge, x or "", lang or "")[6] for x, lang in zip(part.column(at).to_pylist(), part.column(width).to_pylist())]
+            yield part.select(range(width)).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.withColumn(free_name(docs, "_quality_lang"), F.col("lang").cast("string")).mapInArrow(run, docs.schema)

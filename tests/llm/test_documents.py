@@ -183,6 +183,23 @@ def test_quality_tells_clean_from_junk(spark):
     assert rates[1] > 0.98 and rates.get(0, 0) < 0.2
 
 
+def test_quality_keeps_rare_languages(spark):
+    """A language of less than 0.5 % of the words: kept by its own reference, or unjudged if too small for one."""
+    r = random.Random(7)
+
+    def text(name, n):
+        return " ".join(r.choice([f"{name}{k}" for k in range(9)]) if r.random() < 0.5 else f"{name}word{r.randrange(100000)}" for _ in range(n))
+
+    rows = [(k, text("a", 700), "aa") for k in range(2000)]
+    rows += [(3000 + k, text("b", 200), "bb") for k in range(30)] + [(4000 + k, text("c", 200), "cc") for k in range(3)]
+    rows += [(5000, text("zzz", 200), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in quality.judged(df).where("doc_id >= 3000").collect()}
+    assert all(got[k].kept for k in got if k != 5000) and not got[5000].kept
+    assert got[3000].word_distance < 0.34 and got[4000].word_distance is None
+    assert {x.doc_id for x in quality.kept_documents(df).where("doc_id >= 3000").collect()} == set(got) - {5000}
+
+
 def slow_line_dedup(docs, least):
     """Tries every earlier pair of places."""
     seq = []
