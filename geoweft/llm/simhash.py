@@ -12,8 +12,9 @@ copies only. k grows with the number of distinct fingerprints (about half its
 logarithm), which holds assigning and comparing in balance.
 
 Equal fingerprints are one before any of this. An anchor with many
-fingerprints is dealt out as tiles of at most TILE homes by 4 TILE copies, and
-a tile passes on a spanning forest of its links, never all pairs.
+fingerprints is dealt out as tiles of about TILE homes by WIDE * TILE copies,
+whose sizes come from one count for each anchor; fingerprints travel packed in
+arrays, and a tile passes on a spanning forest of its links, never all pairs.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
 other; a text shorter than a shingle is one shingle; rows that repeat a doc_id
@@ -37,7 +38,7 @@ from geoweft.llm.common import free_name, staged, text_slices
 from geoweft.operators.components import connected_components
 
 SEED, WORDS, BITS = 42, 4, 4
-TILE = 1024
+TILE, WIDE = 1024, 16
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -96,70 +97,131 @@ def code_size(distinct: int) -> int:
     return min(22, max(7, round(math.log2(max(1, 30 * distinct)) / 2)))
 
 
-def copies(fps: DataFrame, k: int, bits: int) -> DataFrame:
-    """(anchor, fp, home): every fingerprint at each anchor that it may meet a neighbour at."""
+def copies(own: np.ndarray, k: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, fp, home) arrays, a stretch of fingerprints at a time: each fingerprint at every anchor that it may meet a neighbour at."""
+    code = anchors(k)
+    step = max(1, (1 << 21) >> k)
+    for at in range(0, len(own), step):
+        part = own[at : at + step]
+        d = np.bitwise_count(part[:, None] ^ code[None, :])
+        home = d.argmin(axis=1)
+        near = d[np.arange(len(part)), home]
+        row, anchor = np.nonzero(d <= near[:, None] + np.uint8(bits))
+        yield anchor, part[row], anchor == home[row]
+
+
+def crowds(fps: DataFrame, k: int, bits: int) -> np.ndarray:
+    """For each anchor its number of homes, and of all copies: two rows of 2^k numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 1 << k), np.int64)
+        for batch in batches:
+            for anchor, _, home in copies(batch.column(0).to_numpy().view(np.uint64), k, bits):
+                n += np.bincount(anchor[home], minlength=1 << k), np.bincount(anchor, minlength=1 << k)
+        at = np.flatnonzero(n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0][at]), pa.array(n[1][at])], names=["anchor", "homes", "all"])
+
+    found = fps.select("fp").mapInArrow(run, "anchor int, homes long, all long").groupBy("anchor").agg(F.sum("homes").alias("homes"), F.sum("all").alias("all")).toArrow()
+    out = np.zeros((2, 1 << k), np.int64)
+    out[:, found["anchor"].to_numpy()] = found["homes"].to_numpy(), found["all"].to_numpy()
+    return out
+
+
+def _dealt(fps: np.ndarray, tiles: np.ndarray, salt: int) -> np.ndarray:
+    """Which of its anchor's tiles each fingerprint goes to."""
+    return ((fps ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % tiles
+
+
+def _for_each(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places 0, 1, 2, ... as often as times says, and the running number within each."""
+    place = np.repeat(np.arange(len(times)), times)
+    return place, np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def tiles(fps: DataFrame, k: int, bits: int, tile: int, pack: int = 1 << 14) -> DataFrame:
+    """(anchor, i, j, homes, guests): packed stretches of fingerprints. Tile i, j of an anchor compares its i-th share of homes with its j-th of all copies.
+
+    A row holds what some ten thousand fingerprints send to one tile, so rows
+    are few and a home that several tiles need is a number in an array.
+    """
+    spark = fps.sparkSession
+    homes, every = crowds(fps, k, bits)
+    sizes = spark.sparkContext.broadcast((-(-homes // tile), np.maximum(1, -(-every // (WIDE * tile)))))
+
+    def packed(own: np.ndarray) -> pa.RecordBatch:
+        rows, columns = sizes.value
+        parts = []
+        for anchor, fp, home in copies(own, k, bits):
+            at, j = _for_each(columns[anchor[home]])
+            a, x = anchor[home][at], fp[home][at]
+            parts.append((a, _dealt(x, rows[a], 0), j, np.zeros(len(a), np.int64), x))
+            at, i = _for_each(rows[anchor])
+            a, x = anchor[at], fp[at]
+            parts.append((a, i, _dealt(x, columns[a], 1), np.ones(len(a), np.int64), x))
+        a, i, j, guest, x = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((guest, j, i, a))
+        a, i, j, guest, x = (c[order] for c in (a, i, j, guest, x))
+        new = np.flatnonzero(np.diff(a, prepend=-1) | np.diff(i, prepend=-1) | np.diff(j, prepend=-1))
+        ends = np.append(new, len(a))
+        # Within a row's stretch the homes come first.
+        split = ends[:-1] + np.add.reduceat((guest == 0).astype(np.int64), new) if len(new) else new
+        ids = pa.array(x.view(np.int64))
+        bounds = np.empty(2 * len(new) + 1, np.int32)
+        bounds[0::2], bounds[1::2] = ends, split
+        both = pa.ListArray.from_arrays(pa.array(bounds), ids)
+        columns_ = [both.take(pa.array(np.arange(s, 2 * len(new), 2))) for s in (0, 1)]
+        return pa.RecordBatch.from_arrays([*(pa.array(c[new].astype(np.int32)) for c in (a, i, j)), *columns_], names=["anchor", "i", "j", "homes", "guests"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = anchors(k)
-        step = max(1, (1 << 21) >> k)
+        held: list[np.ndarray] = []
         for batch in batches:
-            own = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(own), step):
-                part = own[at : at + step]
-                d = np.bitwise_count(part[:, None] ^ code[None, :])
-                home = d.argmin(axis=1)
-                near = d[np.arange(len(part)), home]
-                row, anchor = np.nonzero(d <= near[:, None] + np.uint8(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(part[row].view(np.int64)), pa.array(anchor == home[row])], names=["anchor", "fp", "home"])
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= pack:
+                yield packed(np.concatenate(held))
+                held = []
+        if held:
+            yield packed(np.concatenate(held))
 
-    return fps.select("fp").mapInArrow(run, "anchor int, fp long, home boolean")
+    return fps.select("fp").mapInArrow(run, "anchor int, i int, j int, homes array<long>, guests array<long>")
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links a, b: each node's is the smallest node of its component."""
+    a, b = label[a], label[b]
+    a, b = a[a != b], b[a != b]
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        while not np.array_equal(next_ := label[label], label):
+            label = next_
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return label
 
 
 def tile_links(homes: np.ndarray, guests: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two sets of fingerprints, as (node, root)."""
+    """A spanning forest of the links between two sets of fingerprints, as (node, root). Holds the pairs of 128 homes at a time."""
     nodes, back = np.unique(np.concatenate([homes, guests]), return_inverse=True)
     h, g = back[: len(homes)], back[len(homes) :]
-    left, right = [], []
+    label = np.arange(len(nodes))
     for at in range(0, len(homes), 128):
         i, j = np.nonzero(np.bitwise_count(homes[at : at + 128, None] ^ guests[None, :]) <= bits)
-        left.append(h[at + i])
-        right.append(g[j])
-    a, b = np.concatenate(left or [h]), np.concatenate(right or [g[:0]])
-    a, b = a[a != b], b[a != b]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+        label = merged(label, h[at + i], g[j])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     """(a, b) over distinct fingerprints (column fp): connects exactly those that chains of near pairs connect."""
-    k = code_size(fps.count())
-    placed = copies(fps, k, bits)
-    sizes = placed.groupBy("anchor").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all"))
-    # Tiles wider than they are high copy homes a fraction of the guests' number of times.
-    wide = F.greatest(F.lit(TILE), F.least(F.lit(4 * TILE), 8 * F.col("homes")))
-    sizes = sizes.where("homes > 0").select("anchor", F.ceil(F.col("homes") / TILE).cast("int").alias("rows"), F.ceil(F.col("all") / wide).cast("int").alias("columns"))
-    placed = placed.join(F.broadcast(sizes) if k <= 16 else sizes, "anchor")  # at most 2^16 rows of three numbers
-    row, column = F.pmod(F.xxhash64("fp"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("columns")).cast("int")
-    homes = placed.where("home").select("anchor", row.alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "fp", F.lit(True).alias("home"))
-    guests = placed.select("anchor", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), column.alias("j"), "fp", F.lit(False).alias("home"))
+    placed = tiles(fps, code_size(fps.count()), bits, tile)
 
     def compare(t: pa.Table) -> pa.Table:
-        home = t["home"].to_numpy()
-        own = t["fp"].to_numpy().view(np.uint64)
-        a, b = tile_links(own[home], own[~home], bits)
+        homes, guests = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64) for c in ("homes", "guests"))
+        a, b = tile_links(homes, guests, bits)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return homes.unionByName(guests).groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long")
+    return placed.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:

@@ -93,7 +93,8 @@ def test_simhash(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 7]
 
 
-def test_links_lose_none(spark):
+@pytest.mark.parametrize("tile", [simhash.TILE, 3])
+def test_links_lose_none(spark, tile):
     r = np.random.default_rng(4)
     seeds = r.integers(0, 1 << 62, 60, dtype=np.int64)
     fps = {int(s) for s in seeds}
@@ -104,7 +105,7 @@ def test_links_lose_none(spark):
                 x ^= 1 << int(b)
             fps.add(x)
     own = sorted(fps)
-    links = simhash.links(spark.createDataFrame([(x,) for x in own], "fp long"), 4).collect()
+    links = simhash.links(spark.createDataFrame([(x,) for x in own], "fp long"), 4, tile).collect()
     parent = {x: x for x in own}
 
     def root(x):
