@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweft.session import staged
+
+
+def range_numbered(df: DataFrame, order: list[str], ranges: int, out: str, name: str) -> DataFrame:
+    """df, stored in at most so many ranges of the order columns together; ``out`` is a row's range.
+
+    Ranges are cut by all order columns, so many rows of one first value, or
+    without one, are dealt out like others. Equal rows share a range.
+    """
+    return staged(df.repartitionByRange(ranges, *order).withColumn(out, F.spark_partition_id()), name)
+
 
 def order_buckets(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most ``buckets`` - 1 split points that deal the values of a numeric
