@@ -1,23 +1,33 @@
 """Operator 8: removal of repeated runs of lines, with DataFrame functions only.
 
-Documents are sequences of line ids; blank lines don't count. A suffix array
-over them, sorted as deep as decides the question, is made by distributed
-prefix doubling: the name of the 2^l lines at a position is the first position
-in the corpus that has the same 2^l lines, found by grouping the pair of names
-of its halves. Positions whose lines occur once drop out. Suffixes that share
-their first m lines are an interval of the array with common prefixes of m or
-more; its first suffix is the copy that stays.
-
-What is removed: each line in a run of lines, of at least MIN_CHARS characters
-in all, that also occurs earlier, by doc_id and place. Every such run is
-covered by the shortest windows of MIN_CHARS characters from each of its lines
-on and back from each of its lines. So for every line these two windows are
-looked up, by two overlapping names of the largest power of two that fits, and
-runs of any length are found while no window has more than MIN_CHARS lines.
-
-Defined cases: null text stays null; a text that is all repeats becomes empty;
-rows of equal doc_id and text are one document and keep the same lines; null
-doc_ids come first; blank lines stay; other columns are unchanged.
+Documents are sequences of line ids; blank lines don't count. All lines have
+one position in the corpus, with a gap between documents. Blocks of 2^l lines
+get names by distributed prefix doubling: the name of a block is the first
+position in the corpus that has the same 2^l lines, found by grouping the pair
+of names of its halves. Blocks that occur once drop out. Of the suffix array
+over the lines, this keeps what decides: which suffixes stand together.
+
+Suffixes that share their first lines, MIN_CHARS characters of them or more,
+are an interval of the array whose common prefixes are that long. Its lines
+are named by two overlapping blocks of the largest power of two that fits. The
+first suffix of an interval is the copy that stays; each other one is a later
+copy of these lines. Intervals are taken at the shortest prefixes of MIN_CHARS
+characters from each line on, and back from each line; these cover every run
+of lines that also occurs earlier, and their union is the maximal repeated
+runs. So runs of any length are found while no block has more than MIN_CHARS
+lines.
+
+Equal texts are one before any of this: the first stays in the array, the
+others lose all their lines if these have MIN_CHARS characters. Lines, blocks
+and texts of which there are very many (over one in HOT) are at most HOT; they
+are joined by broadcast, the others by shuffle.
+
+Defined cases: null text stays null; a text that is all repeats becomes empty
+but for blank lines; documents are told apart by doc_id and 128 bits of their
+text, so rows of equal doc_id and text are one document and keep the same
+lines, and texts that share a doc_id are documents each; null doc_ids come
+first, equal ones in an order of their texts; blank lines stay; other columns
+are unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,101 +37,122 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import free_name, staged
+from geoweft.functions.running import range_numbered, running_total
+from geoweft.llm.common import free_name, shuffle_partitions, staged
 from geoweft.session import checkpointed
 
-MIN_CHARS = 150
-BIG = "decimal(38,0)"
+MIN_CHARS, HOT = 150, 500
 
 
-def document_key(doc_id: Column, text: Column) -> Column:
-    """Orders documents by doc_id and tells texts with one doc_id apart."""
-    number = F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63))).cast(BIG)
-    return (number * F.lit(1 << 20).cast(BIG)).cast(BIG) + F.pmod(F.xxhash64(text), F.lit(1 << 20)).cast(BIG)
+def _blank(x: Column) -> Column:
+    return F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) == ""
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc, k, line, n, h1, h2, pos): the lines that aren't blank. k counts them, line all lines; pos orders them in the corpus."""
-    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.char_length(x).alias("n"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), (F.trim(F.translate(x, "\t\x0b\x0c\r", "    ")) != "").alias("full")))
-    rows = docs.select(document_key(F.col("doc_id"), F.col("text")).cast(BIG).alias("doc"), F.filter(parts, lambda x: x["full"]).alias("lines")).where("lines is not null")
-    rows = rows.select("doc", F.posexplode("lines").alias("k", "x")).select("doc", "k", "x.line", "x.n", "x.h1", "x.h2")
-    return rows.withColumn("pos", position(F.col("doc"), F.col("k")))
+def _hashes(text: Column, one: str, two: str) -> list[Column]:
+    return [F.xxhash64(text).alias(one), F.xxhash64(F.lit(1), text).alias(two)]
 
 
-def position(doc: Column, k: Column) -> Column:
-    return ((doc * F.lit(1 << 32).cast("decimal(10,0)")).cast(BIG) + k.cast("decimal(10,0)")).cast(BIG)
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(h1, h2, first, copies, chars, doc, lines): a row per text that has a line, for use with few columns at a time. first: its smallest doc_id in a struct;
+    doc: the corpus position of its first line; lines: those that aren't blank, with number, length and hashes."""
+    parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), F.char_length(x).alias("n"), *_hashes(x, "l1", "l2"), _blank(x).alias("blank")))
+    rows = docs.where("text is not null").select("doc_id", *_hashes(F.col("text"), "h1", "h2"), F.filter(parts, lambda x: ~x["blank"]).alias("lines")).where("size(lines) > 0")
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id")).alias("first")
+    texts = rows.groupBy("h1", "h2").agg(first, F.count("*").alias("copies"), F.first("lines").alias("lines"))
+    chars = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("chars")
+    texts = staged(texts.select("h1", "h2", "first", "copies", chars, "lines"), "line-texts")
+    light = texts.select("h1", "h2", "first", (F.size("lines") + 1).cast("long").alias("places"))
+    order = ["first", "h1", "h2"]
+    light = range_numbered(light, order, shuffle_partitions(docs.sparkSession), "bucket", "line-texts-order")
+    places = running_total(light, "places", order, "bucket", "doc").select("h1", "h2", "doc")
+    return texts.join(places, ["h1", "h2"])
+
+
+def line_table(texts: DataFrame) -> DataFrame:
+    """(doc, pos, line, n, l1, l2): the lines in the array."""
+    return texts.select("doc", F.posexplode("lines").alias("k", "x")).select("doc", (F.col("doc") + F.col("k")).alias("pos"), "x.line", "x.n", "x.l1", "x.l2")
+
+
+def named(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The rows whose keys occur twice or more; out is the first pos that has them. rows are stored."""
+    classes = staged(rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("pos").alias(out)).where("_c > 1"), "line-names")
+    least = rows.count() // HOT
+    hot = F.broadcast(classes.where(F.col("_c") > least).drop("_c"))  # at most HOT rows
+    usual = classes.where(F.col("_c") <= least).drop("_c")
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(usual, keys))
 
 
 def windows(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Adds run (a stretch of adjoining lines), ahead and back: lines of the shortest windows from here on, and to here; null where the run has none."""
-    by_doc = Window.partitionBy("doc").orderBy("k")
-    lines = lines.withColumn("run", F.col("k") - F.row_number().over(by_doc))
+    """(doc, pos, line, name, ahead, back, most): ahead and back are the lines of the shortest stretches of min_chars
+    from here on, and to here, null where the run of adjoining lines has none; most is the largest of the run."""
     run = Window.partitionBy("doc", "run")
-    lines = lines.withColumn("t", F.sum("n").over(run.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("s", (F.col("t") - F.col("n")).cast("long"))
+    lines = lines.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
+    lines = lines.withColumn("t", F.sum("n").over(run.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("s", (F.col("t") - F.col("n")).cast("long"))
     on = run.orderBy("s").rangeBetween(0, min_chars - 1)
     to = run.orderBy("t").rangeBetween(-(min_chars - 1), 0)
-    ahead = F.when(F.max("t").over(on) - F.col("s") >= min_chars, F.max("k").over(on) - F.col("k") + 1)
-    back = F.when(F.col("t") - F.min("s").over(to) >= min_chars, F.col("k") - F.min("k").over(to) + 1)
-    return lines.select("doc", "k", "line", "pos", "name", "run", ahead.alias("ahead"), back.alias("back"))
-
-
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, lines): for each document that loses any, the numbers of its lines to remove."""
-    lines = staged(line_table(docs), "lines")
-    # Repeated rows share their places: a line is repeated if it has two of them, and each place goes on once.
-    classes = lines.groupBy("h1", "h2").agg(F.max("pos").alias("last"), F.min("pos").alias("name")).where("name < last").drop("last")
-    repeated = lines.join(classes, ["h1", "h2"]).select("doc", "k", "line", "n", "pos", "name")
-    repeated = repeated.repartition("doc").dropDuplicates(["doc", "k"])
-    found = staged(windows(repeated, min_chars), "line-windows")
-
-    starts = found.where("ahead is not null").select("doc", "k", F.col("ahead").alias("size"))
-    ends = found.where("back is not null").select("doc", (F.col("k") - F.col("back") + 1).alias("k"), F.col("back").alias("size"))
-    looked_up = starts.unionByName(ends).distinct().withColumn("level", F.floor(F.log2("size")).cast("int"))
-    looked_up = checkpointed(looked_up)
-    deepest = looked_up.agg(F.max("level")).first()[0]
-    if deepest is None:
-        return found.select("doc", F.array("line").alias("lines")).limit(0)
-
-    # Only runs with a window that large need names of 2^level lines.
-    deep = found.groupBy("doc", "run").agg(F.max(F.greatest("ahead", "back")).alias("most"))
-    names = found.select("doc", "k", "run", "pos", "name")
-    covered: list[DataFrame] = []
-    for level in range(deepest + 1):
-        if level:
-            half = 1 << (level - 1)
-            going = names.join(deep.where(F.col("most") >= 1 << level).select("doc", "run"), ["doc", "run"], "left_semi")
-            other = names.select("doc", (F.col("k") - half).alias("k"), F.col("name").alias("other"))
-            pairs = going.join(other, ["doc", "k"])
-            classes = pairs.groupBy("name", "other").agg(F.count("*").alias("c"), F.min("pos").alias("leader")).where("c > 1").drop("c")
-            names = checkpointed(pairs.join(classes, ["name", "other"]).select("doc", "k", "run", "pos", F.col("leader").alias("name")))
-        here = looked_up.where(F.col("level") == level)
-        first = here.join(names.select("doc", "k", "pos", "name"), ["doc", "k"])
-        first = checkpointed(first)
-        exact = first.where(F.col("size") == 1 << level).where("name < pos").select("doc", "k", "size")
-        longer = first.where(F.col("size") > 1 << level).withColumn("k2", F.col("k") + F.col("size") - (1 << level))
-        longer = longer.join(names.select("doc", F.col("k").alias("k2"), F.col("name").alias("name2")), ["doc", "k2"])
-        leaders = longer.groupBy("size", "name", "name2").agg(F.min("pos").alias("leader"))
-        longer = longer.join(leaders, ["size", "name", "name2"]).where("leader < pos").select("doc", "k", "size")
-        # Stored level by level: the plans stay as small as one level.
-        covered.append(staged(exact.unionByName(longer), "line-cover"))
-    places = reduce(DataFrame.unionByName, covered).select("doc", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k")).distinct()
-    lines = places.join(found.select("doc", "k", "line"), ["doc", "k"]).groupBy("doc").agg(F.collect_list("line").alias("lines"))
-    return staged(lines, "removed-lines")
+    ahead = F.when(F.max("t").over(on) - F.col("s") >= min_chars, F.max("pos").over(on) - F.col("pos") + 1)
+    back = F.when(F.col("t") - F.min("s").over(to) >= min_chars, F.col("pos") - F.min("pos").over(to) + 1)
+    sized = lines.withColumn("ahead", ahead).withColumn("back", back)
+    return sized.withColumn("most", F.max(F.greatest("ahead", "back")).over(run)).select("doc", "pos", "line", "name", "ahead", "back", "most")
+
+
+def later_copies(found: DataFrame) -> DataFrame:
+    """(doc, pos, end): stretches of lines that occur earlier too, by the intervals of their common prefixes."""
+    starts = found.where("ahead is not null").select("doc", "pos", F.col("ahead").alias("size"))
+    ends = found.where("back is not null").select("doc", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("size"))
+    later = [found.where("(ahead = 1 or back = 1) and name < pos").select("doc", "pos", (F.col("pos") + 1).alias("end"))]
+    prefixes = checkpointed(starts.unionByName(ends).where("size > 1").distinct().withColumn("level", F.floor(F.log2("size")).cast("int")))
+    deepest = prefixes.agg(F.max("level")).first()[0] or 0
+    names = found.select("doc", "pos", "name", "most")
+    for level in range(1, deepest + 1):
+        half = 1 << (level - 1)
+        behind = Window.partitionBy("doc").orderBy("pos").rangeBetween(half, half)
+        pairs = names.where(F.col("most") >= 2 * half).withColumn("other", F.max("name").over(behind)).where("other is not null")
+        names = named(staged(pairs, "line-pairs"), ["name", "other"], "leader").select("doc", "pos", F.col("leader").alias("name"), "most")
+        names = checkpointed(names)
+        # A prefix is named by its first and its last 2^level lines; these are one for prefixes of just as many.
+        ahead = prefixes.where(F.col("level") == level).join(names.select("pos", "name"), "pos")
+        last = names.select(F.col("pos").alias("pos2"), F.col("name").alias("name2"))
+        ahead = ahead.withColumn("pos2", F.col("pos") + F.col("size") - 2 * half).join(last, "pos2")
+        intervals = named(staged(ahead.select("doc", "pos", "size", "name", "name2"), "line-prefixes"), ["size", "name", "name2"], "leader")
+        later.append(staged(intervals.where("leader < pos").select("doc", "pos", (F.col("pos") + F.col("size")).alias("end")), "line-later"))
+    return reduce(DataFrame.unionByName, later)
+
+
+def repeated_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc, lines): for each text in the array that loses any, the numbers of its lines in runs that occur earlier."""
+    lines = named(staged(line_table(texts), "lines"), ["l1", "l2"], "name")
+    found = staged(windows(lines.select("doc", "pos", "line", "n", "name"), min_chars), "line-windows")
+    both = found.select("doc", "pos", "line", F.lit(None).cast("long").alias("end")).unionByName(later_copies(found).select("doc", "pos", F.lit(None).cast("int").alias("line"), "end"))
+    reach = F.max("end").over(Window.partitionBy("doc").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("end", reach).where("line is not null and end > pos").groupBy("doc").agg(F.collect_list("line").alias("lines"))
 
 
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its columns, text without the removed lines; and n_lines, n_removed (named apart from its columns)."""
-    removed = removed_lines(docs, min_chars).select(F.col("doc").alias("_doc_removed"), F.col("lines").alias("_lines_removed"))
-    key = document_key(F.col("doc_id"), F.col("text")).cast(BIG)
+    texts = distinct_texts(docs)
+    gone = repeated_lines(texts, min_chars).withColumnRenamed("lines", "gone")
+    known = texts.select("h1", "h2", "first", "copies", "chars", "doc").join(gone, "doc", "left").where("gone is not null or (copies > 1 and chars >= {})".format(int(min_chars)))
+    known = staged(known.drop("doc"), "line-known")
+    total = docs.count()
+    hot = F.broadcast(known.where(F.col("copies") > total // HOT).select("h1", "h2", "first", "chars"))  # at most HOT rows
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *_hashes(F.col("text"), "h1", "h2"))
+    rows = rows.join(hot.withColumnsRenamed({"first": "hot_first", "chars": "hot_chars"}), ["h1", "h2"], "left")
+    own = lambda first: F.col("r.doc_id").eqNullSafe(F.col(f"{first}.doc_id"))
+    # A copy of a very common text needs nothing but to know that, so it goes wherever there is room.
+    rows = rows.withColumn("copy", F.coalesce(F.col("hot_first").isNotNull() & ~own("hot_first"), F.lit(False)) | F.col("r.text").isNull())
+    rows = rows.select("r", "copy", F.when(F.col("copy"), F.col("hot_chars")).alias("hot_chars"), F.when(F.col("copy"), F.xxhash64("r.doc_id")).otherwise(F.col("h1")).alias("k1"), F.when(F.col("copy"), F.lit(0)).otherwise(F.col("h2")).alias("k2"))
+    other = known.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.lit(False).alias("copy"), "first", "chars", "gone")
     # The same join at every size: texts move once, and no side must fit one machine.
-    joined = docs.join(removed.hint("shuffle_hash"), key == F.col("_doc_removed"), "left")
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lines_removed"))
-    text = F.when(F.col("_lines_removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias(free_name(docs, "n_lines"))
-    n_removed = F.coalesce(F.size("_lines_removed"), F.lit(0))
-    n_removed = F.when(F.col("_lines_removed").isNull(), 0).otherwise(n_removed).cast("long").alias(free_name(docs, "n_removed"))
-    return joined.select(*[text.alias(c) if c == "text" else joined[c] for c in docs.columns], n_lines, n_removed)
+    joined = rows.join(other.hint("shuffle_hash"), ["k1", "k2", "copy"], "left")
+    later = F.when(F.col("copy"), F.col("hot_chars")).when(F.col("first").isNotNull() & ~own("first"), F.col("chars")) >= min_chars
+    lines = F.split("r.text", "\n", -1)
+    left = F.when(later, F.filter(lines, _blank)).when(F.col("gone").isNotNull(), F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i)))
+    done = joined.select("r", F.when(F.col("r.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n"), left.alias("left"))
+    text = F.when(F.col("left").isNull(), F.col("r.text")).otherwise(F.array_join("left", "\n"))
+    columns = [text.alias(c) if c == "text" else F.col("r").getField(c).alias(c) for c in docs.columns]
+    n_removed = F.when(F.col("left").isNull(), 0).otherwise(F.col("n") - F.size("left")).cast("long")
+    return done.select(*columns, F.col("n").alias(free_name(docs, "n_lines")), n_removed.alias(free_name(docs, "n_removed")))
 
 
 def report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

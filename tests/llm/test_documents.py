@@ -251,6 +251,18 @@ def test_line_dedup_repeated_rows(spark):
     assert got == [(1, first, 0), *[(2, "own start of the later\nown end", 6)] * 3]
 
 
+def test_line_dedup_tells_documents_apart(spark):
+    """Repeated and null doc_ids with different texts: no unique line goes, whatever the ids; columns may have any name."""
+    rows = [(5 if n % 3 else None, f"a line of its own, number {n}, that is long enough to be a run by itself " * 3) for n in range(6000)]
+    df = spark.createDataFrame([*rows, (1, rows[0][1]), (None, "x" * 200), (None, "x" * 200), (7, "x" * 200)], "doc_id long, text string")
+    names = ["h1", "h2", "doc", "pos", "name", "first", "copies", "chars", "gone", "left", "copy", "r", "n", "k1", "n_lines", "n_removed", "lines", "bucket"]
+    clash = df.select("*", *[F.lit(7).alias(x) for x in names])
+    done = linededup.remove_lines(clash)
+    assert done.columns[: len(clash.columns)] == clash.columns and done.where(" or ".join(f"{x} <> 7" for x in names)).isEmpty()
+    got = done.groupBy("doc_id", F.substring("text", 1, 9).alias("t")).count().collect()
+    assert sorted((x.doc_id or 0, x.t, x["count"]) for x in got) == [(0, "a line of", 2000), (0, "x" * 9, 2), (1, "", 1), (5, "a line of", 4000), (7, "", 1)]
+
+
 def first_kinds(text, patterns):
     return [(k, *m.span()) for k, (p, ok) in patterns.items() for m in re.finditer(p, text) if ok(m)]
 
