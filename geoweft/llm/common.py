@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoweft.session import shared_dir, staged
 
-__all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions", "free_name"]
+__all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions", "free_name", "numbered"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def numbered(docs: DataFrame, wanted: str) -> tuple[DataFrame, str]:
+    """docs, stored with a number for each row, and that column's name.
+
+    Rows get their numbers once, with their texts: what is read again later,
+    by whatever splits, goes by the same numbers.
+    """
+    key = free_name(docs, wanted)
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered", compression="zstd"), key
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of one slice hold about most_bytes, or one row."""
     for batch in batches:

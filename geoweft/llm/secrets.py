@@ -29,10 +29,10 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import free_name, staged, text_slices
+from geoweft.llm.common import free_name, numbered, staged, text_slices
 from geoweft.llm.spans import Span, digest
 
 BASE = ["assign", "access", "hex"]
@@ -46,7 +46,10 @@ ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 IDENT = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
 IDENT_HINTS = ("user", "login", "client", "account", "access")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+|\b[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:[0-9]{2,5}\b""", re.ASCII)
+SCHEME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+HOST_LETTERS = SCHEME_LETTERS - {"+"}
+REST = re.compile(r"""[^\s"'<>]+""")
+PORT = re.compile(r":[0-9]{2,5}\b", re.ASCII)
 WEAK_ASSIGN = re.compile(r"""(?:pwd|pass(?:phrase)?|key|auth|credentials?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})""", re.IGNORECASE | re.ASCII)
 WEAK_HINTS = ("pwd", "pass", "key", "auth", "credential")
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
@@ -65,13 +68,50 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _left_end(text: str, at: int, letters: frozenset[str]) -> int:
+    while at and text[at - 1] in letters:
+        at -= 1
+    return at
+
+
+def endpoints(text: str) -> list[Span]:
+    """URLs, and hosts of two labels or more with a port. Each is found by its :// or its port, and from there to the left.
+
+    Letters before one colon are never before another, so no place is looked at twice.
+    """
+    out: list[Span] = []
+    past = 0
+    while (colon := text.find("://", past)) >= 0:
+        start = _left_end(text, colon, SCHEME_LETTERS)
+        while start < colon and not text[start].isalpha():
+            start += 1
+        past = colon + 3
+        if start < colon and (rest := REST.match(text, past)):
+            past = rest.end()
+            out.append(("endpoint", start, past))
+    urls = iter(out[:])
+    url = next(urls, None)
+    for m in PORT.finditer(text):
+        while url and url[2] <= m.start():
+            url = next(urls, None)
+        if url and url[1] <= m.start():
+            continue
+        start = _left_end(text, m.start(), HOST_LETTERS)
+        start = max(start, text.rfind("..", start, m.start()) + 2) if ".." in text[start : m.start()] else start
+        while start < m.start() and text[start] in "-.":
+            start += 1
+        if "." in text[start : m.start() - 1] and text[m.start() - 1] != ".":
+            out.append(("endpoint", start, m.end()))
+    return out
+
+
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
     """Parts clear of the base spans. They may overlap, or be one place in two roles: that is settled after linking."""
     low, found = text.lower(), []
     if any(x in low for x in IDENT_HINTS):
         found += [("ident", *m.span(1)) for m in IDENT.finditer(text)]
     if ":" in text:
-        found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
+        found += endpoints(text)
     if any(x in low for x in WEAK_HINTS):
         found += [("value", *m.span(1)) for m in WEAK_ASSIGN.finditer(text)]
     if found or base:  # a lone random string has nothing to be linked to
@@ -95,8 +135,8 @@ def chosen(linked: list[Span]) -> list[Span]:
     return out
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base counts and digest, base and weak: the spans of each text."""
+def parsed(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """row (a number that tells rows apart), doc_id, base counts and digest, base and weak: the spans of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +150,8 @@ def parsed(docs: DataFrame) -> DataFrame:
 
     spans = "array<struct<kind:string,start:int,end:int>>"
     schema = f"row long, doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base {spans}, weak {spans}"
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(row.alias("row"), "doc_id", "text").mapInArrow(run, schema)
 
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -138,9 +179,9 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return sets.mapInArrow(run, "row long, links array<struct<kind:string,start:int,end:int>>")
 
 
-def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found for every row; found is spans as an array."""
-    rows = staged(parsed(docs), "secrets")
+def scan(docs: DataFrame, scope: int = SCOPE, row: Column | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found, row for every row; found is spans as an array."""
+    rows = staged(parsed(docs, row), "secrets")
     all_rows = rows.join(linked(rows, scope), "row", "left")
     spans = F.when(F.col("links").isNull(), F.col("base")).otherwise(F.concat("base", "links"))
     placed = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
@@ -150,12 +191,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The rows with every found span replaced by its kind in angle brackets; other columns unchanged."""
-    key = free_name(docs, "_secret_row")
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
-    found = scan(docs, scope).where("size(found) > 0").select(F.col("row").alias("_found_row"), F.col("found").alias("_found_spans"))
-    joined = numbered.join(found.hint("shuffle_hash"), F.col(key) == F.col("_found_row"), "left")
     names = docs.columns
+    rows, key = numbered(docs, "_secret_row")
     at = names.index("text")
+    there, spans_name = free_name(rows, "_found_row"), free_name(rows, "_found_spans")
+    found = scan(rows, scope, F.col(key)).where("size(found) > 0").select(F.col("row").alias(there), F.col("found").alias(spans_name))
+    joined = rows.join(found.hint("shuffle_hash"), F.col(key) == F.col(there), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +207,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(names)])
 
-    return joined.select(*[joined[c] for c in names], "_found_spans").mapInArrow(run, docs.schema)
+    return joined.select(*[f"`{c}`" for c in names], spans_name).mapInArrow(run, docs.schema)
 
 
 def replaced(text: str, spans: list[Span]) -> str:

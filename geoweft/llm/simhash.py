@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import free_name, staged, text_slices
+from geoweft.llm.common import free_name, numbered, staged, text_slices
 from geoweft.operators.components import connected_components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -238,13 +238,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
 
 
 def representatives(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row of docs, as it is, of each component: that with the smallest doc_id, of its rows the first.
-
-    docs is a stored table: its rows are numbered in two reads of it.
-    """
-    key = free_name(docs, "_simhash_row")
-    numbered = docs.withColumn(key, F.monotonically_increasing_id())
+    """One row of docs, as it is, of each component: that with the smallest doc_id, of its rows the first."""
+    rows, key = numbered(docs, "_simhash_row")
     whole = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", F.col(key).alias("row"))
-    rows = near_duplicates(numbered.select(whole.alias("doc_id"), "text"), words, bits)
-    first = rows.select("component_id").distinct().select(F.col("component_id.row").alias("_kept_row"))
-    return numbered.join(first.hint("shuffle_hash"), numbered[key] == first["_kept_row"], "left_semi").drop(key)
+    found = near_duplicates(rows.select(whole.alias("doc_id"), "text"), words, bits)
+    return kept_rows(rows, key, found.select("component_id.row").distinct())
+
+
+def kept_rows(rows: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number, under key, is among those of kept's one column; without the number."""
+    name = free_name(rows, "_kept_row")
+    kept = kept.toDF(name)
+    return rows.join(kept.hint("shuffle_hash"), F.col(key) == F.col(name), "left_semi").drop(key)
