@@ -5,7 +5,8 @@ first digit of a run, and words that announce an account. From each anchor a
 small deterministic parser walks outwards, finds the boundaries of an e-mail,
 network address, card, telephone number, account or URL with user data, and
 validates it. Base kinds are what their stated patterns match from left to
-right without overlap, failing matches dropped; added kinds never touch them.
+right without overlap, failing matches dropped; added kinds never touch them, and a login that would
+ends before them.
 
 Defined cases: null text has no spans; rows repeat as they come; positions are
 code points, ends exclusive; other columns are ignored.
@@ -123,12 +124,21 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
         else:
             taken.append((s, e))
-    for span in sorted(set(added), key=lambda x: (x[1], -x[2])):
-        if (not clear or span[1] >= clear[-1][2]) and not _touches(taken, span):
+    for span in sorted({_before_base(text, x, taken) for x in added}, key=lambda x: (x[1], -x[2])):
+        if span[1] < span[2] and (not clear or span[1] >= clear[-1][2]) and not _touches(taken, span):
             clear.append(span)
     return base, clear
 
 
+def _before_base(text: str, span: Span, taken: list[tuple[int, int]]) -> Span:
+    """A login whose password and host read as an e-mail ends before that: its user name stays reported."""
+    kind, start, end = span
+    at = bisect_left(taken, (start,))
+    if kind != "login" or at == len(taken) or taken[at][0] >= end:
+        return span
+    return kind, start, max(start, taken[at][0] - (text[taken[at][0] - 1] == ":"))
+
+
 def _touches(taken: list[tuple[int, int]], span: Span) -> bool:
     """taken: disjoint intervals in order."""
     at = bisect_left(taken, (span[2],))
