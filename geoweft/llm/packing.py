@@ -12,8 +12,11 @@ other, and every queue empties exactly at the end of the last block.
 The target is the corpus mixture, or ``weights`` by source. With weights the
 schedule has phases: a source that runs dry leaves its share to the others.
 
-Documents may be cut anywhere. Sequences are filled to 1,024; the rest of a
-block is cut into powers of two, so that no sequence needs padding.
+Documents may be cut anywhere. Where a block begins in the packed stream of
+all blocks is a running total over blocks, so sequences are cut at the same
+1,024 places of that stream whatever the blocks, also across them. Only what is
+left at the very end is cut into powers of two, so that no sequence needs
+padding.
 
 Defined cases: null text is the end id alone; null source is a queue of its
 own; repeated rows are packed each; an empty table gives no pieces.
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.functions.running import bucket_of, order_buckets, running_total
+from geoweft.functions.running import range_numbered, running_total
 from geoweft.llm.common import shuffle_partitions, staged, text_slices
 from geoweft.llm.tokens import encoder
 
@@ -81,11 +84,21 @@ def shares(sizes: np.ndarray, window: int) -> list[np.ndarray]:
     return out
 
 
-def pack_block(queue: np.ndarray, start: np.ndarray, length: np.ndarray, window: int) -> dict[str, np.ndarray]:
-    """Packs one block. The rows are stretches of documents, by queue and place in it.
+def sequence_starts(total: int, low: int, high: int) -> tuple[int, np.ndarray]:
+    """Of the sequences of a stream of total tokens: the number of that with token low, and the starts of it and all others before high."""
+    full = total // SEQUENCE
+    tail = [1 << b for b in range(SEQUENCE.bit_length() - 2, -1, -1) if total % SEQUENCE >> b & 1]
+    ends = full * SEQUENCE + np.cumsum([0, *tail])[: len(tail)]
+    starts = np.concatenate([np.arange(low // SEQUENCE, min(full, -(-high // SEQUENCE))) * SEQUENCE, ends[ends < high]]).astype(np.int64)
+    first = max(0, int(np.searchsorted(starts, low, "right")) - 1)
+    return int(starts[first]) // SEQUENCE + int(np.searchsorted(ends, starts[first])) if len(starts) else 0, starts[first:]
+
+
+def pack_block(queue: np.ndarray, start: np.ndarray, length: np.ndarray, window: int, origin: int = 0, total: int | None = None) -> dict[str, np.ndarray]:
+    """Packs one block, which begins at origin in a stream of total tokens. The rows are stretches of documents, by queue and place in it.
 
     Returns arrays over the pieces: stretch (row number), skip (tokens of it
-    before the piece), length, sequence (number in the block), offset.
+    before the piece), length, sequence, offset.
     """
     names, q = np.unique(queue, return_inverse=True)
     order = np.lexsort((start, q))
@@ -108,23 +121,22 @@ def pack_block(queue: np.ndarray, start: np.ndarray, length: np.ndarray, window:
     take = np.searchsorted(take_begin, cuts, "right") - 1
     at = place[take] + cuts - take_begin[take]
     # Cut at the ends of sequences.
-    total = int(ends[-1])
-    full, rest = divmod(total, SEQUENCE)
-    tail = [1 << b for b in range(SEQUENCE.bit_length() - 2, -1, -1) if rest >> b & 1]
-    bounds = np.concatenate([np.arange(full) * SEQUENCE, full * SEQUENCE + np.cumsum([0, *tail])[: len(tail)]]).astype(np.int64)
+    at = at + origin
+    stop = origin + int(ends[-1])
+    number, bounds = sequence_starts(stop if total is None else total, origin, stop)
     first = np.searchsorted(bounds, at, "right") - 1
     last = np.searchsorted(bounds, at + sizes_of, "left") - 1
     n = last - first + 1
     item = np.repeat(np.arange(len(cuts)), n)
     sequence = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
     lo = np.maximum(at[item], bounds[sequence])
-    hi = np.minimum(at[item] + sizes_of[item], np.append(bounds, total)[sequence + 1])
+    hi = np.minimum(at[item] + sizes_of[item], np.append(bounds, stop)[sequence + 1])
     skip = cuts[item] - begins[stretch[item]] + lo - at[item]
-    return {"stretch": order[stretch[item]], "skip": skip, "length": hi - lo, "sequence": sequence, "offset": lo - bounds[sequence]}
+    return {"stretch": order[stretch[item]], "skip": skip, "length": hi - lo, "sequence": number + sequence, "offset": lo - bounds[sequence]}
 
 
 def schedule(meta: DataFrame, weights: dict[str, float] | None, n: int, block_tokens: int) -> tuple[DataFrame, int]:
-    """(block, queue, row, begin, length, skip): the stretch of each document in each block; and a bound on the tokens of a block.
+    """(block, queue, row, begin, length, skip): the stretch of each document in each block; and the number of all tokens.
 
     meta: row, doc_id, source, doc_tokens.
     """
@@ -133,12 +145,11 @@ def schedule(meta: DataFrame, weights: dict[str, float] | None, n: int, block_to
     if weights is not None:
         named = F.when(F.col("source").isin(list(weights)), named).otherwise(other)
     meta = meta.withColumn("queue", named)
-    splits = order_buckets(meta, "doc_id", 4 * n)
-    meta = meta.withColumn("bucket", bucket_of(F.col("doc_id"), splits))
+    meta = range_numbered(meta, ["doc_id", "row"], n, "bucket", "packing-order")
     placed = running_total(meta, "doc_tokens", ["doc_id", "row"], "bucket", "begin", by=["queue"])
     totals = meta.groupBy("queue").agg(F.sum("doc_tokens").alias("queue_tokens"))
-    total, queues = meta.agg(F.sum("doc_tokens"), F.countDistinct("queue")).first()
-    blocks = max(1, -(-(total or 0) // block_tokens))
+    total = meta.agg(F.sum("doc_tokens")).first()[0] or 0
+    blocks = max(1, -(-total // block_tokens))
     if weights is None:
         placed = placed.join(totals, "queue").withColumn("phases", F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("queue_tokens").alias("to"), F.lit(0).cast("long").alias("first"), F.lit(blocks).cast("long").alias("count"))))
     else:
@@ -152,7 +163,7 @@ def schedule(meta: DataFrame, weights: dict[str, float] | None, n: int, block_to
     placed = placed.selectExpr("*", f"explode(sequence({block_at.format(x='lo')}, {block_at.format(x='hi - 1')})) as b")
     edge = f"cast((cast({{b}} as {big}) * size) div count as long)"
     placed = placed.selectExpr("*", f"greatest(lo, {edge.format(b='b')}) as x", f"least(hi, {edge.format(b='b + 1')}) as y").where("x < y")
-    return placed.selectExpr("first + b as block", "queue", "row", "q0 + x as begin", "y - x as length", "q0 + x - begin as skip"), block_tokens + queues + 1
+    return placed.selectExpr("first + b as block", "queue", "row", "q0 + x as begin", "y - x as length", "q0 + x - begin as skip"), total
 
 
 def phases(totals: dict[str, int], weights: dict[str, float], block_tokens: int) -> list[tuple]:
@@ -191,14 +202,16 @@ def pack_ids(docs: DataFrame, path: str, end_id: int, weights: dict[str, float]
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     n, window = shuffle_partitions(spark), window_sequences * SEQUENCE
     ids = staged(tokenized(docs, path, end_id), "packing-ids", compression="zstd")
-    stretches, most = schedule(ids.select("row", "doc_id", "source", "doc_tokens"), weights, n, window * block_windows)
-    per_block = most // SEQUENCE + 16
+    stretches, total = schedule(ids.select("row", "doc_id", "source", "doc_tokens"), weights, n, window * block_windows)
+    stretches = staged(stretches, "packing-stretches")
+    bases = stretches.groupBy("block").agg(F.sum("length").alias("tokens")).withColumn("bucket", (F.col("block") / 4096).cast("long"))
+    bases = running_total(bases, "tokens", ["block"], "bucket", "base").select("block", "base")
+    stretches = stretches.join(bases, "block")
 
     def block(t: pa.Table) -> pa.Table:
-        got = pack_block(np.array(t["queue"].to_pylist(), object), t["begin"].to_numpy(), t["length"].to_numpy(), window)
+        got = pack_block(np.array(t["queue"].to_pylist(), object), t["begin"].to_numpy(), t["length"].to_numpy(), window, t["base"][0].as_py(), total)
         row, skip = t["row"].to_numpy()[got["stretch"]], t["skip"].to_numpy()[got["stretch"]]
-        number = t["block"][0].as_py()
-        return pa.table({"row": row, "start": skip + got["skip"], "length": got["length"], "sequence_id": number * per_block + got["sequence"], "offset": got["offset"]})
+        return pa.table({"row": row, "start": skip + got["skip"], "length": got["length"], "sequence_id": got["sequence"], "offset": got["offset"]})
 
     pieces = stretches.groupBy("block").applyInArrow(block, "row long, start long, length long, sequence_id long, offset long")
     pieces = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))

@@ -13,6 +13,8 @@ from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Target mixture of op4: these sources in equal shares while they last, others after them.
+MIXTURE = {f"src{k}": 1.0 for k in range(20)}
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, weights=MIXTURE)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,8 @@ def check_packing(got, docs):
             assert p.offset == at
             at += p.length
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
+    total = sum(r.length for r in got)
+    assert len(by_sequence) == max(by_sequence) + 1 == total // 1024 + (total % 1024).bit_count()
     assert sum(r.length for r in got) == sum(len(want(BYTE, d.text)) + 1 for d in docs)
     for d in docs:
         ids = np.array([*want(BYTE, d.text), 0], "<u4")
