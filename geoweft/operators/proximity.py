@@ -83,6 +83,13 @@ def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> Data
     return met.select("feature_id", "target_id", _shape_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= metres)
 
 
+def shapes_near_one(df: DataFrame, one: DataFrame, metres: float, key: str, meridian: float | None = None) -> DataFrame:
+    """key of the features at most so far from the single geometry of one (target_id, geom)."""
+    area = _shapes(one, [], "target_id", meridian).select(F.col("shape").alias("_one"))
+    met = _shapes(df, [one], key, meridian).crossJoin(F.broadcast(area))  # one row
+    return met.where(_shape_distance("shape", "_one") <= metres).select(key)
+
+
 def _placed(df: DataFrame, others: list[DataFrame], key: str, meridian: float | None) -> DataFrame:
     df, others = _as_points(df, key), [_corners(o) for o in others]
     return metric_xy(df.select(key, "lon", "lat").where("lon is not null and lat is not null"), *[o.select("lon", "lat") for o in others], meridian=meridian)

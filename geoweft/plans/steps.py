@@ -11,14 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from math import cos, radians
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoweft.functions.geodesy import metric_xy, segment_distance_sql
+from geoweft.functions.geometry import GEOMETRY
 from geoweft.operators import filters, moving, proximity, ranking, topology
 from geoweft.operators.filters import boundary_edges
+from geoweft.sources import catalog as catalogs
 
 Step = dict[str, Any]
 
@@ -69,21 +73,22 @@ def register_op(name: str, run: Operation | None = None):
 
 
 def register_source(name: str, load: Callable[..., DataFrame]) -> None:
-    """Adds a layer source: a function of (spark, **options) that returns features."""
+    """Adds a layer source for a provider: a function of (spark, source_url, **parameters) that returns features."""
     SOURCES[name] = load
 
 
 def near_boundary(df: DataFrame, boundary: dict[str, Any], metres: float) -> DataFrame:
-    """Points in the boundary or at most so far from it, by metric distance to its edges; no buffer is made.
+    """Features in the boundary or at most so far from it, by metric distance to it; no buffer is made.
 
     A degree of latitude has over 110 km, one of longitude that times the
-    cosine: the box in degrees reaches the scan, the distance is exact.
+    cosine: the box in degrees reaches the scan, the distance is exact. Points
+    are measured to the boundary's edges, lines and areas as near measures them.
     """
-    from math import cos, radians
-
     y0, y1 = boundary["ymin"], boundary["ymax"]
     dy = metres / 110_000
     dx = metres / (110_000 * max(0.01, cos(radians(max(abs(y0), abs(y1)) + dy))))
+    if "lon" not in df.columns:
+        return _shapes_near_boundary(df, boundary, metres, dx, dy)
     boxed = df.where(F.col("lon").between(boundary["xmin"] - dx, boundary["xmax"] + dx) & F.col("lat").between(y0 - dy, y1 + dy))
     meridian = ((boundary["xmin"] + boundary["xmax"]) / 2 + 180) // 6 * 6 - 177
     edges = boundary_edges(boundary)
@@ -97,6 +102,16 @@ def near_boundary(df: DataFrame, boundary: dict[str, Any], metres: float) -> Dat
     return placed.where(inside | close).drop("_x", "_y", "_edges")
 
 
+def _shapes_near_boundary(df: DataFrame, boundary: dict[str, Any], metres: float, dx: float, dy: float) -> DataFrame:
+    x0, x1, y0, y1 = boundary["xmin"] - dx, boundary["xmax"] + dx, boundary["ymin"] - dy, boundary["ymax"] + dy
+    boxed = df.where((F.col("geom.xmin") <= x1) & (F.col("geom.xmax") >= x0) & (F.col("geom.ymin") <= y1) & (F.col("geom.ymax") >= y0))
+    meridian = ((boundary["xmin"] + boundary["xmax"]) / 2 + 180) // 6 * 6 - 177
+    area = df.sparkSession.createDataFrame([(0, boundary)], T.StructType([T.StructField("target_id", T.LongType()), T.StructField("geom", GEOMETRY)]))
+    key = "feature_id" if "feature_id" in df.columns else "target_id"
+    near = proximity.shapes_near_one(boxed, area, metres, key, meridian).select(F.col(key).alias("_near_id"))
+    return boxed.join(near, F.col(key) == F.col("_near_id"), "left_semi")
+
+
 def _where(step: Step, prefix: str) -> filters.Where | None:
     found = tuple(step.get(f"{prefix}_{k}") for k in ("field", "operator", "value"))
     return None if all(x is None for x in found) else found
@@ -160,14 +175,20 @@ register_op("touches", _relation(topology.touches))
 register_op("contains", _relation(topology.contains))
 
 
+def _formats(step: Step, ctx: Context) -> list[str] | None:
+    """Time formats of the layer that the step's rows come from."""
+    layer = ctx.temporal.get(step["input"])
+    return layer.time_formats if layer else None
+
+
 @register_op("latest_per_entity")
 def _latest(df: DataFrame, step: Step, ctx: Context) -> DataFrame:
-    return moving.latest_per_entity(df, step.get("entity_field", "netId"), step.get("time_field", "eventTime"))
+    return moving.latest_per_entity(df, step.get("entity_field", "netId"), step.get("time_field", "eventTime"), _formats(step, ctx))
 
 
 @register_op("movement_direction")
 def _movement(df: DataFrame, step: Step, ctx: Context) -> DataFrame:
-    return moving.movement_direction(df, step["direction"], step.get("entity_field", "netId"), step.get("time_field", "eventTime"), step.get("min_distance_m", 50))
+    return moving.movement_direction(df, step["direction"], step.get("entity_field", "netId"), step.get("time_field", "eventTime"), step.get("min_distance_m", 50), _formats(step, ctx))
 
 
 @register_op("directional")
@@ -225,15 +246,56 @@ def _whole(name: str, values: list[Any]) -> None:
         raise PlanError(f"step {name!r}: a target filter needs field, operator and value")
 
 
-def run_plan(spark: SparkSession, plan: dict[str, Any], layers: dict[str, Layer], boundary: dict[str, Any] | None = None, now: datetime | None = None) -> DataFrame:
-    """The plan's output as one lazy DataFrame."""
+def run_plan(spark: SparkSession, plan: dict[str, Any], layers: dict[str, Layer], boundary: dict[str, Any] | None = None, now: datetime | None = None, counts: dict[str, Observation] | None = None) -> DataFrame:
+    """The plan's output as one lazy DataFrame.
+
+    counts, an empty dict, gets an Observation for each step: the rows that left
+    it, under "<id>_rows", once the output has been computed. Counted steps are
+    walls that the optimiser moves no filter across.
+    """
     check_plan(plan, set(layers), boundary is not None)
     ctx = Context(spark, layers, boundary, now)
     results: dict[str, DataFrame] = {}
     for step in plan["steps"]:
         source = step.get("input")
-        results[step["id"]] = OPERATIONS[step["op"]](results.get(source), step, ctx)
+        found = OPERATIONS[step["op"]](results.get(source), step, ctx)
+        if counts is not None:
+            counts[step["id"]] = Observation(f"step {step['id']}")
+            found = filters.observe_step(found, step["id"], counts[step["id"]])
+        results[step["id"]] = found
         layer = layers[step["layer"]] if step["op"] == "load" else ctx.temporal.get(source)
         if layer is not None:
             ctx.temporal[step["id"]] = layer
     return results[plan["output"]]
+
+
+def load_layer(spark: SparkSession, catalog: DataFrame, layer_id: str, boundary: dict[str, Any] | None = None, equals: list[tuple[str, Any]] | None = None, between: tuple[Any, Any] | None = None, limit: int | None = None) -> Layer:
+    """A layer of the catalog, by its id, through the source registered for its provider.
+
+    The source gets the catalog's URL and the query parameters in it. boundary,
+    equals (field, value pairs) and between (two moments of the layer's time
+    column) narrow the rows; they are plain filters, so those on stored columns
+    reach the scan. limit is for samples: any so many rows.
+    """
+    found = catalogs.catalog_parts(catalog.where(F.col("id") == layer_id)).head()
+    if found is None:
+        raise PlanError(f"layer {layer_id!r} is not in the catalog")
+    if found.provider not in SOURCES:
+        raise PlanError(f"layer {layer_id!r}: no source for provider {found.provider!r}")
+    rows = SOURCES[found.provider](spark, found.source_url, **(found.parameters or {}))
+    time = found.temporal_field if found.temporal_field in rows.columns else None
+    for name, value in equals or []:
+        rows = filters.attribute_filter(rows, name, "eq", value)
+    if between is not None:
+        rows = filters.temporal_filter(rows, time, *between)
+    if boundary is not None:
+        rows = filters.within_geometry(rows, boundary)
+    return Layer(rows if limit is None else rows.limit(limit), time)
+
+
+def catalog_layers(spark: SparkSession, catalog: DataFrame, plan: dict[str, Any]) -> dict[str, Layer]:
+    """The layers that a plan names, loaded from the catalog; those it doesn't know are left out, which check_plan reports."""
+    names = {s[k] for s in plan.get("steps", []) for k in ("layer", "target_layer", "first_target_layer", "second_target_layer") if k in s}
+    names |= {t["layer"] for s in plan.get("steps", []) for t in s.get("targets", []) if "layer" in t}
+    known = catalogs.queryable(catalog, list(SOURCES)).where(F.col("id").isin(sorted(names))).select("id").collect()  # at most the plan's layers
+    return {r.id: load_layer(spark, catalog, r.id) for r in known}

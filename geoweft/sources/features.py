@@ -15,7 +15,7 @@ from geoweft.functions.geometry import GEOMETRY, geometry_of, parse_any
 
 #: Keys under which services return their rows, ids, property lists, names and values.
 ROW_KEYS = ("data", "Data", "results", "Results", "items", "Items", "entities", "Entities")
-ENTITY_LIST_KEYS = (*ROW_KEYS, "entityList", "EntityList", "entitiesList", "EntitiesList")
+ENTITY_LIST_KEYS = ("entities_list", "EntitiesList", "features", "Features", "entities", "Entities", "data", "Data", "results", "Results", "items", "Items")
 ID_KEYS = ("id", "entityId", "entity_id", "Id")
 PROPERTY_KEYS = ("property_list", "PropertiesList", "PropertyList", "Property_List", "properties_list", "Properties", "properties")
 NAME_KEYS = ("name", "Name", "key", "Key", "field", "fieldName", "FieldName", "field_name", "propertyName", "PropertyName", "property_name")
@@ -99,23 +99,27 @@ def _reader(keys: tuple[str, ...], record):
     return run
 
 
-def _pages(spark: SparkSession, path: str, reader) -> DataFrame:
-    """One row for each row of the landed pages (a page is a file), the unreadable geometries null."""
-    pages = spark.read.text(path, wholetext=True)
+def _rows_of(pages: DataFrame, reader) -> DataFrame:
+    """One row for each row of the pages (JSON text under value), the unreadable geometries null."""
     return pages.select(F.explode(reader(F.col("value"))).alias("f")).select("f.*")
 
 
-def read_cube_rows(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed pages: a file is a page."""
+    return spark.read.text(path, wholetext=True)
+
+
+def cube_rows(pages: DataFrame) -> DataFrame:
     """(properties, geom) of flat rows whose geometry is WKT; only points count as geometry. Drop the others with drop_invalid."""
 
     def record(row: dict[str, Any]) -> dict[str, Any]:
         geometry = parse_any(row["geometry"]) if isinstance(row.get("geometry"), str) else None
         return {"properties": {k: _text(v) for k, v in row.items() if k != "geometry"}, "geom": geometry if geometry and geometry["type"] == "Point" else None}
 
-    return _pages(spark, path, _reader(ROW_KEYS, record))
+    return _rows_of(pages, _reader(ROW_KEYS, record))
 
 
-def read_entities(spark: SparkSession, path: str) -> DataFrame:
+def entity_rows(pages: DataFrame) -> DataFrame:
     """(properties, geom) of nested entities: geo.wkt and a property list."""
 
     def record(row: dict[str, Any]) -> dict[str, Any]:
@@ -123,27 +127,46 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
         wkt = (geo.get("wkt") or geo.get("WKT")) if isinstance(geo, dict) else geo
         return {"properties": entity_record(row), "geom": parse_any(wkt) if isinstance(wkt, str) else None}
 
-    return _pages(spark, path, _reader(ENTITY_LIST_KEYS, record))
+    return _rows_of(pages, _reader(ENTITY_LIST_KEYS, record))
 
 
-def read_positions(spark: SparkSession, path: str) -> DataFrame:
+def position_rows(pages: DataFrame) -> DataFrame:
     """(properties, geom) of position reports, whose geometry takes any of many forms."""
 
     def record(row: dict[str, Any]) -> dict[str, Any]:
         return {"properties": {k: _text(v) for k, v in row.items() if k != "geometry"}, "geom": parse_any(row.get("geometry"))}
 
-    return _pages(spark, path, _reader(ROW_KEYS, record))
+    return _rows_of(pages, _reader(ROW_KEYS, record))
 
 
-def read_geojson(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(properties, geom) of feature collections; a missing file is an empty layer."""
+def geojson_rows(pages: DataFrame) -> DataFrame:
+    """(properties, geom) of feature collections."""
 
     def record(row: dict[str, Any]) -> dict[str, Any]:
         return {"properties": {k: _text(v) for k, v in (row.get("properties") or {}).items()}, "geom": parse_any(row.get("geometry"))}
 
+    return _rows_of(pages, _reader(("features",), record))
+
+
+def read_cube_rows(spark: SparkSession, path: str) -> DataFrame:
+    return cube_rows(_files(spark, path))
+
+
+def read_entities(spark: SparkSession, path: str) -> DataFrame:
+    return entity_rows(_files(spark, path))
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    return position_rows(_files(spark, path))
+
+
+def read_geojson(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """geojson_rows of files; a missing one is an empty layer."""
     try:
-        rows = _pages(spark, path, _reader(("features",), record))
-    except AnalysisException:
+        rows = geojson_rows(_files(spark, path))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], FEATURES)
     return rows if limit is None else rows.limit(limit)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoweft.functions.geodesy import metric_xy
 from geoweft.functions.geometry import geometry_of
 from geoweft.operators import filters, moving, proximity, ranking, topology
-from geoweft.plans.steps import Layer, PlanError, check_plan, run_plan
+from geoweft.plans.steps import OPERATIONS, SOURCES, Layer, PlanError, catalog_layers, check_plan, load_layer, near_boundary, register_op, register_source, run_plan
 
 SCHOOLS = [
     (1, "north", "Tel Aviv", 34.7740, 32.0900),
@@ -215,3 +215,69 @@ def test_distances_of_lines_and_areas(spark):
     assert {r.feature_id: r.cluster_id for r in proximity.cluster(areas, 2, 5000).collect()} == {1: 1, 2: 1}
     a, b = (spark.createDataFrame([(1, x, 32.0555)], "target_id long, lon double, lat double") for x in (34.70, 34.80))
     assert ids(proximity.between(areas, a, b, 100)) == [1]
+
+
+def test_boundary_grown_for_lines_and_areas(spark):
+    """0.001 degrees of longitude are some 94 m at 32 north."""
+    box = filters.boundary_from_bbox(34.76, 32.05, 34.79, 32.09)
+    rows = [(1, "LINESTRING(34.7905 32.06,34.80 32.06)"), (2, "LINESTRING(34.795 32.06,34.80 32.06)"), (3, "POLYGON((34.77 32.06,34.78 32.06,34.78 32.07,34.77 32.06))"), (4, "LINESTRING(34.70 32.00,34.90 32.0495)")]
+    df = shapes(spark, rows, "feature_id")
+    assert ids(near_boundary(df, box, 100)) == [1, 3] and ids(near_boundary(df, box, 3000)) == [1, 2, 3, 4]
+    points = spark.createDataFrame([(1, 34.7905, 32.06), (2, 34.795, 32.06)], "feature_id long, lon double, lat double")
+    assert ids(near_boundary(points, box, 100)) == [1]
+    # A plan's targets may be lines: one just outside the boundary is a target.
+    plan = {"steps": [{"id": "a", "op": "load", "layer": "p"}, {"id": "b", "op": "within_geometry", "input": "a"}, {"id": "c", "op": "near", "input": "b", "target_layer": "l", "distance_m": 100}], "output": "c"}
+    inside = spark.createDataFrame([(7, 34.7899, 32.06), (8, 34.77, 32.08)], "feature_id long, lon double, lat double")
+    assert ids(run_plan(spark, plan, {"p": Layer(inside), "l": Layer(df.where("feature_id = 1"))}, box)) == [7]
+
+
+def test_plans_read_day_first_times(spark):
+    rows = [(1, "x", "01/02/2026 10:00:00", 34.7, 32.0), (2, "x", "02/01/2026 10:00:00", 34.8, 32.0), (3, "y", "never", 34.7, 32.0)]
+    df = spark.createDataFrame(rows, "feature_id long, netId string, eventTime string, lon double, lat double")
+    layers = {"m": Layer(df, "eventTime", time_formats=["dd/MM/yyyy HH:mm:ss"])}
+    steps = [{"id": "a", "op": "load", "layer": "m"}, {"id": "b", "op": "latest_per_entity", "input": "a"}]
+    assert ids(run_plan(spark, {"steps": steps, "output": "b"}, layers)) == [1]
+    steps[1] = {"id": "b", "op": "movement_direction", "input": "a", "direction": "west"}
+    assert ids(run_plan(spark, {"steps": steps, "output": "b"}, layers)) == [1]
+
+
+def test_step_counts(spark, schools, squares):
+    steps = [{"id": "a", "op": "load", "layer": "s"}, {"id": "b", "op": "attribute_filter", "input": "a", "field": "city", "operator": "eq", "value": "Holon"}, {"id": "c", "op": "count", "input": "b"}]
+    counts = {}
+    out = run_plan(spark, {"steps": steps, "output": "c"}, {"s": Layer(schools)}, counts=counts)
+    assert out.first()["count"] == 2
+    assert {k: o.get[f"{k}_rows"] for k, o in counts.items()} == {"a": 7, "b": 2, "c": 1}
+
+
+def test_sources_and_operations_by_name(spark, schools):
+    register_source("city", lambda spark, url, most="99": schools.where(f"feature_id <= {most}"))
+    register_op("odd_only", lambda df, step, ctx: df.where("feature_id % 2 = 1"))
+    try:
+        rows = [("s", "schools", "", [], "city", "x://layers/s?param_most=5"), ("g", "ghost", "", [], "nowhere", "x://layers/g")]
+        catalog = spark.createDataFrame(rows, "id string, name string, description string, tags array<string>, provider string, source_url string")
+        assert ids(load_layer(spark, catalog, "s").features) == [1, 2, 3, 4, 5]
+        assert ids(load_layer(spark, catalog, "s", equals=[("city", "Holon")]).features) == [4, 5]
+        assert ids(load_layer(spark, catalog, "s", filters.boundary_from_bbox(34.77, 32.08, 34.79, 32.09)).features) == [1, 3]
+        plan = {"steps": [{"id": "a", "op": "load", "layer": "s"}, {"id": "b", "op": "odd_only", "input": "a"}], "output": "b"}
+        assert ids(run_plan(spark, plan, catalog_layers(spark, catalog, plan))) == [1, 3, 5]
+        for ghost in ("g", "none"):
+            with pytest.raises(PlanError):
+                load_layer(spark, catalog, ghost)
+    finally:
+        SOURCES.pop("city")
+        OPERATIONS.pop("odd_only")
+
+
+def test_published_projections(spark):
+    """Easting and northing as published for the CN Tower, and symmetry over the equator, a zone's middle and its edges."""
+    p = spark.createDataFrame([(0, -79.387139, 43.642567)], "k long, lon double, lat double")
+    r = metric_xy(p).first()
+    assert abs(r.x - 630084) < 1 and abs(r.y - 4833438) < 1
+    rows = [(0, 177.0, -45.0), (1, 174.0, -45.0), (2, 180.0, -45.0)]
+    south = {r.k: r for r in metric_xy(spark.createDataFrame(rows, "k long, lon double, lat double"), meridian=177.0).collect()}
+    assert abs(south[0].x - 500000) < 1e-6 and abs((south[1].x + south[2].x) / 2 - 500000) < 1e-6 and abs(south[1].y - south[2].y) < 1e-6
+    # The quarter meridian of WGS84 is 10001965.729 m long.
+    pole = metric_xy(spark.createDataFrame([(0, 3.0, 90.0)], "k long, lon double, lat double"), meridian=3.0).first()
+    assert abs(pole.y - 0.9996 * 10001965.729) < 0.01
+    zones = metric_xy(spark.createDataFrame([(0, 151.2153, -33.8568)], "k long, lon double, lat double")).first()
+    assert 334000 < zones.x < 335500 and 6251000 < zones.y < 6253000

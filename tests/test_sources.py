@@ -5,7 +5,7 @@ import json
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from geoweft.functions.text import clean_tags, ratio_of
+from geoweft.functions.text import clean_tags, display_name, ratio_of
 from geoweft.operators import filters, profiling
 from geoweft.operators.components import connected_components
 from geoweft.sources import catalog, features
@@ -34,6 +34,9 @@ def test_entities(spark, tmp_path):
         "geo": {"wkt": "POLYGON((0 0,1 0,1 1,0 0))", "area": 5},
         "property_list": [{"FieldName": " height ", "FieldValue": {"displayValue": 3}}, {"colour": "red"}, {"name": "triangle", "value": "other"}, {"name": "geometry", "value": 1}],
     }
+    for k in ("entities_list", "EntitiesList", "features", "Features", "entities", "Entities", "data", "Data", "results", "Results", "items", "Items"):
+        page = spark.createDataFrame([(json.dumps({"total": 1, k: [{"id": 1, "geo": "POINT(1 2)"}]}),)], "value string")
+        assert features.entity_rows(page).count() == 1
     row = features.read_entities(spark, put(tmp_path, "a.json", {"data": [entity, {"geo": {"wkt": "bad"}}]})).collect()
     assert dict(row[0].properties) == {"id": "e1", "triangle": "T", "source_id": "7", "date": "13/07/2026 08:30:00", "area": "5", "height": "3", "colour": "red"}
     assert row[0].geom.type == "Polygon" and (row[1].geom is None or row[1].geom.type is None)
@@ -55,6 +58,14 @@ def test_geojson_round_trip(spark, tmp_path):
     assert features.read_geojson(spark, str(tmp_path / "missing.geojson")).count() == 0
 
 
+def test_names_and_declared_fields(spark):
+    df = spark.createDataFrame([(1, " ", "t", "x"), (2, " n ", None, "y"), (3, None, " ", None)], "feature_id long, name string, title string, extra string")
+    assert [r.d for r in df.select(display_name(df).alias("d"), "feature_id").orderBy("feature_id").collect()] == ["t", "n", None]
+    declared = spark.createDataFrame([("title", "label"), ("ghost", "number")], "name string, type string")
+    found = {r.name: (r.type, r.samples, r.declared) for r in profiling.with_declared(df, declared).collect()}
+    assert found == {"title": ("label", ["t", " "], True), "ghost": ("number", [], True), "name": ("string", [" ", " n "], False), "extra": ("string", ["x", "y"], False)}
+
+
 def test_guard(spark):
     import pytest
 
