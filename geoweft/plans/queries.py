@@ -175,12 +175,6 @@ def attribute_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.attribute_filter(parts, "p_name", "contains", "Red-W")
 
 
-@query()
-def attribute_fuzzy_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("feature_id"), "p_name")
-    return filters.attribute_filter(parts, "p_name", "fuzzy_contains", "red wigdet")
-
-
 @query(f"SELECT feature_id, o_orderdate FROM ({layer_sql('incidents')}) WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-06-30 00:00:00'")
 def temporal_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filters.temporal_filter(layer(spark, sf_dir, "incidents"), "o_orderdate", "1996-01-01T00:00:00Z", "1996-06-30")
