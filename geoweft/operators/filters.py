@@ -60,7 +60,8 @@ def within_geometry(df: DataFrame, boundary: dict[str, Any] | None) -> DataFrame
 def _meets(boundary: dict[str, Any]):
     @F.pandas_udf(T.BooleanType())
     def run(g: pd.DataFrame) -> pd.Series:
-        return pd.Series([bool(x["type"]) and G.relation(x, boundary)["intersects"] for x in g.to_dict("records")])
+        area = G.Shape(boundary)
+        return pd.Series([bool(x["type"]) and G.relation(x, area)["intersects"] for x in g.to_dict("records")], dtype=bool)
 
     return run
 
@@ -92,7 +93,7 @@ def attribute_filter(df: DataFrame, field: str, op: str, value: Any) -> DataFram
         number = col.try_cast("double")
         return df.where(number > float(value) if op == "gt" else number < float(value))
     if op == "contains":
-        return df.where(col.isNotNull() & normalize_text(col.cast("string")).contains(plain_text(str(value))))
+        return _contains(df, col.cast("string"), plain_text(str(value)))
     if op == "fuzzy_contains":
         # Distinct values are few beside the rows; only they meet Python.
         text = col.cast("string")
@@ -102,6 +103,17 @@ def attribute_filter(df: DataFrame, field: str, op: str, value: Any) -> DataFram
     raise ValueError(f"no attribute operator {op!r}")
 
 
+def _contains(df: DataFrame, text: Column, sought: str) -> DataFrame:
+    """Rows whose normalised text has sought in it. ASCII needs no Python; of other texts only the distinct ones meet it."""
+    if df.isStreaming:
+        return df.where(text.isNotNull() & normalize_text(text).contains(sought))
+    plain = text.rlike(r"^[\x00-\x7F]*$")
+    values = df.where(~plain).select(text.alias("_value")).distinct()
+    good = values.where(normalize_text("_value").contains(sought))
+    own = F.when(plain, normalize_text(text, ascii_only=True).contains(sought))
+    return df.join(good, ~plain & (text == good["_value"]), "left").where(own | F.col("_value").isNotNull()).drop("_value")
+
+
 def time_of(col: Column, formats: list[str] | None = None) -> Column:
     """The column as a timestamp, by the first format that reads it; without formats by the usual ISO forms. Null if none."""
     if not formats:

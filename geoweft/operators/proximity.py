@@ -9,6 +9,9 @@ are joined; the features' columns are fetched by id afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance,
 from geoweft.functions.geometry import distance, point_geometry, representative_point
 from geoweft.operators.components import connected_components
 from geoweft.operators.filters import Where, reference_filter
+from geoweft.session import staged
 
 MOST_METRES = 5000.0
 
@@ -121,10 +125,19 @@ def pairs_within(left: DataFrame, right: DataFrame, distance: float) -> DataFram
 
 def nearest_within(df: DataFrame, ref: DataFrame, metres: float, meridian: float | None = None, more: list[DataFrame] | None = None) -> DataFrame:
     """(feature_id, target_id, distance_m): each feature's nearest target, the smaller target_id of equals."""
-    place, meet = (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_pairs_within)
+    place, meet = _metric(df, ref)
     left = place(df, [ref, *(more or [])], "feature_id", meridian)
     right = place(ref, [df, *(more or [])], "target_id", meridian)
-    best = meet(left, right, metres).groupBy("feature_id").agg(F.min(F.struct("distance_m", "target_id")).alias("n"))
+    return _best(meet(left, right, metres))
+
+
+def _metric(df: DataFrame, ref: DataFrame) -> tuple[Callable[..., DataFrame], Callable[..., DataFrame]]:
+    """How to bring both to metres, and how to pair them."""
+    return (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_pairs_within)
+
+
+def _best(met: DataFrame) -> DataFrame:
+    best = met.groupBy("feature_id").agg(F.min(F.struct("distance_m", "target_id")).alias("n"))
     return best.select("feature_id", "n.target_id", "n.distance_m")
 
 
@@ -151,7 +164,8 @@ def nearest_n(df: DataFrame, ref: DataFrame, count: int, where: Where | None = N
 
     Doubles the radius until enough features have a target in it, or none can
     be missing; what is farther than the radius can't be among the closest.
-    One number reaches the driver in each round.
+    Metric positions are stored once, and only features without a target so far
+    go on to the next radius. One number reaches the driver in each round.
     """
     if not 1 <= count <= 50:
         raise ValueError("nearest_n: count must be 1 to 50")
@@ -159,13 +173,19 @@ def nearest_n(df: DataFrame, ref: DataFrame, count: int, where: Where | None = N
     reason = F.concat(F.lit("נבחר כאחת הישויות הקרובות ביותר; המרחק מישות הייחוס הוא "), _rounded(F.col("distance_m")), F.lit(" מ׳."))
     if df.isEmpty() or ref.isEmpty():
         return _enriched(df.limit(0), ref, nearest_within(df.limit(0), ref, radius, meridian), reason)
+    place, meet = _metric(df, ref)
+    open_, targets = staged(place(df, [ref], "feature_id", meridian), "nearest-open"), staged(place(ref, [df], "target_id", meridian), "nearest-targets")
+    rounds: list[DataFrame] = []
+    found = 0
     while True:
-        best = nearest_within(df, ref, radius, meridian)
-        found = best.limit(count).count()
+        rounds.append(staged(_best(meet(open_, targets, radius)), "nearest-found"))
+        last = rounds[-1].count()
+        found += last
         if found >= count or radius > 4e7:
             break
+        open_ = open_.join(rounds[-1], "feature_id", "left_anti") if last else open_
         radius *= 2 if found else 4
-    top = best.orderBy("distance_m", "feature_id").limit(count)
+    top = reduce(DataFrame.unionByName, rounds).orderBy("distance_m", "feature_id").limit(count)
     return _enriched(df, ref, top, reason)
 
 
@@ -253,12 +273,48 @@ def cluster(df: DataFrame, min_group_size: int, max_distance_m: float, meridian:
         large = named.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_group_size)
         return df.join(named.join(large, "cluster_id", "left_semi"), "feature_id")
     points = _placed(df, [], "feature_id", meridian)
-    # Points of one place are one node, so a crowded spot makes no pairs.
-    places = points.groupBy("x", "y").agg(F.min("feature_id").alias("place"), F.count("*").alias("n"))
-    nodes = places.select(F.col("place").alias("feature_id"), "x", "y")
-    links = pairs_within(nodes, nodes.withColumnRenamed("feature_id", "target_id"), max_distance_m).where("feature_id < target_id")
-    found = connected_components(links, "feature_id", "target_id")
-    groups = places.join(found, F.col("place") == F.col("node"), "left").select("x", "y", "n", F.coalesce("component", "place").alias("cluster_id"))
-    large = groups.groupBy("cluster_id").agg(F.sum("n").alias("size")).where(F.col("size") >= min_group_size)
-    members = points.join(groups.join(large, "cluster_id", "left_semi"), ["x", "y"]).select("feature_id", "cluster_id")
-    return df.join(members, "feature_id")
+    side = max_distance_m / 2**0.5 * (1 - 1e-12)
+    cell = [F.floor(F.col(c) / side).alias(f"c{c}") for c in ("x", "y")]
+    placed = staged(points.select("feature_id", "x", "y", *cell), "cluster-points")
+    cells, links = dense_cells(placed, max_distance_m)
+    found = connected_components(links)
+    groups = cells.join(found, F.col("cell") == F.col("node"), "left").select("cx", "cy", "n", "least", F.coalesce("component", "cell").alias("group"))
+    large = groups.groupBy("group").agg(F.sum("n").alias("size"), F.min("least").alias("cluster_id")).where(F.col("size") >= min_group_size)
+    named = groups.join(large, "group").select("cx", "cy", "cluster_id")
+    return df.join(placed.join(named, ["cx", "cy"]).select("feature_id", "cluster_id"), "feature_id")
+
+
+def dense_cells(placed: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:
+    """(cx, cy, cell, n, least) and links (a, b) of cells, for points (feature_id, x, y, cx, cy) in cells so small that all points of one are near.
+
+    However many points a cell has, it is one node, and two cells are linked or
+    not. Most pairs of cells are settled by the eight outermost points of each;
+    only for the others do points meet points, those near the other cell.
+    """
+    x, y, at = F.col("x"), F.col("y"), F.struct("x", "y")
+    outer = [agg(at, by) for by in (x, y, x + y, x - y) for agg in (F.min_by, F.max_by)]
+    sides = [agg(c).alias(f"{n}{k}") for n, c in (("x", x), ("y", y)) for agg, k in ((F.min, 0), (F.max, 1))]
+    cells = placed.groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("feature_id").alias("least"), F.array(*outer).alias("outer"), *sides)
+    cells = staged(cells.withColumn("cell", F.monotonically_increasing_id()), "cluster-cells")
+    # Each pair of cells at most two apart once: from the left one, of one column from the lower.
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    a = cells.select(F.col("cell").alias("a"), "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("outer", "x0", "x1", "y0", "y1")], F.explode(steps).alias("s"))
+    a = a.select("*", (F.col("cx") + F.col("s.i")).alias("bx"), (F.col("cy") + F.col("s.j")).alias("by")).drop("cx", "cy", "s")
+    b = cells.select(F.col("cell").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"), *[F.col(c).alias(f"b_{c}") for c in ("outer", "x0", "x1", "y0", "y1")])
+    gap = [F.greatest(F.lit(0.0), F.col(f"b_{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"b_{c}1")) for c in ("x", "y")]
+    limit = F.lit(float(metres))
+    pairs = a.join(b, ["bx", "by"]).where(F.sqrt(gap[0] * gap[0] + gap[1] * gap[1]) <= limit)
+    near = F.exists("a_outer", lambda p: F.exists("b_outer", lambda q: planar_distance(p["x"], p["y"], q["x"], q["y"]) <= limit))
+    pairs = staged(pairs.select("a", "b", near.alias("near"), *[f"{k}_{c}" for k in "ab" for c in ("x0", "x1", "y0", "y1")]), "cluster-pairs")
+    open_ = pairs.where("not near")
+
+    def points_near(own: str, other: str) -> DataFrame:
+        """(a, b, x, y): the points of one cell of each open pair that the other cell's points can reach."""
+        away = [F.greatest(F.lit(0.0), F.col(f"{other}_{c}0") - F.col(c), F.col(c) - F.col(f"{other}_{c}1")) for c in ("x", "y")]
+        of = placed.join(cells.select("cx", "cy", F.col("cell").alias(own)), ["cx", "cy"]).select(own, "x", "y")
+        return open_.join(of, own).where(F.sqrt(away[0] * away[0] + away[1] * away[1]) <= limit).select("a", "b", "x", "y")
+
+    left, right = points_near("a", "b"), points_near("b", "a").toDF("ra", "rb", "rx", "ry")
+    meets = (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & (planar_distance("x", "y", "rx", "ry") <= limit)
+    settled = left.join(right, meets, "left_semi").select("a", "b").distinct()
+    return cells, pairs.where("near").select("a", "b").unionByName(settled)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import point_geometry, related
+from geoweft.functions.geometry import area_relation_sql, box_relation, is_box, point_geometry, related
 from geoweft.operators.filters import Where, need, reference_filter
 
 REASONS = {
@@ -37,15 +37,41 @@ def _boxes_meet() -> Column:
     return (F.col("a_geom.xmin") <= F.col("b_geom.xmax")) & (F.col("a_geom.xmax") >= F.col("b_geom.xmin")) & (F.col("a_geom.ymin") <= F.col("b_geom.ymax")) & (F.col("a_geom.ymax") >= F.col("b_geom.ymin"))
 
 
+def _kind(df: DataFrame) -> str | None:
+    """point or box where the columns say that all rows are; else None."""
+    if "geom" not in df.columns:
+        return "point"
+    return df.schema["geom"].metadata.get("shape")
+
+
 def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) -> DataFrame:
-    """(feature_id, target_id) for which the predicate holds, each pair once."""
+    """(feature_id, target_id) for which the predicate holds, each pair once.
+
+    Points and rectangles, and points against areas, are decided by built-in
+    expressions; only other pairs go to the kernel. Where columns tell that all
+    rows are points or rectangles, the plan has no kernel.
+    """
     a, b = _boxed(df, "feature_id", cell, "a_"), _boxed(ref, "target_id", cell, "b_")
     met = a.join(b, ["cx", "cy"]).where(_boxes_meet())
     # Boxes that share several cells are tested in the first of them only.
     first_x = F.floor(F.greatest("a_geom.xmin", "b_geom.xmin") / cell)
     first_y = F.floor(F.greatest("a_geom.ymin", "b_geom.ymin") / cell)
     met = met.where((F.col("cx") == first_x) & (F.col("cy") == first_y))
-    return met.where(related(predicate)(F.col("a_geom"), F.col("b_geom"))).select(F.col("a_id").alias("feature_id"), F.col("b_id").alias("target_id"))
+    ids = [F.col("a_id").alias("feature_id"), F.col("b_id").alias("target_id")]
+    known = _kind(df), _kind(ref)
+    if all(known):
+        return met.where(box_relation(predicate, "a_geom", known[0], "b_geom", known[1])).select(*ids)
+    shapes = {g: F.when(F.col(f"{g}.type") == "Point", "point").when(is_box(g), "box").when(F.col(f"{g}.type").endswith("Polygon"), "area").otherwise("other") for g in ("a_geom", "b_geom")}
+    met = met.withColumn("_a", shapes["a_geom"]).withColumn("_b", shapes["b_geom"])
+    simple = F.lit(None).cast("boolean")
+    for one in ("point", "box"):
+        for two in ("point", "box"):
+            simple = F.when((F.col("_a") == one) & (F.col("_b") == two), box_relation(predicate, "a_geom", one, "b_geom", two)).otherwise(simple)
+    simple = F.when((F.col("_a") == "area") & (F.col("_b") == "point"), F.expr(area_relation_sql(predicate, "a_geom", "b_geom", True))).otherwise(simple)
+    simple = F.when((F.col("_a") == "point") & (F.col("_b") == "area"), F.expr(area_relation_sql(predicate, "b_geom", "a_geom", False))).otherwise(simple)
+    met = met.withColumn("_simple", simple)
+    hard = met.where("_simple is null").where(related(predicate)(F.col("a_geom"), F.col("b_geom")))
+    return met.where("_simple").select(*ids).unionByName(hard.select(*ids))
 
 
 def _related(df: DataFrame, ref: DataFrame, predicate: str, where: Where | None, cell: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import box_geometry, line_geometry
+from geoweft.functions.geometry import BOXES, box_geometry, line_geometry
 
 #: SQL text of each layer, the same for Spark and for a check in another engine ({micros}: microseconds of ts since 1970).
 SQL = {
@@ -34,7 +34,7 @@ def tiles(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFram
     x, y = 3470000 + (k % 5) * 4000, 3200000 + F.floor(k / 5) * 4000
     degrees = lambda c: c.cast("double") / 100000
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return nation.select(F.col("n_nationkey").alias(key), "n_name", box_geometry(degrees(x), degrees(y), degrees(x + 4000), degrees(y + 4000)).alias("geom"))
+    return nation.select(F.col("n_nationkey").alias(key), "n_name", box_geometry(degrees(x), degrees(y), degrees(x + 4000), degrees(y + 4000)).alias("geom", metadata=BOXES))
 
 
 def roads(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFrame:
