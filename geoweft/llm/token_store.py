@@ -11,6 +11,12 @@ proves the whole. Files, all Parquet, below one folder:
 ``recipes``   a row per document in ascending doc_id order: digests, lengths,
               number of ids before it, its Merkle leaf
 ``manifest``  the tree above the leaves, 1,024 children a node
+``about``     one row: bytes of an id, fan-out, number of documents
+
+Reading starts with the tree: leaves are made anew of the recipes and the nodes
+above of them, and every node must be the manifest's. With each chunk checked
+against its digest, and its length against the recipes, that verifies what is
+put together.
 
 Cutting, digests and lengths are decided in the encoding pass. Payloads are
 shuffled once, by digest, after every task has dropped its own repeats, so a
@@ -28,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.functions.running import bucket_of, order_buckets, running_total
+from geoweft.functions.running import range_numbered, running_total
 from geoweft.llm.common import shuffle_partitions, text_slices
 from geoweft.llm.tokens import encoder
 
@@ -132,13 +138,10 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 1) -> None:
 
     uses = spark.read.parquet(f"{out}/packs").select("row", "doc_id", "pos", "digest", "n", "stop")
     recipes = uses.groupBy("row", "doc_id").agg(F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("pos", "digest", "n", "stop"))).alias("chunks"))
-    leaf = F.sha2(F.concat(F.aggregate("chunks", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["digest"])), F.encode(F.col("n_tokens").cast("string"), "utf-8")), 256)
-    recipes = recipes.withColumn("leaf", leaf).persist()
+    recipes = recipes.withColumn("leaf", leaf_of()).persist()
     try:
-        splits = order_buckets(recipes, "doc_id", 4 * n)
-        recipes = recipes.withColumn("bucket", bucket_of(F.col("doc_id"), splits)).withColumn("one", F.lit(1))
         order = ["doc_id", "leaf", "row"]
-        light = recipes.select("row", "doc_id", "leaf", "bucket", "n_tokens", "one")
+        light = range_numbered(recipes.select(*order, "n_tokens", F.lit(1).alias("one")), order, n, "bucket", "token-store-order")
         placed = running_total(light, "n_tokens", order, "bucket", "start")
         placed = running_total(placed, "one", order, "bucket", "rank").select("row", "start", "rank")
         done = recipes.select("row", "doc_id", "n_tokens", "chunks", "leaf").join(placed, "row")
@@ -146,9 +149,22 @@ def write_store(docs: DataFrame, out: str, path: str, end_id: int = 1) -> None:
     finally:
         recipes.unpersist()
 
-    nodes = spark.read.parquet(f"{out}/recipes").select(F.lit(0).alias("level"), F.col("rank").alias("place"), F.col("leaf").alias("node"))
-    nodes = merkle_levels(nodes)
+    nodes = merkle_levels(_leaves(spark, out))
     nodes.write.parquet(f"{out}/manifest")
+    about = spark.read.parquet(f"{out}/recipes").agg(F.lit(encoder(path).dtype.itemsize).alias("width"), F.lit(FANOUT).alias("fanout"), F.count("*").alias("documents"))
+    about.coalesce(1).write.parquet(f"{out}/about")
+
+
+def leaf_of() -> Column:
+    """A document's leaf: digests, lengths and ends of its chunks in order, and its number of ids."""
+    parts = F.transform("chunks", lambda x: F.concat_ws(":", F.hex(x["digest"]), x["n"].cast("string"), x["stop"].cast("string")))
+    return F.sha2(F.concat_ws(",", F.array_join(parts, ","), F.col("n_tokens").cast("string")), 256)
+
+
+def _leaves(spark: SparkSession, out: str) -> DataFrame:
+    """(level, place, node) of the leaves, made of the recipes and where they say they lie."""
+    node = F.sha2(F.concat_ws(":", leaf_of(), F.col("start").cast("string"), F.col("doc_id").cast("string")), 256)
+    return spark.read.parquet(f"{out}/recipes").select(F.lit(0).alias("level"), F.col("rank").alias("place"), node.alias("node"))
 
 
 def merkle_levels(leaves: DataFrame) -> DataFrame:
@@ -165,10 +181,18 @@ def merkle_levels(leaves: DataFrame) -> DataFrame:
 
 
 def verify_manifest(spark: SparkSession, out: str) -> bool:
-    """Recomputes the tree from the recipes and compares every node."""
-    leaves = spark.read.parquet(f"{out}/recipes").select(F.lit(0).alias("level"), F.col("rank").alias("place"), F.col("leaf").alias("node"))
-    there, made = spark.read.parquet(f"{out}/manifest"), merkle_levels(leaves)
-    return there.exceptAll(made).isEmpty() and made.exceptAll(there).isEmpty()
+    """Makes the tree anew from the recipes and compares every node."""
+    there, made = spark.read.parquet(f"{out}/manifest"), merkle_levels(_leaves(spark, out))
+    other = made.select(F.col("level").alias("l"), F.col("place").alias("p"), F.col("node").alias("made"))
+    differ = there.join(other, (F.col("level") == F.col("l")) & (F.col("place") == F.col("p")), "full_outer").where(~F.col("node").eqNullSafe(F.col("made")))
+    return differ.isEmpty()
+
+
+def _verified(spark: SparkSession, out: str) -> int:
+    """Bytes of an id, for a store whose recipes are those of its manifest."""
+    if not verify_manifest(spark, out):
+        raise ValueError(f"the recipes of {out} aren't those of its manifest")
+    return spark.read.parquet(f"{out}/about").first().width
 
 
 def _chunks_read(width: int):
@@ -220,21 +244,25 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crc.astype(np.int64))], names=["row", "n_read", "crc"])
 
 
-def read_digests(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files: every chunk is read, checked against its
-    digest and its ids summed up; the documents' sums follow from their recipes."""
+def read_digests(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 from the files: recipes are checked against the manifest, every
+    chunk is read, checked against its digest and its ids summed up; the documents' sums follow from their recipes."""
+    width = _verified(spark, out)
     packs = spark.read.parquet(f"{out}/packs")
     chunks = packs.where("payload is not null").select("digest", "payload").mapInArrow(_chunks_read(width), "digest binary, n_read long, crc long")
     recipes = spark.read.parquet(f"{out}/recipes")
     uses = recipes.select("row", "n_tokens", F.explode("chunks").alias("x"))
-    uses = uses.select("row", F.col("x.digest").alias("digest"), (F.col("n_tokens") - F.col("x.stop")).alias("behind"))
-    parts = uses.join(chunks, "digest").select("row", "n_read", "crc", "behind").mapInArrow(_moved, "row long, n_read long, crc long")
+    uses = uses.select("row", F.col("x.digest").alias("digest"), F.col("x.n").alias("n"), (F.col("n_tokens") - F.col("x.stop")).alias("behind"))
+    uses = uses.join(chunks, "digest", "left")  # a chunk that isn't there, or is of another length, fails the job
+    whole = F.when(F.col("n_read").eqNullSafe(F.col("n")), F.col("n_read")).otherwise(F.raise_error(F.lit("a recipe's chunk is missing or of another length")))
+    parts = uses.select("row", whole.cast("long").alias("n_read"), "crc", "behind").mapInArrow(_moved, "row long, n_read long, crc long")
     sums = parts.groupBy("row").agg(F.sum("n_read").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return recipes.select("row", "doc_id", "start").join(sums, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, out: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids: array<int>): every document put together again from its recipe."""
+def read_ids(spark: SparkSession, out: str) -> DataFrame:
+    """(doc_id, start, ids: array<int>): every document put together again from its recipe, which is checked against the manifest."""
+    width = _verified(spark, out)
     packs = spark.read.parquet(f"{out}/packs").where("payload is not null").select("digest", "payload")
     recipes = spark.read.parquet(f"{out}/recipes")
     uses = recipes.select("row", "doc_id", "start", F.posexplode("chunks").alias("i", "x")).select("row", "doc_id", "start", "i", F.col("x.digest").alias("digest"))

@@ -3,9 +3,10 @@
 A text is cut where the tokenizer is certain to cut: at white space for
 tokenizers that drop it, before a single space for byte-level ones. What a
 segment encodes to then depends on nothing outside it; two bounded tables, of
-segments and of the words in them, serve what a worker has met before, and
-the tokenizers library encodes new words. A text whose white space leaves the
-cut in doubt goes to the library whole.
+segments and of the words in them, serve what a worker has met before. New
+words are merged by the subclass in use: op 1's speculation, or tiktoken with
+the ranks of the tokenizers file. A text whose white space leaves the cut in
+doubt is cut into words whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import regex
@@ -46,6 +48,7 @@ class SegmentEncoder:
         pattern = splits[0] if splits else BYTE_LEVEL
         pattern = pattern.replace(r"[^\s\p{L}", rf"[^{SPACE}\p{{L}}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
         self.words_of = regex.compile(pattern).findall
+        self.marked_words = regex.compile(pattern + "|\n").findall
         self.most, self.longest = most, longest
         self._ready(spec)
         self.heads: dict[str, bytes] = {}
@@ -58,6 +61,17 @@ class SegmentEncoder:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """encode_words as bytes, put into self.dtype all at once."""
+        ids = self.encode_words(words)
+        ends = np.cumsum([0, *map(len, ids)]) * self.dtype.itemsize
+        flat = self.named(np.fromiter(chain.from_iterable(ids), np.int64, ends[-1] // self.dtype.itemsize)).astype(self.dtype).tobytes()
+        return [flat[a:b] for a, b in pairwise(ends.tolist())]
+
+    def named(self, ids: np.ndarray) -> np.ndarray:
+        """For subclasses whose encode_words gives other numbers than the tokenizer's ids."""
+        return ids
+
     def _split(self, text: str) -> list[str | int]:
         """The words of a text, as the tokenizer normalizes and cuts it, and ids of special tokens."""
         out: list[str | int] = []
@@ -71,12 +85,37 @@ class SegmentEncoder:
             out += self.words_of(part.lower() if self.lower else part)
         return out
 
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """As whole(), for texts without line breaks, cut into words all at once: a line each."""
+        words = self.words
+        hard = [n for n, x in enumerate(texts) if self.special_hint in x]
+        joined = "\n".join(["" if self.special_hint in x else x for x in texts] if hard else texts)
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined) if self.nfc else joined
+            joined = joined.replace("Σ", "σ") if self.lower else joined
+        found = self.marked_words(joined.lower() if self.lower else joined)
+        new = list(set(found).difference(words, ("\n",)))
+        words.update(zip(new, self.encoded(new)))
+        out: list[bytes] = []
+        own: list[bytes] = []
+        for w in found:
+            if w == "\n":
+                out.append(own[0] if len(own) == 1 else b"".join(own))
+                own = []
+            else:
+                own.append(words[w])
+        out.append(b"".join(own))
+        self._forget(words, new)
+        for n, x in zip(hard, self.whole([texts[n] for n in hard])):
+            out[n] = x
+        return out
+
     def whole(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by its words."""
         words = self.words
         cut = [self._split(x) for x in texts]
         new = list({w for x in cut for w in x if w.__class__ is str and w not in words})
-        words.update((w, np.array(x, dtype=self.dtype).tobytes()) for w, x in zip(new, self.encode_words(new)))
+        words.update(zip(new, self.encoded(new)))
         words.update((n, np.array([n], dtype=self.dtype).tobytes()) for n in self.special.values())
         out = [b"".join(map(words.__getitem__, x)) for x in cut]
         self._forget(words, new)
@@ -90,32 +129,32 @@ class SegmentEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, in self.dtype."""
-        heads, tails, drop = self.heads, self.tails, self.drops_space
-        cut = [(x.replace("\n", " ") if drop else x).split(" ") for x in texts]
+        tails = self.tails
+        if self.drops_space:
+            cut = [x.replace("\n", " ").split(" ") for x in texts]
+            new = list(set().union(*cut).difference(tails)) if cut else []
+            tails.update(zip(new, self.pieces(new) if new else ()))
+            out = [b"".join(map(tails.__getitem__, parts)) for parts in cut]
+            self._forget(tails, new)
+            return out
+        heads = self.heads
+        cut = [x.split(" ") for x in texts]
         new_heads, new_tails, doubtful = set(), set(), set()
         for n, parts in enumerate(cut):
-            if not drop and parts[0] not in heads:
+            if parts[0] not in heads:
                 new_heads.add(parts[0])
-            missing = [x for x in (parts if drop else parts[1:]) if x not in tails]
-            if missing:
-                if not drop and any(not x or x[0].isspace() or x[-1].isspace() for x in missing):
-                    doubtful.add(n)
-                else:
-                    new_tails.update(missing)
-            if not drop and parts[0][-1:].isspace():
+            missing = [x for x in parts[1:] if x not in tails]
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in missing):
+                doubtful.add(n)
+            else:
+                new_tails.update(missing)
+            if parts[0][-1:].isspace():
                 doubtful.add(n)
         head_list, tail_list = list(new_heads), list(new_tails)
         heads.update(zip(head_list, self.whole(head_list)))
-        tails.update(zip(tail_list, self.whole([x if drop else " " + x for x in tail_list])))
+        tails.update(zip(tail_list, self.whole([" " + x for x in tail_list])))
         whole = dict(zip(sorted(doubtful), self.whole([texts[n] for n in sorted(doubtful)])))
-        out = []
-        for n, parts in enumerate(cut):
-            if n in whole:
-                out.append(whole[n])
-            elif drop:
-                out.append(b"".join(map(tails.__getitem__, parts)))
-            else:
-                out.append(heads[parts[0]] + b"".join(map(tails.__getitem__, parts[1:])))
+        out = [whole[n] if n in whole else heads[parts[0]] + b"".join(map(tails.__getitem__, parts[1:])) for n, parts in enumerate(cut)]
         self._forget(heads, head_list)
         self._forget(tails, tail_list)
         return out
@@ -143,9 +182,13 @@ class WordRankEncoder(SegmentEncoder):
         self.id_of = np.array([i for _, i in order] + [i for _, i in letters], dtype=self.dtype)
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        merge, id_of = self.merge, self.id_of
-        return [id_of[merge(x.encode() + b"\xff")] for x in words]
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ranks of the pieces."""
+        merge = self.merge
+        return [merge(x.encode() + b"\xff") for x in words]
+
+    def named(self, ids: np.ndarray) -> np.ndarray:
+        return self.id_of[ids]
 
 
 class RankEncoder:

@@ -6,9 +6,11 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from geoweft.llm import bpe, packing, token_store
@@ -49,7 +51,15 @@ def test_word_merging_equals_the_library_on_vocabulary_joins():
     own = encoder(WORD)
     pieces = [x.removesuffix("</w>") for x in library(WORD).get_vocab() if x.isascii() and x.isalpha()]
     words = [(a + b).lower() for a, b in zip(pieces[:4000], pieces[4000:8000])]
-    assert [x.tolist() for x in own.encode_words(words)] == [want(WORD, w) for w in words]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encoded(words)] == [want(WORD, w) for w in words]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoders_equal_the_library_on_all_documents(path):
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ids = [x.ids for x in library(path).encode_batch(texts, add_special_tokens=False)]
+    for own in (encoder(path), bpe.speculative_bpe(path)):
+        assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == ids
 
 
 def test_bpe_digests(odd_docs, no_docs):
@@ -83,6 +93,15 @@ def test_token_store(spark, odd_docs, no_docs, tmp_path):
     once = packs.where("payload is not null").groupBy("digest").count()
     assert once.where("count > 1").count() == 0 and once.count() == packs.select("digest").distinct().count()
     assert token_store.verify_manifest(spark, out)
+    # A recipe whose chunk ends elsewhere isn't the manifest's.
+    recipes = spark.read.parquet(f"{out}/recipes")
+    moved = recipes.withColumn("chunks", F.transform("chunks", lambda x: x.withField("stop", x["stop"] + 1)))
+    for part in ("packs", "manifest", "about"):
+        spark.read.parquet(f"{out}/{part}").write.parquet(f"{out}-moved/{part}")
+    moved.write.parquet(f"{out}-moved/recipes")
+    for read in (token_store.read_digests, token_store.read_ids):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, f"{out}-moved")
     token_store.write_store(no_docs, out + "-none", WORD)
     assert token_store.read_digests(spark, out + "-none").count() == 0
 
