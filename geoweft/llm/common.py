@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from geoweft.session import shared_dir, staged
 
-__all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions", "free_name", "numbered"]
+__all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions", "free_name", "numbered", "looked_up"]
+
+HOT = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,17 @@ def numbered(docs: DataFrame, wanted: str) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered", compression="zstd"), key
 
 
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], times: str, total: int) -> DataFrame:
+    """rows joined to lookup, which is stored, has a row for each of its keys, and in times how many rows need it.
+
+    Keys of over one in HOT of total are at most HOT; these are joined by
+    broadcast and no task gets all their rows. The others are shuffled.
+    """
+    hot = F.broadcast(lookup.where(F.col(times) > total // HOT).drop(times))
+    usual = lookup.where(F.col(times) <= total // HOT).drop(times)
+    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(usual, keys))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that the texts of one slice hold about most_bytes, or one row."""
     for batch in batches:

@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.running import range_numbered, running_total
-from geoweft.llm.common import free_name, shuffle_partitions, staged
+from geoweft.llm.common import HOT, free_name, looked_up, shuffle_partitions, staged
 from geoweft.session import checkpointed
 
-MIN_CHARS, HOT = 150, 500
+MIN_CHARS = 150
 
 
 def _blank(x: Column) -> Column:
@@ -76,10 +76,7 @@ def line_table(texts: DataFrame) -> DataFrame:
 def named(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     """The rows whose keys occur twice or more; out is the first pos that has them. rows are stored."""
     classes = staged(rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("pos").alias(out)).where("_c > 1"), "line-names")
-    least = rows.count() // HOT
-    hot = F.broadcast(classes.where(F.col("_c") > least).drop("_c"))  # at most HOT rows
-    usual = classes.where(F.col("_c") <= least).drop("_c")
-    return rows.join(hot, keys).unionByName(rows.join(hot, keys, "left_anti").join(usual, keys))
+    return looked_up(rows, classes, keys, "_c", rows.count())
 
 
 def windows(lines: DataFrame, min_chars: int) -> DataFrame:

@@ -9,15 +9,16 @@ record terminator as its line separator.
 Reading: archives are read as binary files and parsed by Content-Length.
 
 Index: every archive gives a run of captures, sorted by URL key (host labels
-reversed, then path and query) and timestamp. Runs are dealt by key ranges;
-in each range a loser tree merges the runs, so that partitions, one after the
-other, are the globally ordered capture history. A range sees the captures of
-its keys only, without payloads.
+reversed, then path and query) and timestamp, and stored. Runs are dealt by key
+ranges of about RANGE captures, however many those are; in each range a loser
+tree merges the runs, so that partitions, one after the other, are the globally
+ordered capture history. A range sees the captures of its keys only, without
+payloads; a run out of order is an error.
 
 Defined cases: null html is an empty payload, so always a response; null url
 has the empty key; a null page_id is never the smallest; rows that repeat a
 page_id are captures each, of the type of that page_id; an empty table writes
-an empty folder and reads back no rows.
+an empty folder and reads back no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,33 +27,42 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import shuffle_partitions
+from geoweft.llm.common import looked_up, shuffle_partitions, staged
 
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 2000
+#: Records a file at most, and about the payload bytes of one; captures in a key range.
+RECORDS_PER_FILE, FILE_BYTES, RANGE = 2000, 64 << 20, 100_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 #: WARC/1.1 record types, profile and terminator.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages to be stored as revisits. Only digests and ids are shuffled."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, bytes) of every page, stored: each payload is hashed once."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    light = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("bytes")).where(F.col("bytes") >= MIN_REVISIT)
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
-    return light.join(first, "digest").where("not (page_id <=> refers_to)").select("page_id", "refers_to").distinct()
+    return staged(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-payloads")
+
+
+def revisits(light: DataFrame) -> DataFrame:
+    """(page_id, refers_to) of the pages to be stored as revisits. Only digests and ids are shuffled."""
+    large = light.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    found = looked_up(large, staged(first, "warc-first"), ["digest"], "n", light.count())
+    return found.where("not (page_id <=> refers_to)").select("page_id", "refers_to").distinct()
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """One text column: the WARC record of each page, without its terminator."""
-    later = revisits(pages).withColumnRenamed("page_id", "later_id")
+def records(pages: DataFrame, light: DataFrame) -> DataFrame:
+    """One text column: the WARC record of each page, without its terminator. light: what payloads() makes of pages."""
+    pages = pages.select("page_id", "url", "html")
+    later = revisits(light).withColumnRenamed("page_id", "later_id")
     rows = pages.join(later, pages["page_id"].eqNullSafe(later["later_id"]), "left")
     nl = "\r\n"
     body = F.coalesce("html", F.lit(""))
@@ -78,7 +88,11 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, out: str) -> None:
-    records(pages).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE).text(out)
+    """Archives of RECORDS_PER_FILE records, fewer where pages are large, so that a file is one task's work to read."""
+    light = payloads(pages)
+    usual = light.agg(F.avg("bytes")).first()[0] or 0
+    most = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (usual + 500))))
+    records(pages, light).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(out)
 
 
 def url_key(url: str) -> str:
@@ -109,7 +123,7 @@ def parsed(data: bytes) -> Iterator[dict[str, object]]:
         at = after
 
 
-CAPTURES = "file string, urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long"
+CAPTURES = "file string, urlkey string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long, place long"
 NAMES = [x.split(" ")[0] for x in CAPTURES.split(", ")]
 TYPES = [pa.int64() if x.endswith(" long") else pa.string() for x in CAPTURES.split(", ")]
 
@@ -135,7 +149,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run.append((batch.column(0)[i].as_py(), url_key(head["warc-target-uri"]), stamp, _page(head["warc-record-id"]), size, digest, head["warc-type"], _page(head.get("warc-refers-to")), r["offset"], r["length"]))
             run.sort(key=_order)
             if run:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*run), TYPES)], names=NAMES)
+                yield _batch([(*capture, place) for place, capture in enumerate(run)], NAMES)
+
+
+def _batch(captures: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*captures), TYPES)], names=names)
 
 
 def _order(capture: tuple) -> tuple:
@@ -179,32 +197,32 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs of one key range. A run whose order the shuffle has lost is sorted again first."""
+    """Merges the runs of one key range, which come one after the other in their order."""
     runs: dict[str, list[tuple]] = {}
     for batch in batches:
-        for capture in zip(*(c.to_pylist() for c in batch.columns)):
+        for capture in zip(*(c.to_pylist() for c in batch.columns[:-1])):
             runs.setdefault(capture[0], []).append(capture)
-    ordered = []
-    for name in sorted(runs):
-        keys = [_order(c) for c in runs[name]]
-        ordered.append(runs[name] if all(a <= b for a, b in zip(keys, keys[1:])) else sorted(runs[name], key=_order))
+    for name, run in runs.items():
+        if any(_order(a) > _order(b) for a, b in pairwise(run)):
+            raise ValueError(f"the run of {name} is out of order")
     out: list[tuple] = []
-    for capture in LoserTree(ordered):
+    for capture in LoserTree(list(runs.values())):
         out.append(capture)
         if len(out) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), TYPES)], names=NAMES)
+            yield _batch(out, NAMES[:-1])
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), TYPES)], names=NAMES)
+        yield _batch(out, NAMES[:-1])
 
 
-def capture_index(spark: SparkSession, archives: str) -> DataFrame:
+def capture_index(spark: SparkSession, archives: str, captures: int = RANGE) -> DataFrame:
     """All captures of the archives in one order by URL key and timestamp."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(archives).select("path", "content")
-    runs = files.mapInArrow(_runs, CAPTURES)
-    # page_id breaks up a key that holds a large part of all captures.
-    ranges = runs.repartitionByRange(shuffle_partitions(spark), "urlkey", "timestamp", "page_id")
-    return ranges.mapInArrow(_merge, CAPTURES)
+    runs = staged(files.mapInArrow(_runs, CAPTURES), "warc-runs")
+    ranges = max(shuffle_partitions(spark), -(-runs.count() // captures))
+    # All order columns: neither a key nor a capture that holds a large part of all is one range.
+    ranges_ = runs.repartitionByRange(ranges, "urlkey", "timestamp", "page_id", "file", "offset").sortWithinPartitions("file", "place")
+    return ranges_.mapInArrow(_merge, CAPTURES.rpartition(",")[0])
 
 
 def page_time(page_id: int) -> datetime:

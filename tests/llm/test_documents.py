@@ -54,10 +54,11 @@ def test_fingerprints(odd_docs, no_docs):
 def test_warc(spark, tmp_path):
     big = "é" * 60 + "\r\n\r\nWARC/1.1 in the text"
     rows = [(4, "http://www.Example.com/b?x=1", big), (2, "http://example.com/b?x=1", big), (3, None, "short"), (5, "x", "short"), (6, "bad\r\nurl", None), (9, "http://a.org", big)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("refers_to", "later_id", "digest", "bytes", "n", "value")})
     out = f"{shared_dir(spark)}/warc-test-{tmp_path.name}"
     warc.write_archives(pages, out)
     got = warc.capture_index(spark, out).collect()
+    assert warc.capture_index(spark, out, captures=1).collect() == got
     by = {r.page_id: r for r in got}
     assert len(got) == 6 and {k: (r.record_type, r.refers_to) for k, r in by.items()} == {2: ("response", None), 3: ("response", None), 4: ("revisit", 2), 5: ("response", None), 6: ("response", None), 9: ("revisit", 2)}
     for number, _, html in rows:
@@ -69,6 +70,17 @@ def test_warc(spark, tmp_path):
     assert warc.capture_index(spark, out + "-none").count() == 0
 
 
+def test_warc_files_hold_few_large_pages(spark, tmp_path):
+    """A text of several MB, a payload that a third of all pages share, repeated and null ids."""
+    rows = [(k, f"http://h{k % 7}.org/{k}", "x" * 400_000 if k % 3 else "same " * 50_000) for k in range(60)] + [(100, "http://a.org", "y" * 6_000_000), (100, "http://a.org", "y" * 6_000_000), (None, None, "same " * 50_000)]
+    out = f"{shared_dir(spark)}/warc-large-{tmp_path.name}"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), out)
+    got = warc.capture_index(spark, out).collect()
+    assert len(got) == 63 and sum(r.record_type == "revisit" for r in got) == 19 + 39 + 1
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {0, 1}
+    assert [(r.urlkey, r.timestamp) for r in got] == sorted((r.urlkey, r.timestamp) for r in got)
+
+
 def test_loser_tree():
     r = random.Random(3)
     for k in (0, 1, 2, 3, 5, 8):
