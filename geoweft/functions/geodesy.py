@@ -48,6 +48,18 @@ def projection_sql(lon: str, lat: str, meridian: str) -> tuple[str, str]:
     return f"({_number(EASTING)} + {_number(scale)} * ({eta} + {x}))", f"({_number(scale)} * ({xi} + {y}))"
 
 
+def _projected(df: DataFrame, lon: str, lat: str, meridian: str, x: str, y: str) -> DataFrame:
+    """projection_sql in steps, each a column: expressions stay small, and what x and y share is computed once."""
+    scale, e, alpha = _series()
+    sin, turn = f"sin(radians({lat}))", f"radians({lon} - {meridian})"
+    df = df.withColumns({"_t": F.expr(f"sinh(atanh({sin}) - {_number(e)} * atanh({_number(e)} * {sin}))"), "_turn": F.expr(turn)})
+    df = df.withColumns({"_xi": F.expr("atan2(_t, cos(_turn))"), "_eta": F.expr("atanh(sin(_turn) / sqrt(1 + (_t) * (_t)))")})
+    east = " + ".join(f"{_number(a)} * cos({2 * j} * _xi) * sinh({2 * j} * _eta)" for j, a in enumerate(alpha, 1))
+    north = " + ".join(f"{_number(a)} * sin({2 * j} * _xi) * cosh({2 * j} * _eta)" for j, a in enumerate(alpha, 1))
+    df = df.withColumns({x: F.expr(f"({_number(EASTING)} + {_number(scale)} * (_eta + {east}))"), y: F.expr(f"({_number(scale)} * (_xi + {north}))")})
+    return df.drop("_t", "_turn", "_xi", "_eta")
+
+
 def joint_centre(*frames: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """One row: central meridian of the UTM zone at the centre of the frames' common bounding box, and its hemisphere."""
     boxes = [f.agg(F.min(lon).alias("x0"), F.max(lon).alias("x1"), F.min(lat).alias("y0"), F.max(lat).alias("y1")) for f in frames]
@@ -59,13 +71,11 @@ def joint_centre(*frames: DataFrame, lon: str = "lon", lat: str = "lat") -> Data
 def metric_xy(df: DataFrame, *others: DataFrame, meridian: float | None = None, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Adds metric x and y. The zone is that of df and others together unless a meridian is given."""
     if meridian is not None:
-        sx, sy = projection_sql(lon, lat, repr(float(meridian)))
-        return df.withColumn(x, F.expr(sx)).withColumn(y, F.expr(sy))
+        return _projected(df, lon, lat, repr(float(meridian)), x, y)
     centre = joint_centre(df, *others, lon=lon, lat=lat)
-    sx, sy = projection_sql(lon, lat, "_meridian")
-    placed = df.crossJoin(F.broadcast(centre))  # one row
+    placed = _projected(df.crossJoin(F.broadcast(centre)), lon, lat, "_meridian", x, y)  # one row
     south = F.when(F.col("_south"), F.lit(SOUTHING)).otherwise(F.lit(0.0))
-    return placed.withColumn(x, F.expr(sx)).withColumn(y, F.expr(sy) + south).drop("_meridian", "_south")
+    return placed.withColumn(y, F.col(y) + south).drop("_meridian", "_south")
 
 
 def planar_distance(x1: Column | str, y1: Column | str, x2: Column | str, y2: Column | str) -> Column:

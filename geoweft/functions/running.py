@@ -34,7 +34,8 @@ def bucket_of(column: Column, splits: list[float]) -> Column:
         return F.when(column.isNull(), F.lit(-1)).otherwise(F.lit(0))
     depth = len(splits).bit_length()
     beyond = (1 << 63) - 1
-    edges = F.array(*[F.lit(int(x)).cast("long") for x in splits + [beyond] * ((1 << depth) - len(splits))])
+    # One literal, however many splits: the optimiser folds it into a constant.
+    edges = F.split(F.lit(",".join(str(int(x)) for x in splits + [beyond] * ((1 << depth) - len(splits)))), ",").cast("array<bigint>")
     steps = F.array(*[F.lit(1 << k) for k in range(depth - 1, -1, -1)])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < column, at + step).otherwise(at))
     return F.when(column.isNull(), F.lit(-1)).otherwise(found)

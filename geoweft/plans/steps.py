@@ -1,8 +1,9 @@
 """Operations and sources by name, and plans as one chain of them.
 
 A plan is {"steps": [{"id", "op", "input", ...}], "output": id}. Its checks
-come before any job; the steps fold into a single lazy DataFrame, which the
-optimiser sees whole. Steps act in the order written: nothing is pushed below
+come before any job; the steps fold into one DataFrame, which the optimiser
+sees whole but where an operation stores what it goes over several times.
+Metric steps look up their rows' zone first, one number. Steps act in the order written: nothing is pushed below
 a step that it doesn't commute with, except by the optimiser itself.
 """
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,14 +30,17 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Where the cluster names none (tests, local mode) a temporary folder of
-    this machine is set for the session.
+    In local mode, as in tests, a temporary folder of this machine is set for
+    the session where none is named. A cluster must name one: on it, every
+    executor would write to a disk of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             return own.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="geoweft-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -37,6 +37,15 @@ def tiles(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFram
     return nation.select(F.col("n_nationkey").alias(key), "n_name", box_geometry(degrees(x), degrees(y), degrees(x + 4000), degrees(y + 4000)).alias("geom", metadata=BOXES))
 
 
+def parcels(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFrame:
+    """A square of 0.0016 degrees for each customer, a hundred and twenty-five to a row; neighbours share edges exactly."""
+    k = F.col("c_custkey").cast("long")
+    x, y = 3470000 + (k % 125) * 160, 3200000 + F.floor(k / 125) * 160
+    degrees = lambda c: c.cast("double") / 100000
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customer.select(k.alias(key), "c_mktsegment", box_geometry(degrees(x), degrees(y), degrees(x + 160), degrees(y + 160)).alias("geom", metadata=BOXES))
+
+
 def roads(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFrame:
     """A segment from each hub to the next."""
     hubs = layer(spark, sf_dir, "hubs").select("target_id", "lon", "lat")

@@ -268,6 +268,72 @@ def test_sources_and_operations_by_name(spark, schools):
         OPERATIONS.pop("odd_only")
 
 
+def snyder(lon, lat, meridian):
+    """The same projection by another series, in powers of the angle from the meridian."""
+    from math import cos, radians, sin, sqrt, tan
+
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    p2, phi = e2 / (1 - e2), radians(lat)
+    n, t, c, w = a / sqrt(1 - e2 * sin(phi) ** 2), tan(phi) ** 2, p2 * cos(phi) ** 2, cos(phi) * radians(lon - meridian)
+    m = a * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256 - 175 * e2**4 / 16384) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024 + 105 * e2**4 / 4096) * sin(2 * phi) + (15 * e2**2 / 256 + 45 * e2**3 / 1024 + 525 * e2**4 / 16384) * sin(4 * phi) - (35 * e2**3 / 3072 + 175 * e2**4 / 12288) * sin(6 * phi) + 315 * e2**4 / 131072 * sin(8 * phi))
+    x = 500000 + 0.9996 * n * (w + (1 - t + c) * w**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * p2) * w**5 / 120)
+    return x, 0.9996 * (m + n * tan(phi) * (w * w / 2 + (5 - t + 9 * c + 4 * c * c) * w**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * p2) * w**6 / 720))
+
+
+def test_projection_equals_another_series(spark):
+    rows = [(k, m + 0.19 * (k % 31) - 2.85, -79.0 + 5.27 * (k % 31)) for k, m in enumerate([-177, -75, 3, 33, 177] * 31)]
+    for m in (-177, -75, 3, 33, 177):
+        own = [r for r in rows if abs(r[1] - m) < 3.1]
+        df = spark.createDataFrame(own, "k long, lon double, lat double")
+        got = {r.k: r for r in metric_xy(df, meridian=float(m)).collect()}
+        assert len(got) == 31
+        for k, lon, lat in own:
+            x, y = snyder(lon, lat, m)
+            assert abs(got[k].x - x) < 0.005 and abs(got[k].y - y) < 0.005
+
+
+def slow_clusters(points, metres):
+    parent = list(range(len(points)))
+
+    def root(k):
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for i, (x, y) in enumerate(points):
+        for j in range(i):
+            if ((x - points[j][0]) ** 2 + (y - points[j][1]) ** 2) ** 0.5 <= metres:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(k) for k in range(len(points))]
+
+
+def test_clusters_equal_all_pairs(spark):
+    """Points in cells of few, and pairs of cells that only inner points settle."""
+    import random
+
+    r = random.Random(8)
+    rows = [(k, 34.8 + r.gauss(0, 0.01), 32.0 + r.gauss(0, 0.01)) for k in range(700)]
+    df = spark.createDataFrame(rows, "feature_id long, lon double, lat double")
+    at = {p.feature_id: (p.x, p.y) for p in metric_xy(df).collect()}
+    for metres in (40.0, 90.0, 400.0):
+        want = slow_clusters([at[k] for k in range(700)], metres)
+        sizes = {c: want.count(c) for c in want}
+        got = {p.feature_id: p.cluster_id for p in proximity.cluster(df, 2, metres).collect()}
+        assert got == {k: c for k, c in enumerate(want) if sizes[c] > 1}
+
+
+def test_a_hundred_thousand_points_in_one_cell(spark):
+    df = spark.range(100_000).selectExpr("id AS feature_id", "34.8 + (id * 7919 % 100003) / 100003 * 0.0009 AS lon", "32.0 + (id * 104729 % 99991) / 99991 * 0.0009 AS lat")
+    far = spark.createDataFrame([(200_000, 34.9, 32.0)], "feature_id long, lon double, lat double")
+    found = proximity.cluster(df.unionByName(far), 2, 120).groupBy("cluster_id").count().collect()
+    assert [(r.cluster_id, r["count"]) for r in found] == [(0, 100_000)]
+    few = spark.range(2000).selectExpr("id AS feature_id", "34.8 + id / 2000 * 0.0009 AS lon", "32.0004D AS lat")
+    assert proximity.near(few, df.withColumnRenamed("feature_id", "target_id"), 120).count() == 2000
+
+
 def test_published_projections(spark):
     """Easting and northing as published for the CN Tower, and symmetry over the equator, a zone's middle and its edges."""
     p = spark.createDataFrame([(0, -79.387139, 43.642567)], "k long, lon double, lat double")
