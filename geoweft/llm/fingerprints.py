@@ -34,6 +34,8 @@ MODULUS = np.uint64((1 << 31) - 1)
 SHIFT, LIFT = np.uint64(31), np.uint64((1 << 32) - 2)
 BASES = (911382323, 972663749)
 SPAN, SMALLEST = 16, 64
+#: Code points that are in work at a time; whole arrays have four bytes for each.
+STRETCH = 1 << 20
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
@@ -53,12 +55,12 @@ class Powers:
 
     def __init__(self, base: int):
         self.base = (base, pow(base, -1, int(MODULUS)))
-        self.up, self.down = (np.ones(1, np.uint64) for _ in range(2))
+        self.up, self.down = (np.ones(1, np.uint32) for _ in range(2))
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) < n:
-            k = len(self.up)
-            self.up, self.down = (np.concatenate([x, _mod(x * np.uint64(pow(b, k, int(MODULUS))))]) for x, b in zip((self.up, self.down), self.base))
+            k = min(len(self.up), STRETCH)  # the last k powers times base^k are the next k
+            self.up, self.down = (np.concatenate([x, _mod(x[-k:] * np.uint64(pow(b, k, int(MODULUS)))).astype(np.uint32)]) for x, b in zip((self.up, self.down), self.base))
         return self.up, self.down
 
 
@@ -69,14 +71,15 @@ class PrefixHashes:
 
     def __init__(self, points: np.ndarray):
         self.n = len(points)
-        c = points.astype(np.uint64) + np.uint64(1)
         self.prefix, self.down = [], []
         for t in self.tables:
             up, down = t.upto(self.n + 1)
-            term = c * up[: self.n]
-            sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum((term & MODULUS) + (term >> SHIFT), out=sums[1:])  # below 2^32 each: no overflow up to 2^31 code points
-            self.prefix.append(_folded(sums))
+            prefix, carried = np.zeros(self.n + 1, np.uint32), np.uint64(0)
+            for at in range(0, self.n, STRETCH):
+                part = (points[at : at + STRETCH] + np.uint64(1)) * up[at : at + len(points[at : at + STRETCH])]
+                part = _folded(np.cumsum((part & MODULUS) + (part >> SHIFT)) + carried)
+                prefix[at + 1 : at + 1 + len(part)], carried = part, part[-1]
+            self.prefix.append(prefix)
             self.down.append(down)
 
     def spans(self, starts: np.ndarray | slice, ends: np.ndarray | slice) -> np.ndarray:
@@ -86,6 +89,12 @@ class PrefixHashes:
             out.append(_mod((p[ends] + LIFT - p[starts]) * down[: self.n + 1][starts]))
         return (out[0] << SHIFT) | out[1]
 
+    def scrambled(self) -> np.ndarray:
+        """32 bits of each span of SPAN code points, in an order unrelated to that of the texts."""
+        starts = self.n - SPAN + 1
+        parts = [_scrambled(self.spans(slice(at, min(at + STRETCH, starts)), slice(at + SPAN, min(at + STRETCH, starts) + SPAN))) for at in range(0, starts, STRETCH)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
     def span(self, a: int, b: int) -> int:
         m, out = int(MODULUS), 0
         for p, down in zip(self.prefix, self.down):
@@ -167,8 +176,7 @@ class Document:
             low = max(0, cut - SPAN + 1)
             across = PrefixHashes(points_of(text[low : cut + SPAN - 1]))
             parts = [self.found[:low], following.found[: max(0, tail - SPAN + 1)]]
-            if across.n >= SPAN:
-                parts.append(_scrambled(across.spans(slice(0, across.n - SPAN + 1), slice(SPAN, across.n + 1))))
+            parts.append(across.scrambled())
             found = np.concatenate(parts)
         agree = cut + min(tail, self.hashes.common(cut, following.hashes, 0))
         return text, Fingerprint(cut + tail, whole, found), agree
@@ -176,7 +184,7 @@ class Document:
 
 def _spans_of(h: PrefixHashes, whole: int) -> np.ndarray:
     if h.n > SPAN:
-        return _scrambled(h.spans(slice(0, h.n - SPAN + 1), slice(SPAN, h.n + 1)))
+        return h.scrambled()
     return _scrambled(np.array([whole] if h.n else [], np.uint64))
 
 
