@@ -13,8 +13,8 @@ for equal fingerprints, near one half after half a text was replaced.
 
 Defined cases: null text is the empty text; texts shorter than a span are one
 span; two empty texts are alike (1), an empty and another are not (0);
-repeated doc_ids follow each other in the order of their text; a table of one
-row is its own next document.
+rows of one doc_id, or none, follow each other in an order of their texts'
+hashes; a table of one row is its own next document.
 """
 
 from __future__ import annotations
@@ -232,6 +232,18 @@ def _row(doc_id: object, own: Document, following: Document) -> tuple:
     )
 
 
+def _split_ranges(dealt: DataFrame, ranges: int) -> DataFrame:
+    """dealt (bucket, doc_id, h and more) with buckets that are one doc_id and large cut up by h. The larger bucket is the earlier one."""
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect()  # three numbers for each range
+    usual = sum(r.n for r in sizes) / max(1, ranges)
+    part = F.lit(0)
+    for r in sizes:
+        if r.low == r.high and r.n > 2 * usual:
+            parts = min(1 << 15, round(r.n / usual))
+            part = F.when(F.col("bucket") == r.bucket, F.floor((F.col("h") / 2.0**64 + 0.5) * parts).cast("int")).otherwise(part)
+    return dealt.withColumn("bucket", F.col("bucket").cast("long") * (1 << 16) + (1 << 15) - part)
+
+
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and its edited text, and how near they and the next document's are.
 
@@ -243,18 +255,19 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     n = shuffle_partitions(spark)
     splits = order_buckets(docs.select("doc_id"), "doc_id", 4 * n)
-    dealt = docs.select(bucket_of(F.col("doc_id"), splits).alias("bucket"), "doc_id", "text")
-    # First of each range in descending order: the largest doc_id and of its rows the first by text.
-    tops = dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).collect()  # a number for each range
-    tops = sorted(((r.bucket, r.doc_id) for r in tops), reverse=True)
+    order = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
+    dealt = _split_ranges(docs.select(bucket_of(F.col("doc_id"), splits).alias("bucket"), "doc_id", order, "text"), 4 * n)
+    # First of each range in descending order: the largest doc_id and of its rows the first by hash, here with all bits turned.
+    tops = dealt.groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("h").alias("h"))).alias("top")).collect()  # two numbers for each range
+    tops = sorted(((r.bucket, r.top.doc_id, ~r.top.h) for r in tops), key=lambda r: -r[0])
     if not tops:
         return spark.createDataFrame([], f"doc_id {kind}, {OUT}")
     # A guest goes to the range before its own; that of the first range to the last.
-    hosts = [(b, i, tops[k - 1][0]) for k, (b, i) in enumerate(tops)]
-    hosts = F.broadcast(spark.createDataFrame(hosts, f"bucket int, top {kind}, host int"))  # a row for each range
-    guests = dealt.join(hosts, (dealt["bucket"] == hosts["bucket"]) & dealt["doc_id"].eqNullSafe(hosts["top"]))
-    guests = guests.groupBy("host", "doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    guests = guests.select(F.col("host").alias("bucket"), "doc_id", "text", F.lit(True).alias("guest"))
-    rows = dealt.select("bucket", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("guest")).unionByName(guests)
-    rows = rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket").desc(), "guest", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.mapInArrow(_compare, f"doc_id {kind}, {OUT}")
+    hosts = [(b, i, h, tops[k - 1][0]) for k, (b, i, h) in enumerate(tops)]
+    hosts = F.broadcast(spark.createDataFrame(hosts, f"bucket long, top {kind}, top_h long, host long"))  # a row for each range
+    guests = dealt.join(hosts, (dealt["bucket"] == hosts["bucket"]) & dealt["doc_id"].eqNullSafe(hosts["top"]) & (F.col("h") == F.col("top_h")))
+    guests = guests.groupBy("host", "doc_id", "h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    guests = guests.select(F.col("host").alias("bucket"), "doc_id", "h", "text", F.lit(True).alias("guest"))
+    rows = dealt.select("bucket", "doc_id", "h", F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("guest")).unionByName(guests)
+    rows = rows.repartition(n, "bucket").sortWithinPartitions(F.col("bucket").desc(), "guest", F.col("doc_id").desc_nulls_last(), "h", "text")
+    return rows.select("bucket", "doc_id", "text", "guest").mapInArrow(_compare, f"doc_id {kind}, {OUT}")

@@ -73,6 +73,19 @@ def test_fingerprints_equal_their_definition(spark):
         assert abs(got[k].near_edited - slow_likeness(prints[0], prints[1])) < 1e-12 and abs(got[k].near_next - slow_likeness(prints[0], prints[2])) < 1e-12
 
 
+def test_fingerprints_of_many_rows_without_their_own_id(spark):
+    """A third of the rows has no doc_id, another third shares one: ranges of these are cut by hash and still continue each other."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k % 500} of some length, number {k % 500}") for k in range(3000)]
+    hashed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1]), r[1]))
+    want = []
+    for (number, own), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(own) // 2
+        want.append((str(number), hashlib.sha256((own[: len(own) - half] + following[:half]).encode()).hexdigest()))
+    got = fingerprints.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), x.edited_sha256) for x in got) == sorted(want)
+
+
 def test_fingerprints(odd_docs, no_docs):
     docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: r for r in fingerprints.fingerprint_neighbours(docs).collect()}
