@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def range_numbered(df: DataFrame, order: list[str], ranges: int, out: str, name:
 def order_buckets(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most ``buckets`` - 1 split points that deal the values of a numeric
     column into ranges of about equal size. Only these numbers reach the driver.
-    The error is a quarter of a range, down to a hundred-thousandth of the rows."""
+    The error is a quarter of a range, down to a hundred-thousandth of the rows.
+    A whole number that fills a range and more gets one of its own."""
     steps = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.stat.approxQuantile(column, steps, max(1e-5, 1 / (4 * buckets))))) if steps else []
+    found = df.stat.approxQuantile(column, steps, max(1e-5, 1 / (4 * buckets))) if steps else []
+    return sorted({*found, *(x - 1 for x, y in pairwise(found) if x == y)})
 
 
 def bucket_of(column: Column, splits: list[float]) -> Column:

@@ -39,22 +39,29 @@ def within_geometry(df: DataFrame, boundary: dict[str, Any] | None) -> DataFrame
 
     The bounding box is a plain range on stored columns, so it reaches the
     Parquet scan. Points are tested by ray casting in generated code; other
-    geometries by the kernel, after the box. Boundaries of one rectangle need
-    the box only.
+    geometries by the kernel, after the box. With a boundary of one rectangle,
+    points, rectangles and what lies inside need the box only.
     """
     if boundary is None:
         raise ValueError("within_geometry: no boundary")
     x0, y0, x1, y1 = (boundary[k] for k in ("xmin", "ymin", "xmax", "ymax"))
+    edges = boundary_edges(boundary)
+    rectangle = len(edges) == 4 and {(a, b) for a, b, _, _ in edges} == {(x0, y0), (x1, y0), (x1, y1), (x0, y1)}
     if "lon" in df.columns and "lat" in df.columns:
         boxed = df.where(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1))
-        edges = boundary_edges(boundary)
-        corners = {(a, b) for a, b, _, _ in edges}
-        if len(edges) == 4 and corners == {(x0, y0), (x1, y0), (x1, y1), (x0, y1)}:
+        if rectangle:
             return boxed
         return boxed.where(F.expr(inside_sql("lon", "lat", edges)))
     need(df, "geom")
     boxed = df.where((F.col("geom.xmin") <= x1) & (F.col("geom.xmax") >= x0) & (F.col("geom.ymin") <= y1) & (F.col("geom.ymax") >= y0))
-    return boxed.where(_meets(boundary)(F.col("geom")))
+    if not rectangle:
+        return boxed.where(_meets(boundary)(F.col("geom")))
+    if df.schema["geom"].metadata.get("shape") == "box":
+        return boxed
+    # Points and rectangles that meet the box meet the boundary; so does what lies between its sides.
+    within = (F.col("geom.xmin") >= x0) & (F.col("geom.xmax") <= x1) & (F.col("geom.ymin") >= y0) & (F.col("geom.ymax") <= y1)
+    simple = F.coalesce(within | (F.col("geom.type") == "Point") | G.is_box("geom"), F.lit(False))
+    return boxed.where(simple).unionByName(boxed.where(~simple).where(_meets(boundary)(F.col("geom"))))
 
 
 def _meets(boundary: dict[str, Any]):
