@@ -124,7 +124,7 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
                 lang = lang or ""
                 chars[lang] = chars.get(lang, 0) + classes_of(text or "")
                 words.setdefault(lang, Counter()).update((text or "").encode("utf-8", "surrogatepass").split())
-            if sum(map(len, words.values())) > 300_000:
+            if sum(map(len, words.values())) > 150_000:
                 yield from flush()
         yield from flush()
 
