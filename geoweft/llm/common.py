@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.session import shared_dir, staged
+from geoweft.session import shared_dir, staged, temporary
 
-__all__ = ["shared_dir", "staged", "table", "text_slices", "shuffle_partitions", "free_name", "numbered", "looked_up"]
+__all__ = ["shared_dir", "staged", "temporary", "table", "text_slices", "shuffle_partitions", "free_name", "numbered", "looked_up"]
 
 HOT = 500
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.running import range_numbered, running_total
-from geoweft.llm.common import HOT, free_name, looked_up, shuffle_partitions, staged
+from geoweft.llm.common import HOT, free_name, looked_up, shuffle_partitions, staged, temporary
 from geoweft.session import checkpointed
 
 MIN_CHARS = 150
@@ -127,10 +127,12 @@ def repeated_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its columns, text without the removed lines; and n_lines, n_removed (named apart from its columns)."""
-    texts = distinct_texts(docs)
-    gone = repeated_lines(texts, min_chars).withColumnRenamed("lines", "gone")
-    known = texts.select("h1", "h2", "first", "copies", "chars", "doc").join(gone, "doc", "left").where("gone is not null or (copies > 1 and chars >= {})".format(int(min_chars)))
-    known = staged(known.drop("doc"), "line-known")
+    with temporary(docs.sparkSession):
+        texts = distinct_texts(docs)
+        gone = repeated_lines(texts, min_chars).withColumnRenamed("lines", "gone")
+        known = texts.select("h1", "h2", "first", "copies", "chars", "doc").join(gone, "doc", "left")
+        known = known.where(F.col("gone").isNotNull() | ((F.col("copies") > 1) & (F.col("chars") >= min_chars)))
+        known = staged(known.drop("doc"), "line-known", keep=True)
     total = docs.count()
     hot = F.broadcast(known.where(F.col("copies") > total // HOT).select("h1", "h2", "first", "chars"))  # at most HOT rows
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *_hashes(F.col("text"), "h1", "h2"))

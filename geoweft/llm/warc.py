@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import looked_up, shuffle_partitions, staged
+from geoweft.llm.common import looked_up, shuffle_partitions, staged, temporary
 
 MIN_REVISIT = 100
 #: Records a file at most, and about the payload bytes of one; captures in a key range.
@@ -89,10 +89,11 @@ def records(pages: DataFrame, light: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, out: str) -> None:
     """Archives of RECORDS_PER_FILE records, fewer where pages are large, so that a file is one task's work to read."""
-    light = payloads(pages)
-    usual = light.agg(F.avg("bytes")).first()[0] or 0
-    most = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (usual + 500))))
-    records(pages, light).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(out)
+    with temporary(pages.sparkSession):
+        light = payloads(pages)
+        usual = light.agg(F.avg("bytes")).first()[0] or 0
+        most = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (usual + 500))))
+        records(pages, light).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(out)
 
 
 def url_key(url: str) -> str:

@@ -1,5 +1,7 @@
 """Every operator and stage on rows with all names it could use itself, and with texts of several MB."""
 
+import uuid
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ def clashes(spark, odd_docs):
     long_row = spark.createDataFrame([(90, "a long text, user: alice99 and pwd = hunter22x; number", "en", "b", 1, "q")], odd_docs.schema)
     long_row = long_row.withColumn("text", F.concat("text", F.expr("array_join(transform(sequence(1, 300000), x -> concat(x, if(x % 9 = 0, '\\n', ' '))), '')")))
     rows = odd_docs.unionByName(long_row).withColumns({x: F.lit(k) for k, x in enumerate(NAMES)})
-    path = f"{shared_dir(spark)}/clashes-{id(rows)}"
+    path = f"{shared_dir(spark)}/clashes-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -41,7 +43,7 @@ def test_queries_ignore_other_columns(run, clashes):
 def test_token_store_ignores_other_columns(spark, clashes):
     got = []
     for k, docs in enumerate((clashes, clashes.select("doc_id", "text"))):
-        out = f"{shared_dir(spark)}/clash-store-{k}-{id(docs)}"
+        out = f"{shared_dir(spark)}/clash-store-{uuid.uuid4().hex}"
         token_store.write_store(docs, out, WORD)
         got.append(key(token_store.read_digests(spark, out)))
     assert got[0] == got[1]

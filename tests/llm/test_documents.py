@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -105,7 +106,7 @@ def test_warc(spark, tmp_path):
     big = "é" * 60 + "\r\n\r\nWARC/1.1 in the text"
     rows = [(4, "http://www.Example.com/b?x=1", big), (2, "http://example.com/b?x=1", big), (3, None, "short"), (5, "x", "short"), (6, "bad\r\nurl", None), (9, "http://a.org", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("refers_to", "later_id", "digest", "bytes", "n", "value")})
-    out = f"{shared_dir(spark)}/warc-test-{tmp_path.name}"
+    out = f"{shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
     warc.write_archives(pages, out)
     got = warc.capture_index(spark, out).collect()
     assert warc.capture_index(spark, out, captures=1).collect() == got
@@ -123,7 +124,7 @@ def test_warc(spark, tmp_path):
 def test_warc_files_hold_few_large_pages(spark, tmp_path):
     """A text of several MB, a payload that a third of all pages share, repeated and null ids."""
     rows = [(k, f"http://h{k % 7}.org/{k}", "x" * 400_000 if k % 3 else "same " * 50_000) for k in range(60)] + [(100, "http://a.org", "y" * 6_000_000), (100, "http://a.org", "y" * 6_000_000), (None, None, "same " * 50_000)]
-    out = f"{shared_dir(spark)}/warc-large-{tmp_path.name}"
+    out = f"{shared_dir(spark)}/warc-large-{uuid.uuid4().hex}"
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), out)
     got = warc.capture_index(spark, out).collect()
     assert len(got) == 63 and sum(r.record_type == "revisit" for r in got) == 19 + 39 + 1

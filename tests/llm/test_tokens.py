@@ -1,6 +1,7 @@
 """Operators 1, 4 and 5 against the tokenizers library and exact round trips."""
 
 import hashlib
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -76,7 +77,7 @@ def test_bpe_digests(odd_docs, no_docs):
 
 
 def test_token_store(spark, odd_docs, no_docs, tmp_path):
-    out = f"{shared_dir(spark)}/store-test-{tmp_path.name}"
+    out = f"{shared_dir(spark)}/store-test-{uuid.uuid4().hex}"
     token_store.write_store(odd_docs, out, WORD)
     got = sorted(token_store.read_digests(spark, out).collect(), key=lambda r: r.start)
     total = 0
