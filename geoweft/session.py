@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,15 +48,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, **options: object) -> DataFrame:
+#: For each open temporary(), the folders made inside it.
+_temporary: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the folders that staged() makes inside, but for those it is told to keep.
+
+    For intermediate tables that a stored result has used up; nothing lazy over
+    them may leave.
+    """
+    _temporary.append([])
+    try:
+        yield
+    finally:
+        for path in _temporary.pop():
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def staged(df: DataFrame, name: str, keep: bool = False, **options: object) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     Cuts lineage so that a lost executor costs a re-read, and lets several
     later jobs use what one expensive pass made. The folder belongs to the
-    session's shared directory and is cleared with it.
+    session's shared directory and is cleared with it, or by temporary().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _temporary and not keep:
+        _temporary[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 
