@@ -52,12 +52,12 @@ def _projected(df: DataFrame, lon: str, lat: str, meridian: str, x: str, y: str)
     """projection_sql in steps, each a column: expressions stay small, and what x and y share is computed once."""
     scale, e, alpha = _series()
     sin, turn = f"sin(radians({lat}))", f"radians({lon} - {meridian})"
-    df = df.withColumns({"_t": F.expr(f"sinh(atanh({sin}) - {_number(e)} * atanh({_number(e)} * {sin}))"), "_turn": F.expr(turn)})
-    df = df.withColumns({"_xi": F.expr("atan2(_t, cos(_turn))"), "_eta": F.expr("atanh(sin(_turn) / sqrt(1 + (_t) * (_t)))")})
-    east = " + ".join(f"{_number(a)} * cos({2 * j} * _xi) * sinh({2 * j} * _eta)" for j, a in enumerate(alpha, 1))
-    north = " + ".join(f"{_number(a)} * sin({2 * j} * _xi) * cosh({2 * j} * _eta)" for j, a in enumerate(alpha, 1))
-    df = df.withColumns({x: F.expr(f"({_number(EASTING)} + {_number(scale)} * (_eta + {east}))"), y: F.expr(f"({_number(scale)} * (_xi + {north}))")})
-    return df.drop("_t", "_turn", "_xi", "_eta")
+    df = df.withColumns({"_utm_t": F.expr(f"sinh(atanh({sin}) - {_number(e)} * atanh({_number(e)} * {sin}))"), "_utm_turn": F.expr(turn)})
+    df = df.withColumns({"_utm_xi": F.expr("atan2(_utm_t, cos(_utm_turn))"), "_utm_eta": F.expr("atanh(sin(_utm_turn) / sqrt(1 + _utm_t * _utm_t))")})
+    east = " + ".join(f"{_number(a)} * cos({2 * j} * _utm_xi) * sinh({2 * j} * _utm_eta)" for j, a in enumerate(alpha, 1))
+    north = " + ".join(f"{_number(a)} * sin({2 * j} * _utm_xi) * cosh({2 * j} * _utm_eta)" for j, a in enumerate(alpha, 1))
+    df = df.withColumns({x: F.expr(f"({_number(EASTING)} + {_number(scale)} * (_utm_eta + {east}))"), y: F.expr(f"({_number(scale)} * (_utm_xi + {north}))")})
+    return df.drop("_utm_t", "_utm_turn", "_utm_xi", "_utm_eta")
 
 
 def joint_centre(*frames: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
