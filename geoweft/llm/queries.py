@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import bpe, fingerprints, linededup, packing, pii, quality, secrets, simhash, token_store, warc
+from geoweft.llm import bpe, decontamination, fingerprints, linededup, packing, phrases, pii, quality, secrets, simhash, token_store, warc, whitening
 from geoweft.llm.common import shared_dir, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,9 +62,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash, op7_quality, op8_line_dedup, op9_secrets, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_fingerprints, op3_warc, op4_packing, op5_token_store, op6_simhash, op7_quality, op8_line_dedup, op9_secrets, op10_pii, op11_phrases, op12_decontamination, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL}
+    return {"op3_warc": warc.ORACLE_SQL, "op8_line_dedup": linededup.ORACLE_SQL, "op11_phrases": phrases.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL}
