@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-#: For each open temporary(), the folders made inside it.
-_temporary: list[list[str]] = []
+#: The folders made inside the innermost open temporary() of this thread or task.
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
 
 
 @contextmanager
@@ -57,13 +58,15 @@ def temporary(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the folders that staged() makes inside, but for those it is told to keep.
 
     For intermediate tables that a stored result has used up; nothing lazy over
-    them may leave.
+    them may leave. What other threads stage meanwhile stays.
     """
-    _temporary.append([])
+    folders: list[str] = []
+    outer = _temporary.set(folders)
     try:
         yield
     finally:
-        for path in _temporary.pop():
+        _temporary.reset(outer)
+        for path in folders:
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
@@ -77,8 +80,8 @@ def staged(df: DataFrame, name: str, keep: bool = False, **options: object) -> D
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _temporary and not keep:
-        _temporary[-1].append(path)
+    if not keep and (folders := _temporary.get()) is not None:
+        folders.append(path)
     df.write.options(**options).parquet(path)
     return spark.read.parquet(path)
 

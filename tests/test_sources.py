@@ -125,3 +125,32 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.lon for r in spark.sql("select * from fixes").collect()) == [23.0, 24.0, 25.0]
+
+
+def test_temporary_tables_are_those_of_their_own_thread(spark):
+    """What another thread stages while a temporary() is open stays, and what was staged inside goes."""
+    import threading
+
+    from geoweft.session import staged, temporary
+
+    opened, written, found = threading.Event(), threading.Event(), []
+
+    def other():
+        opened.wait(60)
+        found.append(staged(spark.range(5).toDF("x"), "other-thread"))
+        written.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with temporary(spark):
+        own = staged(spark.range(3).toDF("x"), "own")
+        with temporary(spark):
+            inner = staged(own, "inner")
+        opened.set()
+        written.wait(60)
+        kept = staged(own, "kept", keep=True)
+    thread.join()
+    assert found[0].count() == 5 and kept.count() == 3
+    for gone in (own, inner):
+        path = spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0])
+        assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
