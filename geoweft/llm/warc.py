@@ -16,9 +16,11 @@ ordered capture history. A range sees the captures of its keys only, without
 payloads; a run out of order is an error.
 
 Defined cases: null html is an empty payload, so always a response; null url
-has the empty key; a null page_id is never the smallest; rows that repeat a
-page_id are captures each, of the type of that page_id; an empty table writes
-an empty folder and reads back no rows; other columns are ignored.
+has the empty key; a null page_id comes after all others; rows are captures
+each, whatever page_ids they share: of the rows of a payload, the one with the
+smallest page_id, of ties any one, is the response, and a row revisits its own
+payload only (its refers_to is null if no row of it has a page_id); an empty
+table writes an empty folder and reads back no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,30 +47,31 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
 
-def payloads(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, bytes) of every page, stored: each payload is hashed once."""
+def stored_pages(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, html, digest, bytes) of every page, stored: each row has a number and each payload is hashed once."""
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    return staged(pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")), "warc-payloads")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    return staged(rows, "warc-pages", compression="zstd")
 
 
-def revisits(light: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages to be stored as revisits. Only digests and ids are shuffled."""
-    large = light.where(F.col("bytes") >= MIN_REVISIT).select("page_id", "digest")
-    first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    found = looked_up(large, staged(first, "warc-first"), ["digest"], "n", light.count())
-    return found.where("not (page_id <=> refers_to)").select("page_id", "refers_to").distinct()
+def revisits(rows: DataFrame) -> DataFrame:
+    """(row, refers_to) of the rows to be stored as revisits. Only digests, ids and numbers are shuffled."""
+    large = rows.where(F.col("bytes") >= MIN_REVISIT).select("row", "page_id", "digest")
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
+    first = large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("leader"), "n")
+    found = looked_up(large, staged(first, "warc-first"), ["digest"], "n", rows.count())
+    return found.where("row <> leader").select("row", "refers_to")
 
 
-def records(pages: DataFrame, light: DataFrame) -> DataFrame:
-    """One text column: the WARC record of each page, without its terminator. light: what payloads() makes of pages."""
-    pages = pages.select("page_id", "url", "html")
-    later = revisits(light).withColumnRenamed("page_id", "later_id")
-    rows = pages.join(later, pages["page_id"].eqNullSafe(later["later_id"]), "left")
+def records(rows: DataFrame) -> DataFrame:
+    """One text column: the WARC record of each row of stored_pages(), without its terminator."""
+    later = revisits(rows).select(F.col("row").alias("later"), "refers_to", F.lit(True).alias("again"))
+    rows = rows.join(later, rows["row"] == later["later"], "left")
     nl = "\r\n"
     body = F.coalesce("html", F.lit(""))
-    payload = F.encode(body, "utf-8")
-    size = F.octet_length(payload).cast("string")
-    again = F.col("refers_to").isNotNull()
+    size = F.col("bytes").cast("string")
+    again = F.coalesce("again", F.lit(False))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=utf-8{nl}Content-Length: "), size, F.lit(nl * 2))
     block = F.when(again, http).otherwise(F.concat(http, body))
     when = F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.coalesce(F.col("page_id").cast("long"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -79,9 +82,9 @@ def records(pages: DataFrame, light: DataFrame) -> DataFrame:
         F.lit(f"{nl}WARC-Record-ID: <urn:page:"), name, F.lit(">"),
         F.lit(f"{nl}WARC-Date: "), when,
         F.lit(f"{nl}WARC-Target-URI: "), one_line,
-        F.lit(f"{nl}WARC-Payload-Digest: sha256:"), F.sha2(payload, 256),
+        F.lit(f"{nl}WARC-Payload-Digest: sha256:"), F.col("digest"),
         F.lit(f"{nl}X-Payload-Length: "), size,
-        F.when(again, F.concat(F.lit(f"{nl}WARC-Profile: {PROFILE}{nl}WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(again, F.concat(F.lit(f"{nl}WARC-Profile: {PROFILE}{nl}WARC-Refers-To: <urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("null")), F.lit(">"))).otherwise(""),
         F.lit(f"{nl}Content-Type: application/http; msgtype=response{nl}Content-Length: "), F.octet_length(F.encode(block, "utf-8")).cast("string"), F.lit(nl * 2),
     )
     return rows.select(F.concat(head, block).alias("value"))
@@ -90,10 +93,10 @@ def records(pages: DataFrame, light: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, out: str) -> None:
     """Archives of RECORDS_PER_FILE records, fewer where pages are large, so that a file is one task's work to read."""
     with temporary(pages.sparkSession):
-        light = payloads(pages)
-        usual = light.agg(F.avg("bytes")).first()[0] or 0
+        rows = stored_pages(pages)
+        usual = rows.agg(F.avg("bytes")).first()[0] or 0
         most = max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (usual + 500))))
-        records(pages, light).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(out)
+        records(rows).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=most).text(out)
 
 
 def url_key(url: str) -> str:
@@ -234,11 +237,10 @@ def page_time(page_id: int) -> datetime:
 #: What the archives of pages hold, from the pages themselves.
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
-f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= {MIN_REVISIT} GROUP BY digest)
-SELECT page_id, n::BIGINT AS payload_bytes, d.digest AS payload_digest,
-  CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {MIN_REVISIT} AND page_id <> first THEN first END AS refers_to,
+d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest, row_number() OVER (PARTITION BY sha256(h) ORDER BY page_id NULLS LAST) AS place, min(page_id) OVER (PARTITION BY sha256(h)) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= {MIN_REVISIT} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= {MIN_REVISIT} AND place > 1 THEN first END AS refers_to,
   strftime(to_timestamp({int(EPOCH.timestamp())} + page_id) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS timestamp
-FROM d LEFT JOIN f ON d.digest = f.digest
+FROM d
 """

@@ -127,11 +127,31 @@ def test_warc_files_hold_few_large_pages(spark, tmp_path):
     out = f"{shared_dir(spark)}/warc-large-{uuid.uuid4().hex}"
     warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), out)
     got = warc.capture_index(spark, out).collect()
-    assert len(got) == 63 and sum(r.record_type == "revisit" for r in got) == 19 + 39 + 1
-    assert {r.refers_to for r in got if r.record_type == "revisit"} == {0, 1}
+    assert len(got) == 63 and sum(r.record_type == "revisit" for r in got) == 19 + 39 + 1 + 1
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {0, 1, 100}
     assert [(r.urlkey, r.timestamp) for r in got] == sorted((r.urlkey, r.timestamp) for r in got)
 
 
+def test_warc_keeps_every_payload(spark):
+    """Null and repeated ids with equal and different payloads: a record for each row, and each payload in one response."""
+    r = random.Random(8)
+    texts = [c * n for c in "abcd" for n in (20, 100, 300)]
+    rows = [(r.choice([None, None, *range(6)]), r.choice(["u1", "u2", None]), r.choice([*texts, None])) for _ in range(300)]
+    rows += [(0, "u", "D" * 200), (1, "u", "A" * 200), (2, "u", "A" * 200), (2, "u", "B" * 200), (2, "u", "D" * 200), (None, "u", "A" * 200), (None, "u", "E" * 200), (None, "v", "F" * 200), (None, "v", "F" * 200)]
+    out = f"{shared_dir(spark)}/warc-ids-{uuid.uuid4().hex}"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), out)
+    got = Counter((x.page_id, x.payload_digest, x.record_type, x.refers_to) for x in warc.capture_index(spark, out).collect())
+    want, by = Counter(), {}
+    for page, _, html in rows:
+        by.setdefault(html or "", []).append(page)
+    for html, pages in by.items():
+        pages.sort(key=lambda x: (x is None, x))
+        for place, page in enumerate(pages):
+            again = place > 0 and len(html) >= 100
+            want[page, hashlib.sha256(html.encode()).hexdigest(), "revisit" if again else "response", pages[0] if again else None] += 1
+    assert got == want
+
+
 def test_loser_tree():
     r = random.Random(3)
     for k in (0, 1, 2, 3, 5, 8):
