@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projection_sql, segment_distance_sql
 from geoweft.functions.geometry import distance, point_geometry, representative_point
+from geoweft.operators import quadtree
 from geoweft.operators.components import connected_components
 from geoweft.operators.filters import Where, reference_filter
 from geoweft.session import staged
@@ -136,21 +137,33 @@ def pairs_within(left: DataFrame, right: DataFrame, distance: float) -> DataFram
 
 
 def nearest_within(df: DataFrame, ref: DataFrame, metres: float, meridian: float | None = None, more: list[DataFrame] | None = None) -> DataFrame:
-    """(feature_id, target_id, distance_m): each feature's nearest target, the smaller target_id of equals.
-
-    Points look within an eighth of the distance first, in cells that small: where
-    targets are dense, that settles nearly all features among a sixty-fourth of
-    the pairs. Only the others look as far as the distance.
-    """
+    """(feature_id, target_id, distance_m): each feature's nearest target, the smaller target_id of equals."""
     place, meet = _metric(df, ref)
     meridian = zone([df, ref, *(more or [])], meridian)
     left = place(df, [ref, *(more or [])], "feature_id", meridian)
     right = place(ref, [df, *(more or [])], "target_id", meridian)
     if meet is not pairs_within:
         return _best(meet(left, right, metres))
-    first = _best(meet(left, right, metres / 8))
-    others = left.join(first.select("feature_id"), "feature_id", "left_anti")
-    return first.unionByName(_best(meet(others, right, metres)))
+    return nearest_points(staged(left, "near-features"), staged(right, "near-targets"), metres)
+
+
+def nearest_points(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As nearest_within, for stored metric points.
+
+    Counts of cells tell beforehand how many targets each feature would meet.
+    Where these are few, cells as wide as the distance are joined; features in
+    denser cells find their target through quadtrees, which split such cells.
+    """
+    dense, n = quadtree.dense_part(left, right, metres)
+    if not n:
+        return _best(pairs_within(left, right, metres))
+    left = left.withColumn("cx", F.floor(F.col("x") / metres)).withColumn("cy", F.floor(F.col("y") / metres))
+    usual = left.join(dense, ["cx", "cy"], "left_anti").drop("cx", "cy")
+    hot = staged(left.join(dense, ["cx", "cy"], "left_semi").drop("cx", "cy"), "near-dense")
+    around = dense.select(F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy").select("cx", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy")).distinct()
+    right_of = right.withColumn("cx", F.floor(F.col("x") / metres)).withColumn("cy", F.floor(F.col("y") / metres))
+    targets = staged(right_of.join(around, ["cx", "cy"], "left_semi").drop("cx", "cy"), "near-dense")
+    return _best(pairs_within(usual, right, metres)).unionByName(quadtree.nearest(hot, targets, metres))
 
 
 def _metric(df: DataFrame, ref: DataFrame) -> tuple[Callable[..., DataFrame], Callable[..., DataFrame]]:
@@ -201,7 +214,8 @@ def nearest_n(df: DataFrame, ref: DataFrame, count: int, where: Where | None = N
     rounds: list[DataFrame] = []
     found = 0
     while True:
-        rounds.append(staged(_best(meet(open_, targets, radius)), "nearest-found"))
+        found_now = nearest_points(open_, targets, radius) if meet is pairs_within else _best(meet(open_, targets, radius))
+        rounds.append(staged(found_now, "nearest-found"))
         last = rounds[-1].count()
         found += last
         if found >= count or radius > 4e7:
