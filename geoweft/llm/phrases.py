@@ -34,6 +34,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from geoweft.llm.common import looked_up, staged, temporary
 
 DEPTH, LEAST, TOP = 4, 30, 2000
 #: Suffixes of a group; bytes of text in a slice, whose equal words and suffixes are one row.
-BUDGET, SLICE = 2_000_000, 16 << 20
+BUDGET, SLICE = 1_000_000, 8 << 20
 MOST_BITS = 1 << 26
 #: What ends a piece.
 STOPS = b".,;:!?\n\x0b\x0c\r"
@@ -212,6 +213,17 @@ def class_counts(docs: DataFrame, so_far: Layout) -> DataFrame:
     return _texts(docs).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, compressed: the higher ones are nearly all zero."""
+    planes = np.ascontiguousarray(numbers).reshape(-1).view(np.uint8).reshape(-1, numbers.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def dealt(docs: DataFrame, by: Layout) -> DataFrame:
     """(group, lang, words, codes, n): for each slice and group, its suffixes as numbers into its own list of words."""
 
@@ -228,8 +240,8 @@ def dealt(docs: DataFrame, by: Layout) -> DataFrame:
                 used[0] = True
                 small = (np.cumsum(used) - 1).astype(np.uint16 if used.sum() <= 1 << 16 else np.uint32)
                 own = words.take(pa.array(np.flatnonzero(used)[1:] - 1))
-                blob = small[rows[start:end].T].tobytes()
-                arrays = [pa.array([int(group[start])], pa.int64()), pa.array([lang]), pa.array([own.to_pylist()], pa.list_(pa.binary())), pa.array([blob]), pa.array([n[start:end].astype(np.uint32).tobytes()])]
+                blob = _packed(small[rows[start:end].T])
+                arrays = [pa.array([int(group[start])], pa.int64()), pa.array([lang]), pa.array([own.to_pylist()], pa.list_(pa.binary())), pa.array([blob]), pa.array([_packed(n[start:end].astype(np.uint32))])]
                 yield pa.RecordBatch.from_arrays(arrays, names=["group", "lang", "words", "codes", "n"])
 
     return _texts(docs).mapInArrow(run, "group long, lang string, words array<binary>, codes binary, n binary")
@@ -246,8 +258,8 @@ def subtrees(parts: DataFrame, by: Layout, least: int = LEAST) -> DataFrame:
         number = np.concatenate(([0], words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1))
         at, lang, columns, n = 0, [], [[], [], [], []], []
         for own, size, codes, times in zip(langs.indices.to_pylist(), lists.value_lengths().to_pylist(), part.column("codes"), part.column("n"), strict=True):
-            counts = np.frombuffer(times.as_buffer(), np.uint32)
-            raw = np.frombuffer(codes.as_buffer(), np.uint16 if size + 1 <= 1 << 16 else np.uint32).reshape(DEPTH, -1)
+            counts = _unpacked(times.as_py(), np.uint32)
+            raw = _unpacked(codes.as_py(), np.uint16 if size + 1 <= 1 << 16 else np.uint32).reshape(DEPTH, -1)
             for k in range(DEPTH):
                 columns[k].append(np.where(raw[k] > 0, number[raw[k].astype(np.int64) + at], 0))
             lang.append(np.full(len(counts), own, np.int32))
