@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import UTC, datetime
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,10 +65,10 @@ def within_geometry(df: DataFrame, boundary: dict[str, Any] | None) -> DataFrame
 
 
 def _meets(boundary: dict[str, Any]):
-    @F.pandas_udf(T.BooleanType())
-    def run(g: pd.DataFrame) -> pd.Series:
+    @F.arrow_udf(T.BooleanType())
+    def run(g: pa.Array) -> pa.Array:
         area = G.Shape(boundary)
-        return pd.Series([bool(x["type"]) and G.relation(x, area)["intersects"] for x in g.to_dict("records")], dtype=bool)
+        return pa.array([x is not None and bool(x["type"]) and G.relation(x, area)["intersects"] for x in g.to_pylist()], pa.bool_())
 
     return run
 

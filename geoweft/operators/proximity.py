@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,9 +80,9 @@ def _shapes(df: DataFrame, others: list[DataFrame], key: str, meridian: float |
     return rows.select(key, shape.alias("shape"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _shape_distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], dtype="float64")
+@F.arrow_udf(T.DoubleType())
+def _shape_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
 def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:

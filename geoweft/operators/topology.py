@@ -8,10 +8,14 @@ every cell of its box, so give a cell about as large as the usual geometry.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import area_relation_sql, box_relation, is_box, point_geometry, related
+from geoweft.functions.geometry import area_relation_sql, box_relation, is_box, point_geometry, relation
+from geoweft.operators.edges import line_pairs
 from geoweft.operators.filters import Where, need, reference_filter
 
 REASONS = {
@@ -38,7 +42,7 @@ def _boxes_meet() -> Column:
 
 
 def _kind(df: DataFrame) -> str | None:
-    """point or box where the columns say that all rows are; else None."""
+    """point, box or line where the columns say that all rows are; else None."""
     if "geom" not in df.columns:
         return "point"
     return df.schema["geom"].metadata.get("shape")
@@ -47,10 +51,14 @@ def _kind(df: DataFrame) -> str | None:
 def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) -> DataFrame:
     """(feature_id, target_id) for which the predicate holds, each pair once.
 
-    Points and rectangles, and points against areas, are decided by built-in
-    expressions; only other pairs go to the kernel. Where columns tell that all
-    rows are points or rectangles, the plan has no kernel.
+    Lines meet lines by their edges. Points and rectangles, and points against
+    areas, are decided by built-in expressions; only other pairs go to the
+    kernel. Where columns tell that all rows are points, rectangles or lines,
+    the plan has no kernel.
     """
+    known = _kind(df), _kind(ref)
+    if known == ("line", "line"):
+        return line_pairs(df, ref, predicate, cell)
     a, b = _boxed(df, "feature_id", cell, "a_"), _boxed(ref, "target_id", cell, "b_")
     met = a.join(b, ["cx", "cy"]).where(_boxes_meet())
     # Boxes that share several cells are tested in the first of them only.
@@ -58,9 +66,10 @@ def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) ->
     first_y = F.floor(F.greatest("a_geom.ymin", "b_geom.ymin") / cell)
     met = met.where((F.col("cx") == first_x) & (F.col("cy") == first_y))
     ids = [F.col("a_id").alias("feature_id"), F.col("b_id").alias("target_id")]
-    known = _kind(df), _kind(ref)
-    if all(known):
+    if set(known) <= {"point", "box"}:
         return met.where(box_relation(predicate, "a_geom", known[0], "b_geom", known[1])).select(*ids)
+    lines = [df.where(_is_line("geom")) if "geom" in df.columns else None for df in (df, ref)]
+    met = met.where(~(_is_line("a_geom") & _is_line("b_geom")))
     shapes = {g: F.when(F.col(f"{g}.type") == "Point", "point").when(is_box(g), "box").when(F.col(f"{g}.type").endswith("Polygon"), "area").otherwise("other") for g in ("a_geom", "b_geom")}
     met = met.withColumn("_a", shapes["a_geom"]).withColumn("_b", shapes["b_geom"])
     simple = F.lit(None).cast("boolean")
@@ -69,9 +78,28 @@ def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) ->
             simple = F.when((F.col("_a") == one) & (F.col("_b") == two), box_relation(predicate, "a_geom", one, "b_geom", two)).otherwise(simple)
     simple = F.when((F.col("_a") == "area") & (F.col("_b") == "point"), F.expr(area_relation_sql(predicate, "a_geom", "b_geom", True))).otherwise(simple)
     simple = F.when((F.col("_a") == "point") & (F.col("_b") == "area"), F.expr(area_relation_sql(predicate, "b_geom", "a_geom", False))).otherwise(simple)
-    met = met.withColumn("_simple", simple)
-    hard = met.where("_simple is null").where(related(predicate)(F.col("a_geom"), F.col("b_geom")))
-    return met.where("_simple").select(*ids).unionByName(hard.select(*ids))
+    met = met.withColumn("_simple", simple).where(F.coalesce("_simple", F.lit(True)))
+    # One pass: geometries go along only where the expressions haven't decided.
+    open_ = [F.when(F.col("_simple").isNull(), F.col(g)).alias(g) for g in ("a_geom", "b_geom")]
+    kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((df, "feature_id"), (ref, "target_id"))]
+    found = met.select(*ids, *open_).mapInArrow(_kernel(predicate), ", ".join(kinds))
+    return found if None in lines else found.unionByName(line_pairs(*lines, predicate, cell))
+
+
+def _kernel(predicate: str):
+    """Ids of the rows for which the predicate holds; rows without geometries are known to be among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            both = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+            kept = [x is None or relation(x, y)[predicate] for x, y in both]
+            yield part.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def _is_line(g: str) -> Column:
+    return F.col(f"{g}.type").isin("LineString", "MultiLineString")
 
 
 def _related(df: DataFrame, ref: DataFrame, predicate: str, where: Where | None, cell: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import BOXES, box_geometry, line_geometry
+from geoweft.functions.geometry import BOXES, LINES, box_geometry, line_geometry
 
 #: SQL text of each layer, the same for Spark and for a check in another engine ({micros}: microseconds of ts since 1970).
 SQL = {
@@ -51,4 +51,4 @@ def roads(spark: SparkSession, sf_dir: str, key: str = "feature_id") -> DataFram
     hubs = layer(spark, sf_dir, "hubs").select("target_id", "lon", "lat")
     following = hubs.select((F.col("target_id") - 1).alias("target_id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     joined = hubs.join(following, "target_id")
-    return joined.select(F.col("target_id").alias(key), line_geometry(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("geom"))
+    return joined.select(F.col("target_id").alias(key), line_geometry(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("geom", metadata=LINES))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoweft.functions.geodesy import metric_xy
-from geoweft.functions.geometry import geometry_of
+from geoweft.functions.geometry import LINES, geometry_of, line_geometry, parse_wkt, relation
 from geoweft.operators import filters, moving, proximity, ranking, topology
 from geoweft.plans.steps import OPERATIONS, SOURCES, Layer, PlanError, catalog_layers, check_plan, load_layer, near_boundary, register_op, register_source, run_plan
 
@@ -347,3 +347,39 @@ def test_published_projections(spark):
     assert abs(pole.y - 0.9996 * 10001965.729) < 0.01
     zones = metric_xy(spark.createDataFrame([(0, 151.2153, -33.8568)], "k long, lon double, lat double")).first()
     assert 334000 < zones.x < 335500 and 6251000 < zones.y < 6253000
+
+
+def test_line_relations_equal_the_kernel(spark):
+    """Random lines of one or several parts on a coarse grid: crossings, touches, overlaps, closed rings and shared ends, by edges and by the kernel."""
+    import random
+
+    r = random.Random(4)
+    grid = lambda: (float(r.randrange(5)), float(r.randrange(5)))
+    bent = lambda: (r.uniform(0, 5), r.uniform(0, 5))
+
+    def line():
+        part = [r.choice([grid, grid, bent])() for _ in range(r.choice([2, 2, 3, 5]))]
+        return part + [part[0]] if r.random() < 0.2 else part
+
+    texts = []
+    for _ in range(60):
+        parts = [line() for _ in range(r.choice([1, 1, 1, 2]))]
+        body = ["(" + ", ".join(f"{x!r} {y!r}" for x, y in p) + ")" for p in parts if len(set(p)) > 1]
+        if body:
+            texts.append(("LINESTRING " + body[0]) if len(body) == 1 else f"MULTILINESTRING ({', '.join(body)})")
+    areas = ["POLYGON ((1 1, 3 1, 3 3, 1.5 3.5, 1 1))", "POLYGON ((0 0, 5 0, 5 5, 0 5, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))", "POINT (2 2)"]
+    rows = [(k, t) for k, t in enumerate([*texts, *areas])]
+    df = spark.createDataFrame(rows, "feature_id long, wkt string").withColumn("geom", geometry_of("wkt"))
+    shapes = {k: parse_wkt(t) for k, t in rows}
+    for predicate in ("crosses", "touches", "contains", "intersects"):
+        want = {(a, b) for a in shapes for b in shapes if relation(shapes[a], shapes[b])[predicate]}
+        for cell in (0.7, 3.0):
+            got = topology.pairs(df, df.withColumnRenamed("feature_id", "target_id"), predicate, cell=cell).collect()
+            assert len(got) == len(want) and {(x.feature_id, x.target_id) for x in got} == want, predicate
+
+
+def test_lines_meet_lines_without_python(spark):
+    ends = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "feature_id long, a double, b double, c double, d double")
+    line = ends.select("feature_id", line_geometry(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geom", metadata=LINES))
+    plan = topology.crosses(line, line.withColumnRenamed("feature_id", "target_id"))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan
