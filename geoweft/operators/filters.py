@@ -111,14 +111,11 @@ def attribute_filter(df: DataFrame, field: str, op: str, value: Any) -> DataFram
 
 
 def _contains(df: DataFrame, text: Column, sought: str) -> DataFrame:
-    """Rows whose normalised text has sought in it. ASCII needs no Python; of other texts only the distinct ones meet it."""
+    """Rows whose normalised text has sought in it. Rows in ASCII need no Python; the others meet it where they are, so nothing is shuffled."""
     if df.isStreaming:
         return df.where(text.isNotNull() & normalize_text(text).contains(sought))
     plain = text.rlike(r"^[\x00-\x7F]*$")
-    values = df.where(~plain).select(text.alias("_value")).distinct()
-    good = values.where(normalize_text("_value").contains(sought))
-    own = F.when(plain, normalize_text(text, ascii_only=True).contains(sought))
-    return df.join(good, ~plain & (text == good["_value"]), "left").where(own | F.col("_value").isNotNull()).drop("_value")
+    return df.where(plain & normalize_text(text, ascii_only=True).contains(sought)).unionByName(df.where(~plain).where(normalize_text(text).contains(sought)))
 
 
 def time_of(col: Column, formats: list[str] | None = None) -> Column:
@@ -150,10 +147,12 @@ def temporal_filter(df: DataFrame, time_col: str | None, from_: str | datetime,
     return df.where(at.between(F.lit(start), F.lit(end)))
 
 
-def look_back(df: DataFrame, time_col: str, now: datetime, lookback: str = "1 hour") -> DataFrame:
-    """The last stretch of a moving layer before now."""
+def look_back(df: DataFrame, time_col: str, now: datetime, lookback: str = "1 hour", formats: list[str] | None = None) -> DataFrame:
+    """The last stretch of a moving layer before now; rows without a readable time drop."""
     end = F.lit(instant(now))
-    return df.where(F.col(time_col).cast("timestamp").between(end - F.expr(f"interval {lookback}"), end))
+    text = df.schema[time_col].dataType.simpleString() == "string"
+    at = time_of(F.col(time_col), formats) if text else F.col(time_col).cast("timestamp")
+    return df.where(at.between(end - F.expr(f"interval {lookback}"), end))
 
 
 Where = tuple[str | None, str | None, Any]

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projection_sql, segment_distance_sql
 from geoweft.functions.geometry import distance, point_geometry, representative_point
+from geoweft.functions.names import free_name
 from geoweft.operators import quadtree
 from geoweft.operators.components import connected_components
 from geoweft.operators.filters import Where, reference_filter
@@ -189,9 +190,13 @@ def near(df: DataFrame, ref: DataFrame, distance_m: float, where: Where | None =
 
 
 def _enriched(df: DataFrame, ref: DataFrame, best: DataFrame, reason: Column) -> DataFrame:
-    features = ref.select(F.col("target_id").alias("_target"), _feature(ref, "nearest_target_feature"))
-    found = df.join(best, "feature_id").join(features, F.col("target_id") == F.col("_target"))
-    return found.select(*[found[c] for c in df.columns], F.col("distance_m").alias("distance_to_target_m"), reason.alias("match_reason"), "nearest_target_feature")
+    """df's rows with what best has for them; columns of the names added here are replaced. reason is over distance_m."""
+    added, match, target = "nearest_target_feature", free_name(df, "_match"), free_name(df, "_target")
+    own = df.drop("distance_to_target_m", "match_reason", added)
+    features = ref.select(F.col("target_id").alias(target), _feature(ref, added))
+    best = best.join(features, best["target_id"] == features[target])
+    best = best.select("feature_id", F.struct(F.col("distance_m").alias("distance_to_target_m"), reason.alias("match_reason"), added).alias(match))
+    return own.join(best, "feature_id").select(*[own[c] for c in own.columns], f"{match}.*")
 
 
 def nearest_n(df: DataFrame, ref: DataFrame, count: int, where: Where | None = None, meridian: float | None = None, radius: float = 500.0) -> DataFrame:
@@ -247,13 +252,17 @@ def near_all(df: DataFrame, targets: list[tuple[DataFrame, Where | None]], dista
         ids = best if ids is None else ids.join(best, "feature_id")
         left = df.join(ids.select("feature_id"), "feature_id", "left_semi")
     n = len(refs)
-    mean = sum((F.col(f"_d{k}") for k in range(1, n)), F.col("_d0")) / n
+    own = df.drop("distance_to_targets_m", "matched_reference_features", "distance_to_target_m", "match_reason")
+    found = free_name(own, "_found")
+    ids = ids.select("feature_id", F.struct(*[c for c in ids.columns if c != "feature_id"]).alias(found))
+    each = lambda c: F.col(f"{found}.{c}")
+    mean = sum((each(f"_d{k}") for k in range(1, n)), each("_d0")) / n
     reason = F.concat(F.lit(f"נמצא בטווח {round(float(distance_m))} מ׳ מכל {n} ישויות הייחוס; מרחק ממוצע "), _rounded(mean), F.lit(" מ׳."))
-    joined = df.join(ids, "feature_id")
+    joined = own.join(ids, "feature_id")
     out = joined.select(
-        *[joined[c] for c in df.columns],
-        F.array(*[F.struct(F.lit(names[k]).alias("layer_id"), F.col(f"_d{k}").alias("distance_m")) for k in range(n)]).alias("distance_to_targets_m"),
-        F.array(*[F.col(f"_f{k}") for k in range(n)]).alias("matched_reference_features"),
+        *[joined[c] for c in own.columns],
+        F.array(*[F.struct(F.lit(names[k]).alias("layer_id"), each(f"_d{k}").alias("distance_m")) for k in range(n)]).alias("distance_to_targets_m"),
+        F.array(*[each(f"_f{k}") for k in range(n)]).alias("matched_reference_features"),
         mean.alias("distance_to_target_m"),
         reason.alias("match_reason"),
     )
@@ -311,7 +320,7 @@ def cluster(df: DataFrame, min_group_size: int, max_distance_m: float, meridian:
         links = shape_pairs_within(shapes, shapes.withColumnRenamed("feature_id", "target_id"), max_distance_m).where("feature_id < target_id")
         named = connected_components(links, "feature_id", "target_id").select(F.col("node").alias("feature_id"), F.col("component").alias("cluster_id"))
         large = named.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_group_size)
-        return df.join(named.join(large, "cluster_id", "left_semi"), "feature_id")
+        return df.drop("cluster_id").join(named.join(large, "cluster_id", "left_semi"), "feature_id")
     points = _placed(df, [], "feature_id", meridian)
     side = max_distance_m / 2**0.5 * (1 - 1e-12)
     cell = [F.floor(F.col(c) / side).alias(f"c{c}") for c in ("x", "y")]
@@ -321,7 +330,7 @@ def cluster(df: DataFrame, min_group_size: int, max_distance_m: float, meridian:
     groups = cells.join(found, F.col("cell") == F.col("node"), "left").select("cx", "cy", "n", "least", F.coalesce("component", "cell").alias("group"))
     large = groups.groupBy("group").agg(F.sum("n").alias("size"), F.min("least").alias("cluster_id")).where(F.col("size") >= min_group_size)
     named = groups.join(large, "group").select("cx", "cy", "cluster_id")
-    return df.join(placed.join(named, ["cx", "cy"]).select("feature_id", "cluster_id"), "feature_id")
+    return df.drop("cluster_id").join(placed.join(named, ["cx", "cy"]).select("feature_id", "cluster_id"), "feature_id")
 
 
 def dense_cells(placed: DataFrame, metres: float) -> tuple[DataFrame, DataFrame]:

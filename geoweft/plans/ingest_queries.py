@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoweft.functions.text import display_name, normalize_text, partial_ratio, plain_text
 from geoweft.operators import filters, moving, profiling, ranking
 from geoweft.plans.queries import DISTANCE, HUBS, PLACES, ROADS, query
-from geoweft.plans.steps import Layer, catalog_layers, register_op, register_source, run_plan
+from geoweft.plans.steps import Layer, catalog_layers, register_op, register_source, run_plan, step_trace
 from geoweft.session import shared_dir
 from geoweft.sources import catalog, features
 from geoweft.sources.layers import layer, layer_sql, roads
@@ -130,6 +130,20 @@ def plan_step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, o.get[f"{k}_rows"]) for k, o in counts.items()], "step string, n long")
 
 
+@query("WITH i AS (SELECT *, o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31 23:59:59' AS there FROM orders), n AS (SELECT count(*) AS a, count(*) FILTER (WHERE there) AS b, count(*) FILTER (WHERE there AND o_orderstatus = 'O') AS c FROM i) SELECT 'a' AS step, 'load' AS op, NULL AS input_rows, a AS output_rows FROM n UNION ALL SELECT 'b', 'temporal_filter', a, b FROM n UNION ALL SELECT 'c', 'attribute_filter', b, c FROM n UNION ALL SELECT 'd', 'count', c, 1 FROM n")
+def plan_step_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of a plan got and gave, counted in the job that ran it."""
+    steps = [
+        {"id": "a", "op": "load", "layer": "incidents"},
+        {"id": "b", "op": "temporal_filter", "input": "a", "from": "1997-01-01T00:00:00Z", "to": "1997-12-31T23:59:59Z"},
+        {"id": "c", "op": "attribute_filter", "input": "b", "field": "o_orderstatus", "operator": "eq", "value": "O"},
+        {"id": "d", "op": "count", "input": "c"},
+    ]
+    plan, counts = {"steps": steps, "output": "d"}, {}
+    run_plan(spark, plan, {"incidents": Layer(layer(spark, sf_dir, "incidents"), "o_orderdate")}, counts=counts).write.format("noop").mode("overwrite").save()
+    return step_trace(spark, plan, counts).select("step", "op", "input_rows", "output_rows")
+
+
 @query("SELECT least(25, count(*)) AS first_rows, least(10, count(*)) AS random_rows, least(10, count(*)) AS distinct_rows, true AS same_seed_same_rows FROM part")
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rows, and random ones that the seed decides."""
@@ -189,6 +203,21 @@ def catalog_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("feature_id", F.round("distance_to_target_m", 3).alias("distance_m"))
 
 
+@query("SELECT event_id AS feature_id FROM events WHERE event_id % 4 <> 0 AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-02 11:00:00' AND TIMESTAMP '2024-01-02 12:00:00'")
+def catalog_plan_day_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moving layer of the catalog whose times are text, day first, some unreadable: its last hour, by the formats and look-back of its source and tags."""
+
+    def moving_source(spark: SparkSession, url: str) -> DataFrame:
+        text = F.when(F.col("feature_id") % 4 == 0, "soon").otherwise(F.date_format("event_time", "dd/MM/yyyy HH:mm:ss"))
+        return layer(spark, sf_dir, "tracks").select("feature_id", F.col("net_id").alias("netId"), text.alias("eventTime"), "lon", "lat")
+
+    register_source("day-first", moving_source, lookback="1 hour")
+    rows = [("T", "tracks", "", ["temporal_field:eventTime", "time_format:dd/MM/yyyy HH:mm:ss"], "day-first", "x://host/layers/tracks")]
+    layers = spark.createDataFrame(rows, catalog.CATALOG)
+    plan = {"steps": [{"id": "a", "op": "load", "layer": "T"}], "output": "a"}
+    return run_plan(spark, plan, catalog_layers(spark, layers, plan), now=filters.instant("2024-01-02T12:00:00Z")).select("feature_id")
+
+
 @query("SELECT (SELECT count(*) = 0 FROM orders WHERE o_orderstatus = 'P') AS partly_empty, (SELECT count(*) = 0 FROM orders WHERE o_orderstatus = '?') AS unknown_empty")
 def empty_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [filters.is_empty(filters.attribute_filter(layer(spark, sf_dir, "incidents"), "o_orderstatus", "eq", x)) for x in ("P", "?")]

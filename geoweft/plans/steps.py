@@ -51,7 +51,7 @@ class Context:
         layer = self.layers[name]
         df = layer.features
         if layer.lookback and self.now and layer.temporal_field:
-            df = filters.look_back(df, layer.temporal_field, self.now, layer.lookback)
+            df = filters.look_back(df, layer.temporal_field, self.now, layer.lookback, layer.time_formats)
         if self.boundary is None or not narrow:
             return df
         return filters.within_geometry(df, self.boundary) if not buffer_m else near_boundary(df, self.boundary, buffer_m)
@@ -73,9 +73,18 @@ def register_op(name: str, run: Operation | None = None):
     return None
 
 
-def register_source(name: str, load: Callable[..., DataFrame]) -> None:
-    """Adds a layer source for a provider: a function of (spark, source_url, **parameters) that returns features."""
+#: For each source, the formats of its times where these aren't ISO, and how far back its layers are read by default.
+SOURCE_TIMES: dict[str, tuple[list[str] | None, str | None]] = {}
+
+
+def register_source(name: str, load: Callable[..., DataFrame], time_formats: list[str] | None = None, lookback: str | None = None) -> None:
+    """Adds a layer source for a provider: a function of (spark, source_url, **parameters) that returns features.
+
+    A layer's own tags, time_format:... (as often as there are formats) and
+    lookback:..., go before the source's time_formats and lookback.
+    """
     SOURCES[name] = load
+    SOURCE_TIMES[name] = time_formats, lookback
 
 
 def near_boundary(df: DataFrame, boundary: dict[str, Any], metres: float) -> DataFrame:
@@ -270,6 +279,13 @@ def run_plan(spark: SparkSession, plan: dict[str, Any], layers: dict[str, Layer]
     return results[plan["output"]]
 
 
+def step_trace(spark: SparkSession, plan: dict[str, Any], counts: dict[str, Observation]) -> DataFrame:
+    """(step, op, input, input_rows, output_rows) of a plan whose output has been computed with counts; a load has no input."""
+    rows = {name: int(x.get[f"{name}_rows"]) for name, x in counts.items()}
+    found = [(s["id"], s["op"], s.get("input"), rows.get(s.get("input")), rows[s["id"]]) for s in plan["steps"]]
+    return spark.createDataFrame(found, "step string, op string, input string, input_rows long, output_rows long")
+
+
 def load_layer(spark: SparkSession, catalog: DataFrame, layer_id: str, boundary: dict[str, Any] | None = None, equals: list[tuple[str, Any]] | None = None, between: tuple[Any, Any] | None = None, limit: int | None = None) -> Layer:
     """A layer of the catalog, by its id, through the source registered for its provider.
 
@@ -285,13 +301,17 @@ def load_layer(spark: SparkSession, catalog: DataFrame, layer_id: str, boundary:
         raise PlanError(f"layer {layer_id!r}: no source for provider {found.provider!r}")
     rows = SOURCES[found.provider](spark, found.source_url, **(found.parameters or {}))
     time = found.temporal_field if found.temporal_field in rows.columns else None
+    tags = [x.partition(":") for x in found.tags or [] if x]
+    formats, lookback = SOURCE_TIMES.get(found.provider, (None, None))
+    formats = [v for k, _, v in tags if k == "time_format" and v] or formats
+    lookback = next((v for k, _, v in tags if k == "lookback" and v), lookback)
     for name, value in equals or []:
         rows = filters.attribute_filter(rows, name, "eq", value)
     if between is not None:
-        rows = filters.temporal_filter(rows, time, *between)
+        rows = filters.temporal_filter(rows, time, *between, formats)
     if boundary is not None:
         rows = filters.within_geometry(rows, boundary)
-    return Layer(rows if limit is None else rows.limit(limit), time)
+    return Layer(rows if limit is None else rows.limit(limit), time, lookback if time else None, formats)
 
 
 def catalog_layers(spark: SparkSession, catalog: DataFrame, plan: dict[str, Any]) -> dict[str, Layer]:

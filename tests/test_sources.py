@@ -6,7 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from geoweft.functions.text import clean_tags, display_name, ratio_of
-from geoweft.operators import filters, profiling
+from geoweft.operators import filters, profiling, proximity
 from geoweft.operators.components import connected_components
 from geoweft.sources import catalog, features
 from geoweft.streaming.filters import latest_fix
@@ -154,3 +154,31 @@ def test_temporary_tables_are_those_of_their_own_thread(spark):
     for gone in (own, inner):
         path = spark._jvm.org.apache.hadoop.fs.Path(gone.inputFiles()[0])
         assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_operators_with_clashing_columns(spark):
+    """Columns under every name that the operators use or add: those that are added are replaced, all others stay."""
+    names = "_value _target _match _found target_id distance_m distance_to_target_m match_reason nearest_target_feature cluster_id distance_to_targets_m matched_reference_features x y cx cy dx dy side level n node component a b _d0 _f0 _t0 n2 least cell".split()
+    rows = [(k, 34.70 + k % 7 / 1000, 32.05 + k % 5 / 1000, "Plain text" if k % 2 else "טקסט־רגיל", *["own"] * len(names)) for k in range(40)]
+    df = spark.createDataFrame(rows, "feature_id long, lon double, lat double, name string, " + ", ".join(f"`{x}` string" for x in names))
+    bare = df.select("feature_id", "lon", "lat", "name")
+    ref = spark.createDataFrame([(k, 34.70 + k / 500, 32.05 + k / 700, "r") for k in range(4)], "target_id long, lon double, lat double, distance_m string")
+    runs = {
+        "near": lambda d: proximity.near(d, ref, 200),
+        "nearest_n": lambda d: proximity.nearest_n(d, ref, 5),
+        "near_all": lambda d: proximity.near_all(d, [(ref, None), (ref.where("target_id > 0"), None)], 300),
+        "between": lambda d: proximity.between(d, ref.where("target_id = 0"), ref.where("target_id = 3"), 100),
+        "cluster": lambda d: proximity.cluster(d, 2, 120),
+        "contains": lambda d: filters.attribute_filter(d, "name", "contains", "רגיל"),
+        "contains_ascii": lambda d: filters.attribute_filter(d, "name", "contains", "plain"),
+        "fuzzy": lambda d: filters.attribute_filter(d, "name", "fuzzy_contains", "plain textt"),
+    }
+    for name, run in runs.items():
+        got, plain = run(df), run(bare)
+        assert len({c.lower() for c in got.columns}) == len(got.columns), name
+        added = [c for c in plain.columns if c not in bare.columns]
+        kept = [c for c in names if c not in added]
+        assert got.count() == plain.count() > 0 and got.where(" or ".join(f"`{c}` <> 'own'" for c in kept)).isEmpty(), name
+        assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect())), name
+    plan = runs["contains_ascii"](df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
