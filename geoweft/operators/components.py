@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoweft.session import checkpointed
+from geoweft.session import checkpointed, counted, gathered
+
+#: Rows of a partition, where a table is small.
+EACH = 50_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,22 +24,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges are left.
     """
     current = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    current = checkpointed(current)
+    current, left_over = counted(current, "edges")
     rounds: list[DataFrame] = []
-    while not current.isEmpty():
+    while left_over:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min_by("b", F.struct(F.xxhash64("b"), "b")).alias("m"))
         ahead = F.struct(F.xxhash64("m"), "m") < F.struct(F.xxhash64("a"), "a")
-        points = checkpointed(first.select(F.col("a").alias("node"), F.when(ahead, F.col("m")).otherwise(F.col("a")).alias("parent")))
+        # Edges have at most two nodes each.
+        stored = lambda df, edges=left_over: checkpointed(gathered(df, 2 * edges, EACH))
+        points = stored(first.select(F.col("a").alias("node"), F.when(ahead, F.col("m")).otherwise(F.col("a")).alias("parent")))
         for _ in range(2):
             next_ = points.select(F.col("node").alias("parent"), F.col("parent").alias("farther"))
             points = points.join(next_, "parent").select("node", F.col("farther").alias("parent"))
-        points = checkpointed(points)
+        points = stored(points)
         rounds.append(points)
         left = points.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         right = points.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
         moved = current.join(left, "a").join(right, "b").where("pa <> pb")
-        current = checkpointed(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        moved = moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        current, left_over = counted(gathered(moved, left_over, EACH), "edges")
     if not rounds:
         kind = edges.schema[a].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")

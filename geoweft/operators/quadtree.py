@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.geodesy import planar_distance
@@ -96,10 +96,9 @@ def leaf_pairs(cells: DataFrame, metres: float) -> DataFrame:
     keys = [f"{s}_{c}" for s in "ab" for c in NODE]
     done = []
     while True:
-        open_ = Observation()
-        pairs = staged(_bounded(pairs, metres).observe(open_, F.count_if(~settled).alias("n")), "tree-pairs")
+        pairs = staged(_bounded(pairs, metres), "tree-pairs")
         done.append(pairs.where(settled).select(*keys))
-        if not open_.get.get("n"):
+        if pairs.where(~settled).isEmpty():
             return reduce(DataFrame.unionByName, done)
         pairs = pairs.where(~settled).select(*keys, "bound")
         for side, step in zip("ab", steps, strict=True):

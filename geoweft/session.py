@@ -86,6 +86,23 @@ def staged(df: DataFrame, name: str, keep: bool = False, **options: object) -> D
     return spark.read.parquet(path)
 
 
+def counted(df: DataFrame, name: str, **options: object) -> tuple[DataFrame, int]:
+    """staged(), and the number of rows, which the files' footers tell."""
+    done = staged(df, name, **options)
+    return done, done.count()
+
+
+def gathered(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df, of at most so many rows, in partitions of about ``each`` where these are fewer than a shuffle makes.
+
+    A small table is written by few tasks into few files, however many
+    partitions the session's shuffles have.
+    """
+    parts = -(-rows // each)
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(1, parts)) if parts < most else df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)
