@@ -1,17 +1,19 @@
 """Operator 8: removal of repeated runs of lines, with DataFrame functions only.
 
 Documents are sequences of line ids; blank lines don't count. All lines have
-one position in the corpus, with a gap between documents. Blocks of 2^l lines
-get names by distributed prefix doubling: the name of a block is the first
-position in the corpus that has the same 2^l lines, found by grouping the pair
-of names of its halves. Blocks that occur once drop out. Of the suffix array
-over the lines, this keeps what decides: which suffixes stand together.
+one position in the corpus, with a gap between documents. The suffixes from each
+line on are ranked by distributed prefix doubling: pairs of the ranks by the
+first 2^l lines and by the 2^l after them are put in order, which ranks them by
+2^(l+1) lines. A suffix whose first lines occur once has found its place and
+drops out. So the ranks are the suffix array of all suffixes that share their
+first lines with others, as far as MIN_CHARS characters go.
 
 Suffixes that share their first lines, MIN_CHARS characters of them or more,
-are an interval of the array whose common prefixes are that long. Its lines
-are named by two overlapping blocks of the largest power of two that fits. The
-first suffix of an interval is the copy that stays; each other one is a later
-copy of these lines. Intervals are taken at the shortest prefixes of MIN_CHARS
+are an interval of the array whose common prefixes are that long. Whether two
+have so many first lines in common is told by two ranks each, of the first and
+of the last 2^l lines among them, l as large as fits. The first suffix of an
+interval in the corpus is the copy that stays; each other one is a later copy of
+these lines. Intervals are taken at the shortest prefixes of MIN_CHARS
 characters from each line on, and back from each line; these cover every run
 of lines that also occurs earlier, and their union is the maximal repeated
 runs. So runs of any length are found while no block has more than MIN_CHARS
@@ -73,14 +75,22 @@ def line_table(texts: DataFrame) -> DataFrame:
     return texts.select("doc", F.posexplode("lines").alias("k", "x")).select("doc", (F.col("doc") + F.col("k")).alias("pos"), "x.line", "x.n", "x.l1", "x.l2")
 
 
-def named(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """The rows whose keys occur twice or more; out is the first pos that has them. rows are stored."""
-    classes = staged(rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("pos").alias(out)).where("_c > 1"), "line-names")
-    return looked_up(rows, classes, keys, "_c", rows.count())
+def ranked(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The rows whose keys occur twice or more, with their rank: how many of these rows have smaller keys; and first, the first pos that has the keys. rows are stored."""
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("pos").alias("first")).where("_c > 1")
+    classes = range_numbered(classes, keys, shuffle_partitions(rows.sparkSession), "bucket", "line-classes")
+    ranks = staged(running_total(classes, "_c", keys, "bucket", out).select(*keys, "_c", "first", out), "line-ranks")
+    return looked_up(rows, ranks, keys, "_c", rows.count())
+
+
+def intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that share a prefix, told by the ranks of its parts, with leader, the first pos that has it. rows are stored."""
+    shared = staged(rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.min("pos").alias("leader")).where("_c > 1"), "line-intervals")
+    return looked_up(rows, shared, keys, "_c", rows.count())
 
 
 def windows(lines: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, pos, line, name, ahead, back, most): ahead and back are the lines of the shortest stretches of min_chars
+    """(doc, pos, line, rank, first, ahead, back, most): ahead and back are the lines of the shortest stretches of min_chars
     from here on, and to here, null where the run of adjoining lines has none; most is the largest of the run."""
     run = Window.partitionBy("doc", "run")
     lines = lines.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc").orderBy("pos")))
@@ -90,36 +100,36 @@ def windows(lines: DataFrame, min_chars: int) -> DataFrame:
     ahead = F.when(F.max("t").over(on) - F.col("s") >= min_chars, F.max("pos").over(on) - F.col("pos") + 1)
     back = F.when(F.col("t") - F.min("s").over(to) >= min_chars, F.col("pos") - F.min("pos").over(to) + 1)
     sized = lines.withColumn("ahead", ahead).withColumn("back", back)
-    return sized.withColumn("most", F.max(F.greatest("ahead", "back")).over(run)).select("doc", "pos", "line", "name", "ahead", "back", "most")
+    return sized.withColumn("most", F.max(F.greatest("ahead", "back")).over(run)).select("doc", "pos", "line", "rank", "first", "ahead", "back", "most")
 
 
 def later_copies(found: DataFrame) -> DataFrame:
     """(doc, pos, end): stretches of lines that occur earlier too, by the intervals of their common prefixes."""
     starts = found.where("ahead is not null").select("doc", "pos", F.col("ahead").alias("size"))
     ends = found.where("back is not null").select("doc", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("size"))
-    later = [found.where("(ahead = 1 or back = 1) and name < pos").select("doc", "pos", (F.col("pos") + 1).alias("end"))]
+    later = [found.where("(ahead = 1 or back = 1) and first < pos").select("doc", "pos", (F.col("pos") + 1).alias("end"))]
     prefixes = checkpointed(starts.unionByName(ends).where("size > 1").distinct().withColumn("level", F.floor(F.log2("size")).cast("int")))
     deepest = prefixes.agg(F.max("level")).first()[0] or 0
-    names = found.select("doc", "pos", "name", "most")
+    ranks = found.select("doc", "pos", "rank", "most")
     for level in range(1, deepest + 1):
         half = 1 << (level - 1)
         behind = Window.partitionBy("doc").orderBy("pos").rangeBetween(half, half)
-        pairs = names.where(F.col("most") >= 2 * half).withColumn("other", F.max("name").over(behind)).where("other is not null")
-        names = named(staged(pairs, "line-pairs"), ["name", "other"], "leader").select("doc", "pos", F.col("leader").alias("name"), "most")
-        names = checkpointed(names)
-        # A prefix is named by its first and its last 2^level lines; these are one for prefixes of just as many.
-        ahead = prefixes.where(F.col("level") == level).join(names.select("pos", "name"), "pos")
-        last = names.select(F.col("pos").alias("pos2"), F.col("name").alias("name2"))
+        pairs = ranks.where(F.col("most") >= 2 * half).withColumn("other", F.max("rank").over(behind)).where("other is not null")
+        ranks = ranked(staged(pairs, "line-pairs"), ["rank", "other"], "next").select("doc", "pos", F.col("next").alias("rank"), "most")
+        ranks = checkpointed(ranks)
+        # Suffixes have a prefix in common if the ranks of its first and of its last 2^level lines agree; these are one for as many lines.
+        ahead = prefixes.where(F.col("level") == level).join(ranks.select("pos", "rank"), "pos")
+        last = ranks.select(F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         ahead = ahead.withColumn("pos2", F.col("pos") + F.col("size") - 2 * half).join(last, "pos2")
-        intervals = named(staged(ahead.select("doc", "pos", "size", "name", "name2"), "line-prefixes"), ["size", "name", "name2"], "leader")
-        later.append(staged(intervals.where("leader < pos").select("doc", "pos", (F.col("pos") + F.col("size")).alias("end")), "line-later"))
+        common = intervals(staged(ahead.select("doc", "pos", "size", "rank", "rank2"), "line-prefixes"), ["size", "rank", "rank2"])
+        later.append(staged(common.where("leader < pos").select("doc", "pos", (F.col("pos") + F.col("size")).alias("end")), "line-later"))
     return reduce(DataFrame.unionByName, later)
 
 
 def repeated_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, lines): for each text in the array that loses any, the numbers of its lines in runs that occur earlier."""
-    lines = named(staged(line_table(texts), "lines"), ["l1", "l2"], "name")
-    found = staged(windows(lines.select("doc", "pos", "line", "n", "name"), min_chars), "line-windows")
+    lines = ranked(staged(line_table(texts), "lines"), ["l1", "l2"], "rank")
+    found = staged(windows(lines.select("doc", "pos", "line", "n", "rank", "first"), min_chars), "line-windows")
     both = found.select("doc", "pos", "line", F.lit(None).cast("long").alias("end")).unionByName(later_copies(found).select("doc", "pos", F.lit(None).cast("int").alias("line"), "end"))
     reach = F.max("end").over(Window.partitionBy("doc").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
     return both.withColumn("end", reach).where("line is not null and end > pos").groupBy("doc").agg(F.collect_list("line").alias("lines"))
