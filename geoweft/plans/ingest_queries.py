@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from geoweft.functions.text import display_name, normalize_text, partial_ratio, plain_text
 from geoweft.operators import filters, moving, profiling, ranking
-from geoweft.plans.queries import DISTANCE, HUBS, PLACES, ROADS, query
+from geoweft.plans.queries import BOX, DISTANCE, HUBS, PLACES, ROADS, query
 from geoweft.plans.steps import Layer, catalog_layers, register_op, register_source, run_plan, step_trace
 from geoweft.session import shared_dir
-from geoweft.sources import catalog, features
+from geoweft.sources import catalog, features, layout
 from geoweft.sources.layers import layer, layer_sql, roads
 
 PAGE = 2000
@@ -218,6 +218,15 @@ def catalog_plan_day_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_plan(spark, plan, catalog_layers(spark, layers, plan), now=filters.instant("2024-01-02T12:00:00Z")).select("feature_id")
 
 
+@query(f"SELECT feature_id, lon, lat FROM ({layer_sql('incidents')}) WHERE lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]} AND o_orderdate BETWEEN TIMESTAMP '1996-02-01 00:00:00' AND TIMESTAMP '1996-04-30 00:00:00'")
+def laid_out_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All incidents stored by month and place, then a box and three months read back from the files that can hold them."""
+    path = f"{shared_dir(spark)}/layout-{uuid.uuid4().hex}"
+    incidents = layer(spark, sf_dir, "incidents").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    layout.write_layer(incidents, path, int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderdate", "month")
+    return layout.read_layer(spark, path, filters.boundary_from_bbox(*BOX), "o_orderdate", ("1996-02-01T00:00:00Z", "1996-04-30T00:00:00Z")).select("feature_id", "lon", "lat")
+
+
 @query("SELECT (SELECT count(*) = 0 FROM orders WHERE o_orderstatus = 'P') AS partly_empty, (SELECT count(*) = 0 FROM orders WHERE o_orderstatus = '?') AS unknown_empty")
 def empty_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = [filters.is_empty(filters.attribute_filter(layer(spark, sf_dir, "incidents"), "o_orderstatus", "eq", x)) for x in ("P", "?")]

@@ -1,12 +1,13 @@
 """Landed JSON in its many shapes, GeoJSON in and out, catalog, profiles, streams."""
 
 import json
+import uuid
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from geoweft.functions.text import clean_tags, display_name, ratio_of
-from geoweft.operators import filters, profiling, proximity
+from geoweft.operators import filters, profiling, proximity, quadtree
 from geoweft.operators.components import connected_components
 from geoweft.sources import catalog, features
 from geoweft.streaming.filters import latest_fix
@@ -182,3 +183,49 @@ def test_operators_with_clashing_columns(spark):
         assert sorted(map(str, got.select(plain.columns).collect())) == sorted(map(str, plain.collect())), name
     plan = runs["contains_ascii"](df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_laid_out_layers_open_few_files(spark):
+    """A box and two days are in few files of a stored layer, and nothing is lost: null places and times are kept too."""
+    from geoweft.session import shared_dir
+    from geoweft.sources import layout
+
+    rows = spark.range(6000).select(F.col("id").alias("feature_id"), (34 + (F.col("id") * 7919 % 1000) / 500).alias("lon"), (31 + (F.col("id") * 104729 % 1000) / 500).alias("lat"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, id % 240)").alias("at"), F.lit("x").alias("place"))
+    rows = rows.unionByName(spark.createDataFrame([(9001, None, None, None, "y"), (9002, 34.5, 31.5, None, "y")], rows.schema))
+    flat, path = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("flat", "layout"))
+    rows.repartition(40).write.parquet(flat)
+    layout.write_layer(rows, path, 40, "at")
+    box = filters.boundary_from_bbox(34.2, 31.2, 34.6, 31.6)
+    between = ("2024-01-03T00:00:00Z", "2024-01-04T23:59:59Z")
+    want = filters.temporal_filter(filters.within_geometry(spark.read.parquet(flat), box), "at", *between)
+    got = layout.read_layer(spark, path, box, "at", between)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 20
+    assert layout.read_layer(spark, path).count() == rows.count()
+    in_files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert in_files(got) * 3 < in_files(want)
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(layer_day" in plan and "GreaterThanOrEqual(lon" in plan
+
+
+def test_near_in_dense_places(spark):
+    """A hot cell, a far hot spot beside scattered points, many points at one place, and ties: as comparing all pairs does."""
+    import random
+
+    r = random.Random(5)
+    spot = lambda n, x, y, size: [(x + r.uniform(0, size), y + r.uniform(0, size)) for _ in range(n)]
+    features = [*spot(500, 0, 0, 700), *spot(30, -3000, 0, 4000), *[(10.0, 10.0)] * 50]
+    targets = [*spot(500, 0, 0, 700), *spot(400, 900, 900, 5), *[(12.0, 10.0)] * 60, *[(8.0, 10.0)] * 60]
+    left = spark.createDataFrame([(k, *p) for k, p in enumerate(features)], "feature_id long, x double, y double")
+    right = spark.createDataFrame([(k, *p) for k, p in enumerate(targets)], "target_id long, x double, y double")
+    want = {}
+    for k, (x, y) in enumerate(features):
+        d, t = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, n) for n, (a, b) in enumerate(targets))
+        if d <= 800:
+            want[k] = (t, d)
+    got = {x.feature_id: (x.target_id, x.distance_m) for x in proximity.nearest_points(left, right, 800).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    side = lambda df, s: df.select("x", "y").distinct().withColumn("side", F.lit(s))
+    cells, points = quadtree.tree(side(left, "a").unionByName(side(right, "b")), 800)
+    held = lambda s: points.where(F.col("side") == s).groupBy(*[F.col(c).alias(f"{s}_{c}") for c in quadtree.NODE]).agg(F.count("*").alias(f"n_{s}"))
+    pairs = quadtree.leaf_pairs(cells, 800).join(held("a"), [f"a_{c}" for c in quadtree.NODE]).join(held("b"), [f"b_{c}" for c in quadtree.NODE])
+    assert pairs.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] < 50 * len(features)
