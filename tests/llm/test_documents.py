@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from geoweft.llm import fingerprints, linededup, neardup, pii, quality, secrets, simhash, warc
 from geoweft.llm.spans import digest
 from geoweft.session import shared_dir
+from tests.llm import slow_secrets
 
 
 def test_spans_of_prefix_hashes():
@@ -571,3 +572,23 @@ def test_pipeline_stages(spark, tmp_path, odd_docs):
     empty = odd_docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_secrets_equal_their_description(spark):
+    """Parts, links, the choice among overlapping parts and the replaced text, over texts of keys, endpoints and fillers at all distances."""
+    r = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    pieces = [
+        lambda: f"user: {word(6)}", lambda: f"client_id={word(9)}", lambda: f"aws_access_key_id = AKIA{word(16).upper()}", lambda: f"aws_secret_access_key = {word(40)}",
+        lambda: f"pwd = {word(8)}", lambda: f"key: {word(r.choice([5, 6, 30]))}", lambda: f"token = '{word(12)}'", lambda: word(24), lambda: "".join(r.choice("0123456789abcdef") for _ in range(33)),
+        lambda: f"https://{word(4)}.org/{word(5)}?user={word(5)}", lambda: f"db.{word(4)}.net:5432", lambda: f"{word(5)} ü 🙂 plain words ", lambda: "x " * r.choice([3, 40, 95, 99, 100, 101, 130]),
+    ]
+    texts = ["".join(r.choice(pieces)() + r.choice([" ", "\n", ", "]) for _ in range(r.choice([1, 2, 3, 6, 12]))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+    clean = {x.doc_id: x.text for x in secrets.redacted(docs).collect()}
+    base = [first_kinds(x, SECRETS) for x in texts]
+    assert got == {k: slow_secrets.spans(x, base[k]) for k, x in enumerate(texts)}
+    assert clean == {k: slow_secrets.redacted(x, base[k]) for k, x in enumerate(texts)}
+    assert sum(len(slow_secrets.linked(x, base[k])) for k, x in enumerate(texts)) > 300
