@@ -1,8 +1,10 @@
 """Operators 1, 4 and 5 against the tokenizers library and exact round trips."""
 
 import hashlib
+import random
 import uuid
 import zlib
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -151,3 +153,32 @@ def test_windows_hold_the_mixture():
     assert all(t.sum() == 1000 for t in takes[:-1])
     target = np.cumsum([sizes / sizes.sum() * 1000] * (len(takes) - 1), axis=0)
     assert np.abs(np.cumsum(takes[:-1], axis=0) - target).max() < 2
+
+
+def test_packed_windows_hold_their_weights(spark):
+    """Through pack itself: while the sources last, each window has its weighted share of every one, and no token is lost afterwards."""
+    r = random.Random(6)
+    rows = [(k, "abcd"[k % 4], " ".join(f"w{r.randrange(99)}" for _ in range(r.choice([5, 200, 900])))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    weights = {"a": 3.0, "b": 2.0, "c": 1.0}
+    pieces = packing.pack(docs, BYTE, weights=weights).join(docs.select("doc_id", "source"), "doc_id").collect()
+    window = packing.SEQUENCE * packing.WINDOW_SEQUENCES
+    total = Counter()
+    taken = defaultdict(Counter)
+    for p in pieces:
+        total[p.source] += p.length
+        at, left = p.sequence_id * packing.SEQUENCE + p.offset, p.length
+        while left:
+            part = min(left, window - at % window)
+            taken[at // window][p.source] += part
+            at, left = at + part, left - part
+    want = Counter()
+    for p in {(p.doc_id, p.source, p.doc_tokens) for p in pieces}:
+        want[p[1]] += p[2]
+    assert total == want and set(total) == set("abcd")
+    lasting = int(min(total[x] / (weights[x] / 6 * window) for x in weights)) - 1
+    assert lasting >= 2
+    sums = Counter()
+    for k in range(lasting):
+        sums.update(taken[k])
+        assert sums["d"] == 0 and all(abs(sums[x] - weights[x] / 6 * window * (k + 1)) < 3 for x in weights), (k, sums)
