@@ -25,6 +25,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -121,38 +122,40 @@ def above(tri: tuple[np.ndarray, np.ndarray], shift: float) -> int:
 
 
 def intervals(v: np.ndarray, components: int) -> list[tuple[float, float, int]]:
-    """(low, high, eigenvalues between) from the top down, at most GROUP each but for eigenvalues that can't be told apart, of the components and maybe some more."""
+    """(low, high, eigenvalues between) from the top down, GROUP each at most but for those that can't be told apart, of the components and maybe some more.
+
+    An interval ends where the gap behind it is wide beside itself, and reaches
+    little farther than its eigenvalues; in what lies between intervals is none.
+    """
     tri = tridiagonal(v)
     bound = float(np.abs(v).sum(axis=1).max())
     size, top = len(v), bound * 1.01 + np.finfo(float).tiny
 
+    @cache
     def cut(k: int) -> tuple[float, float]:
         """Bounds of the k-th largest eigenvalue, close together."""
         low, high = -top, top
-        while high - low > 1e-9 * bound and low < (middle := (low + high) / 2) < high:
+        while high - low > 1e-12 * bound and low < (middle := (low + high) / 2) < high:
             low, high = (middle, high) if above(tri, middle) >= k else (low, middle)
         return low, high
 
-    found, high, before = [], top, 0
+    found, before, behind = [], 0, np.inf
     while before < min(components, size):
-        last = min(before + GROUP, size)
-        if last == size:
-            low = -top
-        else:
-            # The widest of the gaps after half a group and more, so that intervals lie well apart.
-            known = [cut(k) for k in range(before + GROUP // 2, last + 2)]
-            gaps = [a[0] - b[1] for a, b in zip(known, known[1:], strict=False)]
-            while max(gaps) <= 0 and before + GROUP // 2 + len(known) <= size:  # a cluster: go on to its end
-                known.append(cut(before + GROUP // 2 + len(known)))
-                gaps.append(known[-2][0] - known[-1][1])
-            if max(gaps) > 0:
-                at = int(np.argmax(gaps))
-                low = (known[at][0] + known[at + 1][1]) / 2
-            else:
-                low = -top
-        count = above(tri, low)
-        found.append((low, high, count - before))
-        high, before = low, count
+        best, k = None, before + 1
+        while k <= size and (k <= before + GROUP or best is None):
+            gap = cut(k)[0] - cut(k + 1)[1] if k < size else np.inf
+            if gap > 0:
+                score = (k - before) * (1.0 if gap == np.inf else gap / (cut(before + 1)[1] - cut(k)[0] + gap))
+                best = (score, k, gap) if best is None or score >= best[0] else best
+            k += 1
+        _, last, gap = best
+        high, low = cut(before + 1)[1], cut(last)[0]
+        room = max((high - low) / 2, 1e-6 * bound)
+        low, high = low - min(gap / 2, room), high + min(behind / 2, room)
+        found.append((low, high, above(tri, low) - above(tri, high)))
+        before, behind = last, gap
+    if sum(n for _, _, n in found) != before:
+        raise ArithmeticError("the intervals don't hold all eigenvalues")
     return found
 
 
@@ -161,15 +164,12 @@ def contour(v: np.ndarray, low: float, high: float, count: int) -> tuple[np.ndar
     size, scale = len(v), max(np.abs(v).max(), np.finfo(float).tiny)
     angles, weights = np.polynomial.legendre.leggauss(POINTS)
     turns = np.exp(1j * np.pi / 2 * (angles + 1))  # the upper half circle; the lower one gives the conjugates
-    # A circle around values far below or above the spectrum wastes its points: the Gershgorin bounds are enough.
-    radius_of = (np.abs(v).sum(axis=1) - np.abs(np.diag(v)), np.diag(v))
-    low, high = max(low, float((radius_of[1] - radius_of[0]).min()) - 1e-3 * scale), min(high, float((radius_of[1] + radius_of[0]).max()) + 1e-3 * scale)
     middle, radius = (low + high) / 2, (high - low) / 2
     for block in (min(size, count + count // 2 + 4), min(size, 2 * count + 16), size):
         q = np.linalg.qr(np.random.default_rng(13).standard_normal((size, block)))[0]
         small = False
         for _ in range(40):
-            y = np.zeros((size, block))
+            y = np.zeros(q.shape)
             for turn, weight in zip(turns, weights, strict=True):
                 solved = np.linalg.solve((middle + radius * turn) * np.eye(size) - v, q)
                 y += weight / 2 * (radius * turn * solved).real
@@ -201,8 +201,11 @@ def components_of(rows: DataFrame, v: np.ndarray, components: int = COMPONENTS)
                 yield pd.DataFrame({"e": e, "u": list(u.T)})
 
     found = sorted(ranges.mapInPandas(run, "e double, u array<double>").collect(), key=lambda x: -x.e)
-    found = [x for x in found[:components] if x.e > LEAST * found[0].e]
-    return np.array([x.e for x in found]), np.array([x.u for x in found]).reshape(len(found), len(v)).T
+    # Vectors of neighbouring intervals are at right angles as far as their gap is wide; one more Ritz step over all of them makes it exact.
+    basis = np.linalg.qr(np.array([x.u for x in found]).T)[0]
+    e, turn = np.linalg.eigh(basis.T @ v @ basis)
+    e, u = e[::-1][:components], (basis @ turn)[:, ::-1][:, :components]
+    return e[e > LEAST * e[0]], u[:, e > LEAST * e[0]]
 
 
 def whitened(vectors: DataFrame, column: str = "embedding", components: int = COMPONENTS) -> DataFrame:

@@ -194,3 +194,16 @@ def test_intervals_hold_as_many_as_their_inertia_says():
         parts = whitening.intervals(v, 32)
         values = np.concatenate([whitening.contour(v, *p)[0] for p in parts])
         assert len(values) >= min(32, size) and np.allclose(values, e[::-1][: len(values)], atol=1e-9 * max(1, e[-1]))
+
+
+@pytest.mark.parametrize("values", [np.logspace(6, -6, 48), np.r_[1e8, 1 + np.linspace(0, 0.5, 47)], np.repeat(np.arange(24) + 1.0, 2), 1e3 * 0.5 ** np.arange(48), 1 + 1e-7 * np.arange(48), np.r_[100 + 1e-9 * np.arange(20), 1 + 1e-3 * np.arange(28)]], ids=["wide", "one large", "pairs", "falling", "tight", "clusters"])
+def test_hard_spectra(values):
+    r = np.random.default_rng(3)
+    q = np.linalg.qr(r.standard_normal((48, 48)))[0]
+    v = (q * values) @ q.T
+    v = (v + v.T) / 2
+    parts = whitening.intervals(v, 32)
+    found = [whitening.contour(v, *p) for p in parts]
+    e, u = np.concatenate([x for x, _ in found]), np.hstack([x for _, x in found])
+    assert len(e) >= 32 and np.abs(e - np.sort(values)[::-1][: len(e)]).max() < 1e-12 * values.max()
+    assert np.abs(v @ u - u * e).max() < 1e-11 * values.max() and np.abs(u.T @ u - np.eye(len(e))).max() < 1e-4  # before the last Ritz step
