@@ -241,10 +241,10 @@ def dealt(docs: DataFrame, by: Layout) -> DataFrame:
                 small = (np.cumsum(used) - 1).astype(np.uint16 if used.sum() <= 1 << 16 else np.uint32)
                 own = words.take(pa.array(np.flatnonzero(used)[1:] - 1))
                 blob = _packed(small[rows[start:end].T])
-                arrays = [pa.array([int(group[start])], pa.int64()), pa.array([lang]), pa.array([own.to_pylist()], pa.list_(pa.binary())), pa.array([blob]), pa.array([_packed(n[start:end].astype(np.uint32))])]
+                arrays = [pa.array([int(group[start])], pa.int64()), pa.array([lang]), pa.array([zstandard.compress(b" ".join(own.to_pylist()), 3)]), pa.array([blob]), pa.array([_packed(n[start:end].astype(np.uint32))])]
                 yield pa.RecordBatch.from_arrays(arrays, names=["group", "lang", "words", "codes", "n"])
 
-    return _texts(docs).mapInArrow(run, "group long, lang string, words array<binary>, codes binary, n binary")
+    return _texts(docs).mapInArrow(run, "group long, lang string, words binary, codes binary, n binary")
 
 
 def subtrees(parts: DataFrame, by: Layout, least: int = LEAST) -> DataFrame:
@@ -253,11 +253,11 @@ def subtrees(parts: DataFrame, by: Layout, least: int = LEAST) -> DataFrame:
 
     def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         langs = part.column("lang").combine_chunks().dictionary_encode()
-        lists = part.column("words").combine_chunks()
-        words = lists.flatten().dictionary_encode()
+        lists = [zstandard.decompress(x.as_py()).split(b" ") for x in part.column("words")]
+        words = pa.concat_arrays([pa.array(x, pa.binary()) for x in lists]).dictionary_encode()
         number = np.concatenate(([0], words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1))
         at, lang, columns, n = 0, [], [[], [], [], []], []
-        for own, size, codes, times in zip(langs.indices.to_pylist(), lists.value_lengths().to_pylist(), part.column("codes"), part.column("n"), strict=True):
+        for own, size, codes, times in zip(langs.indices.to_pylist(), map(len, lists), part.column("codes"), part.column("n"), strict=True):
             counts = _unpacked(times.as_py(), np.uint32)
             raw = _unpacked(codes.as_py(), np.uint16 if size + 1 <= 1 << 16 else np.uint32).reshape(DEPTH, -1)
             for k in range(DEPTH):
