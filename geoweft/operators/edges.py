@@ -8,13 +8,21 @@ the edges of two lines do together decides the relation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweft.functions.geometry import EPS, related
+from geoweft.session import staged, temporary
 
 #: Edges pass a cell if they come so near to it: more than rounding and EPS, less than anything else.
 NEAR = 1e-9
+#: lines_with lets the first so many edges of a cell meet the others, then the next so many.
+ROUNDS = (16, 1024)
+#: What at least one event of two lines is, and what all of them make, if a predicate holds.
+EVENT = {"crosses": "cross and not along", "touches": "not cross and not along", "intersects": "true"}
+PAIR = {"crosses": "cross and not along", "touches": "not cross and not along", "intersects": "true"}
 
 
 def edges(lines: DataFrame, side: str, cell: float) -> DataFrame:
@@ -74,17 +82,65 @@ def events(met: DataFrame) -> DataFrame:
     return met.where(meets).select("a_id", "a_key", "b_id", "b_key", cross.alias("cross"), along.alias("along"))
 
 
+def _keyed(lines: DataFrame, key: str) -> DataFrame:
+    return lines.select(F.col(key).alias("id"), "geom", F.xxhash64("geom").alias("key"))
+
+
+def _overlap() -> str:
+    return " and ".join(f"least(a_{c}1, a_{c}2) <= greatest(b_{c}1, b_{c}2) + {NEAR!r}D and greatest(a_{c}1, a_{c}2) >= least(b_{c}1, b_{c}2) - {NEAR!r}D" for c in "xy")
+
+
+def _folded(met: DataFrame) -> DataFrame:
+    """(a_id, a_key, b_id, b_key, cross, along) of the lines whose edges meet."""
+    return events(met.where(_overlap())).groupBy("a_id", "a_key", "b_id", "b_key").agg(F.bool_or("cross").alias("cross"), F.bool_or("along").alias("along"))
+
+
 def line_pairs(a: DataFrame, b: DataFrame, predicate: str, cell: float) -> DataFrame:
     """(feature_id, target_id) of lines (a: feature_id, geom; b: target_id, geom) for which the predicate holds, each pair once."""
-    a, b = (df.select(F.col(k).alias("id"), "geom", F.xxhash64("geom").alias("key")) for df, k in ((a, "feature_id"), (b, "target_id")))
-    overlap = " and ".join(f"least(a_{c}1, a_{c}2) <= greatest(b_{c}1, b_{c}2) + {NEAR!r}D and greatest(a_{c}1, a_{c}2) >= least(b_{c}1, b_{c}2) - {NEAR!r}D" for c in "xy")
-    met = edges(a, "a", cell).join(edges(b, "b", cell), ["cx", "cy"]).where(overlap)
-    folded = events(met).groupBy("a_id", "a_key", "b_id", "b_key").agg(F.bool_or("cross").alias("cross"), F.bool_or("along").alias("along"))
+    a, b = _keyed(a, "feature_id"), _keyed(b, "target_id")
+    met = edges(a, "a", cell).join(edges(b, "b", cell), ["cx", "cy"])
     if predicate == "contains":
         # Only a line along which the other lies can hold it; whether as far as it goes is for the kernel.
-        open_ = folded.where("along").join(a.select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.col("geom").alias("a_geom")), ["a_id", "a_key"])
+        open_ = events(met.where(_overlap())).where("along").select("a_id", "a_key", "b_id", "b_key").distinct()
+        open_ = open_.join(a.select(F.col("id").alias("a_id"), F.col("key").alias("a_key"), F.col("geom").alias("a_geom")), ["a_id", "a_key"])
         open_ = open_.join(b.select(F.col("id").alias("b_id"), F.col("key").alias("b_key"), F.col("geom").alias("b_geom")), ["b_id", "b_key"])
         found = open_.where(related(predicate)(F.col("a_geom"), F.col("b_geom")))
     else:
-        found = folded.where({"crosses": "cross and not along", "touches": "not cross and not along", "intersects": "true"}[predicate])
+        found = _folded(met).where(PAIR[predicate])
     return found.select(F.col("a_id").alias("feature_id"), F.col("b_id").alias("target_id"))
+
+
+def lines_with(a: DataFrame, b: DataFrame, predicate: str, cell: float) -> DataFrame:
+    """feature_id, each once, of the lines a for which the predicate holds with any line of b: crosses, touches or intersects.
+
+    Where lines are dense most of them meet very many others, but one is
+    enough. So in rounds a few edges of b in each cell, then more, meet the
+    lines that are open; one partner of each is looked at whole, by all edges
+    of the two, and lines for which the predicate holds go no further. What is
+    open after that meets all of b, so no line is missed. Edges are stored, and
+    runs its jobs at once; one number a round reaches the driver.
+    """
+    spark = a.sparkSession
+    pair = ["a_id", "a_key", "b_id", "b_key"]
+    with temporary(spark):
+        left = staged(edges(_keyed(a, "feature_id").where("id is not null"), "a", cell), "lines")
+        place = F.row_number().over(Window.partitionBy("cx", "cy").orderBy(F.xxhash64("b_id", "b_key", "b_x1", "b_y1"))).alias("place")
+        right = staged(edges(_keyed(b, "target_id"), "b", cell).select("*", place), "lines-met")
+        most = right.agg(F.max("place")).first()[0] or 0
+        open_, low, found = left, 0, []
+        for high in (*[n for n in ROUNDS if n < most], None):
+            met = open_.join(right if high is None else right.where(F.col("place").between(low + 1, high)), ["cx", "cy"])
+            hits = events(met.where(_overlap())).where(EVENT[predicate])
+            if high is None:
+                hits = hits.select(*pair).distinct()
+            else:
+                hits = hits.groupBy("a_id", "a_key").agg(F.min(F.struct("b_id", "b_key")).alias("b")).select("a_id", "a_key", "b.*")
+            whole = hits.join(left, ["a_id", "a_key"]).join(right, ["b_id", "b_key", "cx", "cy"])
+            found.append(staged(_folded(whole).where(PAIR[predicate]).select("a_id").distinct(), "lines-found"))
+            if high is None:
+                break
+            open_, low = staged(open_.join(found[-1], "a_id", "left_anti"), "lines-open"), high
+            if open_.isEmpty():
+                break
+        done = reduce(DataFrame.unionByName, found).select(F.col("a_id").alias("feature_id"))
+        return staged(done, "lines-related", keep=True)

@@ -8,14 +8,14 @@ every cell of its box, so give a cell about as large as the usual geometry.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweft.functions.geometry import area_relation_sql, box_relation, is_box, point_geometry, relation
-from geoweft.operators.edges import line_pairs
+from geoweft.operators.edges import line_pairs, lines_with
 from geoweft.operators.filters import Where, need, reference_filter
 
 REASONS = {
@@ -56,9 +56,14 @@ def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) ->
     kernel. Where columns tell that all rows are points, rectangles or lines,
     the plan has no kernel.
     """
+    return _pairs(df, ref, predicate, cell, line_pairs)
+
+
+def _pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float, of_lines: Callable[[DataFrame, DataFrame, str, float], DataFrame]) -> DataFrame:
+    """As pairs; what of_lines finds among lines and lines is added, by the columns that it has."""
     known = _kind(df), _kind(ref)
     if known == ("line", "line"):
-        return line_pairs(df, ref, predicate, cell)
+        return of_lines(df, ref, predicate, cell)
     a, b = _boxed(df, "feature_id", cell, "a_"), _boxed(ref, "target_id", cell, "b_")
     met = a.join(b, ["cx", "cy"]).where(_boxes_meet())
     # Boxes that share several cells are tested in the first of them only.
@@ -83,7 +88,7 @@ def pairs(df: DataFrame, ref: DataFrame, predicate: str, cell: float = 0.01) ->
     open_ = [F.when(F.col("_simple").isNull(), F.col(g)).alias(g) for g in ("a_geom", "b_geom")]
     kinds = [f"{n} {df.schema[n].dataType.simpleString()}" for df, n in ((df, "feature_id"), (ref, "target_id"))]
     found = met.select(*ids, *open_).mapInArrow(_kernel(predicate), ", ".join(kinds))
-    return found if None in lines else found.unionByName(line_pairs(*lines, predicate, cell))
+    return found if None in lines else found.unionByName(of_lines(*lines, predicate, cell), allowMissingColumns=True)
 
 
 def _kernel(predicate: str):
@@ -104,7 +109,9 @@ def _is_line(g: str) -> Column:
 
 def _related(df: DataFrame, ref: DataFrame, predicate: str, where: Where | None, cell: float) -> DataFrame:
     need(df, "feature_id")
-    found = pairs(df, reference_filter(ref, where), predicate, cell).select("feature_id")
+    # Which lines are related, not to how many: pairs of dense lines are very many.
+    one_each = not (predicate == "contains" or df.isStreaming or ref.isStreaming)
+    found = _pairs(df, reference_filter(ref, where), predicate, cell, lines_with if one_each else line_pairs).select("feature_id")
     return df.join(found, "feature_id", "left_semi").withColumn("match_reason", F.lit(REASONS[predicate]))
 
 
