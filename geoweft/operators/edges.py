@@ -19,7 +19,7 @@ from geoweft.session import staged, temporary
 #: Edges pass a cell if they come so near to it: more than rounding and EPS, less than anything else.
 NEAR = 1e-9
 #: lines_with lets the first so many edges of a cell meet the others, then the next so many.
-ROUNDS = (16, 1024)
+ROUNDS = (8, 256)
 #: What at least one event of two lines is, and what all of them make, if a predicate holds.
 EVENT = {"crosses": "cross and not along", "touches": "not cross and not along", "intersects": "true"}
 PAIR = {"crosses": "cross and not along", "touches": "not cross and not along", "intersects": "true"}

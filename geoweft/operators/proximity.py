@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projection_sql, segment_distance_sql
-from geoweft.functions.geometry import distance, point_geometry, representative_point
+from geoweft.functions.geometry import LINES, area_relation_sql, distance, point_geometry, representative_point
 from geoweft.functions.names import free_name
 from geoweft.operators import quadtree
 from geoweft.operators.components import connected_components
@@ -78,34 +78,102 @@ def _shapes(df: DataFrame, others: list[DataFrame], key: str, meridian: float |
     xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
     sides = {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
     shape = F.struct(F.col("geom.type").alias("type"), *[c.alias(n) for n, c in sides.items()], F.col("parts"))
-    return rows.select(key, shape.alias("shape"))
+    kind = "point" if _is_points(df) else df.schema["geom"].metadata.get("shape")
+    return rows.select(key, shape.alias("shape", metadata={"shape": kind} if kind else {}))
 
 
 @F.arrow_udf(T.DoubleType())
 def _shape_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
+    return pa.array([x and y and distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
 
-def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
-    """As pairs_within, for any geometries: cells of the boxes, one grown by the distance, then the exact distance in Arrow batches."""
+def _cells_along(df: DataFrame, side: float, grow: float) -> DataFrame:
+    """df with cx, cy, once for each cell of that side met by the segment ax, ay, bx, by grown by so much: column by column, the rows that it spans there."""
+    lo, hi = F.floor((F.least("ax", "bx") - grow) / side), F.floor((F.greatest("ax", "bx") + grow) / side)
+    columns = df.withColumn("cx", F.explode(F.sequence(lo, hi)))
+    slope = F.when(F.col("ax") != F.col("bx"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
+    at = lambda x: F.when(slope.isNull(), None).otherwise(F.col("ay") + slope * (F.greatest(F.least("ax", "bx"), F.least(F.greatest("ax", "bx"), x)) - F.col("ax")))
+    y0, y1 = at(F.col("cx") * side - grow), at((F.col("cx") + 1) * side + grow)
+    low, high = F.coalesce(F.least(y0, y1), F.least("ay", "by")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "by"))
+    return columns.withColumn("cy", F.explode(F.sequence(F.floor((low - grow) / side), F.floor((high + grow) / side))))
+
+
+def _is_area(shape: str) -> Column:
+    return F.col(f"{shape}.type").endswith("Polygon")
+
+
+def _edges_sql(shape: str) -> str:
+    """SQL text: the edges (p, q) of a shape; a point is one of no length."""
+    return f"flatten(transform(flatten({shape}.parts), r -> transform(sequence(1, greatest(1, size(r) - 1)), i -> named_struct('p', r[i - 1], 'q', r[least(i, size(r) - 1)]))))"
+
+
+def _apart_sql(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str], d: tuple[str, str]) -> str:
+    """SQL text: distance of the edge from a to b, also one of length zero, to that from c to d."""
+    to = lambda p, q, r: segment_distance_sql(*p, *q, *r)
+    turn = lambda p, q, r: f"sign(({q[0]} - {p[0]}) * ({r[1]} - {p[1]}) - ({q[1]} - {p[1]}) * ({r[0]} - {p[0]}))"
+    crossing = f"{turn(a, b, c)} * {turn(a, b, d)} < 0 and {turn(c, d, a)} * {turn(c, d, b)} < 0"
+    return f"case when {a[0]} = {b[0]} and {a[1]} = {b[1]} then {to(a, c, d)} when {crossing} then 0.0 else least({to(a, c, d)}, {to(b, c, d)}, {to(c, a, b)}, {to(d, a, b)}) end"
+
+
+def _edge_hits(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As shape_hits_within, for points and lines: their edges meet by the cells along them, a point being an edge of no length."""
+    side = max(float(metres), 250.0)
+
+    def celled(df: DataFrame, key: str, grow: float) -> DataFrame:
+        rows = df.where(~_is_area("shape")).select(key, F.explode(F.expr(_edges_sql("shape"))).alias("e"))
+        return _cells_along(rows.select(key, *[F.col(f"e.{v}.{c}").alias(f"{n}{c}") for n, v in (("a", "p"), ("b", "q")) for c in "xy"]), side, grow)
+
+    other = celled(right, "target_id", float(metres)).toDF("target_id", "cax", "cay", "cbx", "cby", "cx", "cy")
+    if left.schema["shape"].metadata.get("shape") == "point":
+        apart = segment_distance_sql("ax", "ay", "cax", "cay", "cbx", "cby")
+    else:
+        apart = _apart_sql(("ax", "ay"), ("bx", "by"), ("cax", "cay"), ("cbx", "cby"))
+    met = celled(left, "feature_id", 0.0).join(other, ["cx", "cy"]).select("feature_id", "target_id", F.expr(apart).alias("distance_m"))
+    return met.where(F.col("distance_m") <= float(metres))
+
+
+def _kernel_hits(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As shape_hits_within, for pairs with an area: cells of the boxes, one grown by the distance, then the exact distance in Arrow batches."""
     side = max(float(metres), 500.0)
 
     def celled(df: DataFrame, key: str, name: str, grow: float) -> DataFrame:
         cells = lambda a: F.sequence(F.floor((F.col(f"{name}.{a}min") - grow) / side), F.floor((F.col(f"{name}.{a}max") + grow) / side))
         return df.select(key, F.col("shape").alias(name)).withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y")))
 
-    met = celled(left, "feature_id", "a", 0.0).join(celled(right, "target_id", "b", float(metres)), ["cx", "cy"])
+    met = celled(left, "feature_id", "a", 0.0).join(celled(right, "target_id", "b", float(metres)), ["cx", "cy"]).where(_is_area("a") | _is_area("b"))
     for axis, cell in (("x", "cx"), ("y", "cy")):
         met = met.where((F.col(f"a.{axis}min") <= F.col(f"b.{axis}max") + metres) & (F.col(f"a.{axis}max") >= F.col(f"b.{axis}min") - metres))
         met = met.where(F.col(cell) == F.floor(F.greatest(F.col(f"a.{axis}min"), F.col(f"b.{axis}min") - metres) / side))  # the first common cell
     return met.select("feature_id", "target_id", _shape_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= metres)
 
 
+def shape_hits_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As shape_pairs_within, but a pair can come several times; the least distance is that of the pair."""
+    hits = _edge_hits(left, right, metres)
+    thin = [df.schema["shape"].metadata.get("shape") in ("point", "line") for df in (left, right)]
+    return hits if all(thin) else hits.unionByName(_kernel_hits(left, right, metres))
+
+
+def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As pairs_within, for any geometries (shape, in metres). Points and lines need no Python; pairs with an area go to the kernel."""
+    return shape_hits_within(left, right, metres).groupBy("feature_id", "target_id").agg(F.min("distance_m").alias("distance_m"))
+
+
 def shapes_near_one(df: DataFrame, one: DataFrame, metres: float, key: str, meridian: float | None = None) -> DataFrame:
-    """key of the features at most so far from the single geometry of one (target_id, geom)."""
-    area = _shapes(one, [], "target_id", meridian).select(F.col("shape").alias("_one"))
+    """key of the features at most so far from the single area of one (target_id, geom).
+
+    Points and lines by their edges and the first vertex of each part, which tells
+    whether a part that is far from the area's edges is inside; areas by the kernel.
+    """
+    area = _shapes(one, [], "target_id", meridian).select(F.col("shape").alias("_one"), F.expr(_edges_sql("shape")).alias("_edges"))
     met = _shapes(df, [one], key, meridian).crossJoin(F.broadcast(area))  # one row
-    return met.where(_shape_distance("shape", "_one") <= metres).select(key)
+    inside = f"exists(transform(flatten(shape.parts), r -> named_struct('xmin', r[0].x, 'ymin', r[0].y)), v -> {area_relation_sql('intersects', '_one', 'v', True)})"
+    apart = _apart_sql(("e.p.x", "e.p.y"), ("e.q.x", "e.q.y"), ("f.p.x", "f.p.y"), ("f.q.x", "f.q.y"))
+    near = F.expr(f"{inside} or exists({_edges_sql('shape')}, e -> exists(_edges, f -> {apart} <= {float(metres)!r}D))")
+    if met.schema["shape"].metadata.get("shape") in ("point", "line"):
+        return met.where(near).select(key)
+    of_area = _shape_distance(F.when(_is_area("shape"), F.col("shape")), "_one") <= metres
+    return met.where(F.when(_is_area("shape"), of_area).otherwise(near)).select(key)
 
 
 def _placed(df: DataFrame, others: list[DataFrame], key: str, meridian: float | None) -> DataFrame:
@@ -169,7 +237,7 @@ def nearest_points(left: DataFrame, right: DataFrame, metres: float) -> DataFram
 
 def _metric(df: DataFrame, ref: DataFrame) -> tuple[Callable[..., DataFrame], Callable[..., DataFrame]]:
     """How to bring both to metres, and how to pair them."""
-    return (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_pairs_within)
+    return (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_hits_within)
 
 
 def _best(met: DataFrame) -> DataFrame:
@@ -288,20 +356,13 @@ def between(df: DataFrame, first: DataFrame, second: DataFrame, corridor_width_m
     if not _is_points(df):
         ring = F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))
         box = [F.least("ax", "bx").alias("xmin"), F.least("ay", "by").alias("ymin"), F.greatest("ax", "bx").alias("xmax"), F.greatest("ay", "by").alias("ymax")]
-        lines = segments.select(F.monotonically_increasing_id().alias("target_id"), F.struct(F.lit("LineString").alias("type"), *box, F.array(F.array(ring)).alias("parts")).alias("shape"))
+        lines = segments.select(F.monotonically_increasing_id().alias("target_id"), F.struct(F.lit("LineString").alias("type"), *box, F.array(F.array(ring)).alias("parts")).alias("shape", metadata=LINES))
         kept = shape_pairs_within(_shapes(df, [first, second], "feature_id", meridian), lines, w).select("feature_id").distinct()
         reason = f"הישות נמצאת במסדרון שבין שתי ישויות הייחוס (רוחב {round(w)} מ׳)."
         return df.join(kept, "feature_id", "left_semi").withColumn("match_reason", F.lit(reason))
     points = _placed(df, [first, second], "feature_id", meridian)
     side = max(w, 250.0)
-    # Cells met by a segment grown by the width: column by column, the rows that it spans there.
-    lo, hi = F.floor((F.least("ax", "bx") - w) / side), F.floor((F.greatest("ax", "bx") + w) / side)
-    columns = segments.withColumn("cx", F.explode(F.sequence(lo, hi)))
-    slope = F.when(F.col("ax") != F.col("bx"), (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax")))
-    at = lambda x: F.when(slope.isNull(), None).otherwise(F.col("ay") + slope * (F.greatest(F.least("ax", "bx"), F.least(F.greatest("ax", "bx"), x)) - F.col("ax")))
-    y0, y1 = at(F.col("cx") * side - w), at((F.col("cx") + 1) * side + w)
-    low, high = F.coalesce(F.least(y0, y1), F.least("ay", "by")), F.coalesce(F.greatest(y0, y1), F.greatest("ay", "by"))
-    cells = columns.withColumn("cy", F.explode(F.sequence(F.floor((low - w) / side), F.floor((high + w) / side))))
+    cells = _cells_along(segments, side, w)
     placed = points.select("feature_id", "x", "y", F.floor(F.col("x") / side).alias("px"), F.floor(F.col("y") / side).alias("py"))
     close = F.expr(segment_distance_sql("x", "y", "ax", "ay", "bx", "by")) <= w
     kept = placed.join(cells, (F.col("px") == F.col("cx")) & (F.col("py") == F.col("cy")) & close, "left_semi").select("feature_id")

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geoweft.functions.geometry import LINES, geometry_of, line_geometry
-from geoweft.operators import edges, topology
+from geoweft.functions.geometry import LINES, distance, geometry_of, line_geometry, parse_wkt
+from geoweft.operators import edges, proximity, topology
 
 
 def random_lines(spark, n, key="feature_id", seed=3):
@@ -45,3 +45,28 @@ def test_dense_crossings_do_not_make_all_pairs(spark, monkeypatch):
     lines = spark.range(n).select(F.col("id").alias("feature_id"), line_geometry(*at).alias("geom", metadata=LINES)).localCheckpoint()
     assert topology.crosses(lines, lines.withColumnRenamed("feature_id", "target_id"), cell=0.02).count() > 0.9 * n
     assert sum(seen) < 100 * n
+
+
+SHAPES = ["POINT (0 0)", "POINT (900 40)", "MULTIPOINT ((50 50), (4000 10))", "LINESTRING (0 100, 3000 100)", "LINESTRING (-500 -500, 2500 900, 2500 3000)", "MULTILINESTRING ((0 0, 10 10), (700 -900, 700 900))", "POLYGON ((600 -100, 1200 -100, 1200 300, 600 300, 600 -100))", "LINESTRING (800 0, 810 10)"]
+
+
+def in_metres(spark, key, kinds):
+    rows = [(k, x) for k, x in enumerate(SHAPES) if x.split(" ")[0].removeprefix("MULTI") in kinds]
+    return spark.createDataFrame(rows, f"{key} long, wkt string").select(key, geometry_of("wkt").alias("shape"))
+
+
+def test_shape_distances_equal_the_kernel(spark):
+    every = ("POINT", "LINESTRING", "POLYGON")
+    got = {(r.feature_id, r.target_id): r.distance_m for r in proximity.shape_pairs_within(in_metres(spark, "feature_id", every), in_metres(spark, "target_id", every), 300).collect()}
+    parsed = [parse_wkt(x) for x in SHAPES]
+    want = {(i, j): d for i, a in enumerate(parsed) for j, b in enumerate(parsed) if (d := distance(a, b)) <= 300}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_points_meet_lines_and_lines_a_boundary_without_python(spark):
+    lines = spark.range(3).select(F.col("id").alias("target_id"), line_geometry(F.lit(34.7), F.lit(32.0), F.lit(34.8), F.lit(32.1) + F.col("id") / 1000).alias("geom", metadata=LINES))
+    points = spark.range(3).select(F.col("id").alias("feature_id"), F.lit(34.75).alias("lon"), F.lit(32.05).alias("lat"))
+    area = lines.limit(1).select("target_id", geometry_of(F.lit("POLYGON ((34 32, 35 32, 35 33, 34 33, 34 32))")).alias("geom")).localCheckpoint()
+    for found in (proximity.near(points, lines, 150, meridian=33.0), proximity.shapes_near_one(lines, area, 150, "target_id", 33.0)):
+        plan = found._jdf.queryExecution().toString()
+        assert "Arrow" not in plan and "Python" not in plan and found.count() == 3
