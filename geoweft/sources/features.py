@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoweft.functions.geometry import GEOMETRY, geometry_of, parse_any
+from geoweft.functions.geometry import ARROW, GEOMETRY, geometry_of, parse_any
 
 #: Keys under which services return their rows, ids, property lists, names and values.
 ROW_KEYS = ("data", "Data", "results", "Results", "items", "Items", "entities", "Entities")
@@ -91,17 +93,34 @@ def _rows(payload: Any, keys: tuple[str, ...]) -> list[dict[str, Any]]:
     return [x for x in payload if isinstance(x, dict)]
 
 
+#: Rows that leave Python at once, and bytes of pages that reach it at once.
+ROWS_EACH, BYTES_EACH = 1000, 4 << 20
+
+
 def _reader(keys: tuple[str, ...], record):
-    @F.pandas_udf(T.ArrayType(FEATURES))
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: [record(x) for x in _rows(json.loads(page), keys)])
+    """Reads pages one at a time; a page's rows leave in stretches of ROWS_EACH."""
+    kind = pa.schema([("properties", pa.map_(pa.string(), pa.string())), ("geom", ARROW)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0):
+                rows = _rows(json.loads(page.as_py()), keys)
+                for at in range(0, len(rows), ROWS_EACH):
+                    made = [record(x) for x in rows[at : at + ROWS_EACH]]
+                    properties = pa.array([list(x["properties"].items()) for x in made], kind.field("properties").type)
+                    yield pa.RecordBatch.from_arrays([properties, pa.array([x["geom"] for x in made], ARROW)], schema=kind)
 
     return run
 
 
 def _rows_of(pages: DataFrame, reader) -> DataFrame:
-    """One row for each row of the pages (JSON text under value), the unreadable geometries null."""
-    return pages.select(F.explode(reader(F.col("value"))).alias("f")).select("f.*")
+    """One row for each row of the pages (JSON text under value), the unreadable geometries null.
+
+    Pages are large, so a batch of as many pages as of other rows would be a
+    whole partition: batches go by bytes, however many pages a task has.
+    """
+    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_EACH))
+    return pages.select("value").mapInArrow(reader, FEATURES)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
