@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles at a Jaccard similarity of 0.8 or more, not op6's four words and four bits."""
+    """One document of each group of near duplicates: five-word shingles at a Jaccard similarity of 0.8 or more, found by SimHash, with an exact way for what it misses."""
     return neardup.representatives(docs)
 
 

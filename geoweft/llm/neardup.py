@@ -1,27 +1,34 @@
-"""Near-duplicates by word shingles: all pairs with a Jaccard similarity of LEAST or more, none lost.
+"""Near-duplicates by SimHash and exact similarity: all pairs of shingle sets with a Jaccard similarity of LEAST or more, none lost.
 
 The pipeline's near-dedup stage: five words a shingle, a similarity of 0.8 or
-more. Fingerprints of 64 bits can't search for that: such pairs differ in
-about ten bits, up to eighteen, and with a threshold that wide the anchor
-covering of operator 6 copies each fingerprint to most anchors.
-
-Candidates come from a prefix filter instead, which is exact. Shingles have an
-order, the rare ones first; of two sets at least LEAST alike, the first
-n - ceil(LEAST n) + 1 shingles of each share one. So sets meet by an equi-join
-on those shingles, under the length and position bounds. Any order is right;
-how rare a shingle is comes from one row of a count sketch of BUCKETS counters,
-which is all that reaches the driver. Candidate pairs then get their exact
-similarity, and components are formed of the pairs that have it.
-
-A family of many near copies isn't paired with itself. First each set is
-compared with one set of each shingle that it shares, which joins most of a
-family; then only sets that share a shingle but are in different components so
-far. Any pair left out is in one component already.
+more. Every set has a SimHash of its shingles, and operator 6's anchor covering
+finds each one's neighbours. Sets 0.8 alike differ in about ten of 64 bits;
+anchors that hold every pair so far apart would hold most fingerprints. So
+copies go as far as operator 6 sends them, REACH bits beyond their home, which
+holds all pairs at most REACH apart for certain, and where two meet they count
+as candidates up to APART bits. Candidates get their exact similarity, and
+components are formed of the pairs that have it.
+
+What SimHash can't promise, the pairs that differ in more bits or meet at no
+anchor, has an exact way: a prefix filter, for pairs across those components
+only. Shingles have an order, the rare ones first; of two sets at least LEAST
+alike, the first n - ceil(LEAST n) + 1 shingles of each share one. So sets meet
+by an equi-join on those shingles, under the length and position bounds. Any
+order is right; how rare a shingle is comes from one row of a count sketch of
+BUCKETS counters, which is all that reaches the driver.
+
+A family of many near copies isn't paired with itself. SimHash gives each set
+its nearest neighbour and one that its family agrees on. Then each set is
+compared with one set of each shingle that it shares, of another component,
+which joins most that is left of a family; then only sets that share a shingle
+but are in different components so far. Any pair left out is in one component
+already.
 
 Equal sets are one before any of this.
 
 Defined cases: as operator 6 has them. Texts without a word are alike; a text
-shorter than a shingle is one shingle. Shingles and sets go by 64-bit hashes.
+shorter than a shingle is one shingle. Shingles and sets go by 64-bit hashes;
+a set's SimHash is of its distinct shingles.
 """
 
 from __future__ import annotations
@@ -34,12 +41,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import numbered, shuffle_partitions, staged, temporary, text_slices
+from geoweft.llm import simhash
+from geoweft.llm.common import looked_up, numbered, shuffle_partitions, staged, temporary, text_slices
 from geoweft.llm.simhash import kept_rows
 from geoweft.operators.components import connected_components
 from geoweft.session import counted, gathered
 
 WORDS, LEAST = 5, 0.8
+#: Bits that SimHash candidates differ in at most, and bits beyond their home's that fingerprints are copied to anchors.
+APART, REACH = 12, simhash.BITS
 BUCKETS = 1 << 17
 MANY = 200
 #: Rows of a partition where tables are small: prefixes, and pairs with texts.
@@ -78,14 +88,28 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def set_ids(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, id): id is that of the text's shingle set, as a signed long."""
+    """(doc, id, fp): id is that of the text's shingle set, fp the set's SimHash, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            ids = np.array([set_id(shingle_set(x, words)) for x in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids.view(np.int64))], names=["doc", "id"])
+            sets = [shingle_set(x, words) for x in part.column(1).to_pylist()]
+            ids, fps = (np.fromiter(map(f, sets), np.uint64, len(sets)).view(np.int64) for f in (set_id, simhash.majority))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(fps)], names=["doc", "id", "fp"])
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, id long")
+    return docs.select("doc", "text").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, id long, fp long")
+
+
+def simhash_pairs(ids: DataFrame, apart: int = APART, reach: int = REACH) -> DataFrame:
+    """(a, b), a < b: candidates among the set ids (columns id, fp) by operator 6's anchor covering. Sets of one fingerprint go with the least of them."""
+    sets, n = counted(ids.groupBy("id").agg(F.min("fp").alias("fp")), "near-sets")
+    classes = staged(gathered(sets.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("times")), n, EACH), "near-fingerprints")
+    equal = looked_up(sets, classes.where("times > 1"), ["fp"], "times", n).select(F.col("id").alias("a"), F.col("least").alias("b"))
+    met, m = counted(simhash.neighbours(classes.select("fp"), apart, reach), "near-met")
+    least = classes.select("fp", "least")
+    uses = met.groupBy("b").agg(F.count("*").alias("times")).join(least.select(F.col("fp").alias("b"), F.col("least").alias("second")), "b")
+    own = met.join(least.select(F.col("fp").alias("a"), F.col("least").alias("first")), "a")
+    pairs = looked_up(own, uses, ["b"], "times", m).select("first", "second").toDF("a", "b").unionByName(equal)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
@@ -206,14 +230,18 @@ def alike_pairs(pairs: DataFrame, shared: int, texts: DataFrame, words: int, lea
 def alike(docs: DataFrame, ids: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(node, component) of the set ids that have a similarity of least or more to another. docs has doc and text, ids what set_ids makes of it."""
     with temporary(docs.sparkSession):
+        close, n = counted(simhash_pairs(ids), "near-close")
         shared = shared_prefixes(docs, words, least)
-        wanted = ids.groupBy("id").agg(F.min("doc.row").alias("row")).join(shared.select("id").distinct(), "id", "left_semi")
+        rows = shared.count()
+        needed = close.select(F.explode(F.array("a", "b")).alias("id")).unionByName(shared.select("id")).distinct()
+        wanted = ids.groupBy("id").agg(F.min("doc.row").alias("row")).join(needed, "id", "left_semi")
         texts = docs.select(F.col("doc.row").alias("row"), "text").join(wanted.hint("shuffle_hash"), "row").select("id", "text")
         texts = staged(texts, "near-texts", compression="zstd")
-        rows = shared.count()
-        near = staged(alike_pairs(star_pairs(in_components(shared, None), least), rows, texts, words, least), "near-stars")
-        rest = alike_pairs(open_pairs(in_components(shared, connected_components(near), rows), least), rows, texts, words, least)
-        return connected_components(near.unionByName(rest))
+        near = staged(alike_pairs(close, n, texts, words, least), "near-simhash")
+        for across in (star_pairs, open_pairs):
+            found = alike_pairs(across(in_components(shared, connected_components(near), rows), least), rows, texts, words, least)
+            near = staged(near.unionByName(found), f"near-{across.__name__}")
+        return connected_components(near)
 
 
 def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:

@@ -55,9 +55,8 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.array([digest(joined[i:j], SEED) for i, j in zip(lo, hi)], np.uint64)
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """SimHash of the shingles' XXH64, repeats included."""
-    hashes = shingle_hashes(text, words)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
     if not len(hashes):
         return 0
     total = np.zeros(64, np.int64)
@@ -67,6 +66,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """SimHash of the shingles' XXH64, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp: the 64 bits as a signed long) for every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -224,6 +228,51 @@ def links(fps: DataFrame, bits: int = BITS, tile: int = TILE) -> DataFrame:
     return placed.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def tile_neighbours(homes: np.ndarray, guests: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """(a, b, apart, place): for each fingerprint a of a tile, of the other side's within bits and not equal, the nearest and that with the first place by a hash.
+
+    Holds the pairs of 128 homes at a time.
+    """
+    nodes, back = np.unique(np.concatenate([homes, guests]), return_inverse=True)
+    h, g = back[: len(homes)], back[len(homes) :]
+    place = (nodes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).view(np.int64)
+    by_place = np.argsort(place, kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[by_place] = np.arange(len(nodes))
+    best = np.full((2, len(nodes)), 1 << 62)
+    for at in range(0, len(homes), 128):
+        apart = np.bitwise_count(homes[at : at + 128, None] ^ guests[None, :])
+        i, j = np.nonzero((apart <= bits) & (apart > 0))
+        x, y, d = h[at + i], g[j], apart[i, j].astype(np.int64) << 32
+        for a, b in ((x, y), (y, x)):
+            np.minimum.at(best[0], a, d | rank[b])
+            np.minimum.at(best[1], a, rank[b])
+    a = np.flatnonzero(best[1] < 1 << 62)
+    b = by_place[best[:, a] & 0xFFFFFFFF].ravel()
+    a = np.tile(a, 2)
+    return nodes[a], nodes[b], np.bitwise_count(nodes[a] ^ nodes[b]).astype(np.int32), place[b]
+
+
+def neighbours(fps: DataFrame, bits: int, reach: int = BITS, tile: int = TILE) -> DataFrame:
+    """(a, b) over distinct fingerprints (column fp): each with the nearest other within bits, and with that of all met within bits which a hash puts first.
+
+    Fingerprints go to anchors within their own distance plus reach, so pairs
+    at most reach apart all meet, and wider ones where they share an anchor.
+    Two pairs for each at most: a family is joined as a star about the one that
+    the hash puts first, not by all its pairs.
+    """
+    placed = tiles(fps, code_size(fps.count()), reach, tile)
+
+    def compare(t: pa.Table) -> pa.Table:
+        homes, guests = (t[c].combine_chunks().flatten().to_numpy().view(np.uint64) for c in ("homes", "guests"))
+        a, b, apart, place = tile_neighbours(homes, guests, bits)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64), "apart": apart, "place": place})
+
+    met = placed.groupBy("anchor", "i", "j").applyInArrow(compare, "a long, b long, apart int, place long")
+    two = met.groupBy("a").agg(F.min_by("b", F.struct("apart", "place", "b")).alias("nearest"), F.min_by("b", F.struct("place", "b")).alias("first"))
+    return two.select("a", F.explode(F.array_distinct(F.array("nearest", "first"))).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id for every row."""
     rows = staged(fingerprints(docs, words), "simhash")
