@@ -186,7 +186,8 @@ def read_geojson(spark: SparkSession, path: str, limit: int | None = None) -> Da
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], FEATURES)
+        # Not createDataFrame([]), whose scan starts a Python worker on every core.
+        return spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in FEATURES]).where(F.lit(False))
     return rows if limit is None else rows.limit(limit)
 
 

@@ -27,3 +27,13 @@ def test_a_large_page_leaves_in_stretches(spark):
     rows = features.cube_rows(spark.createDataFrame([(page,)], "value string")).collect()
     assert [r.properties for r in rows] == [{"id": str(k), "a": None} for k in range(n)]
     assert [r.geom and r.geom.xmin for r in rows] == [float(k % 90) if k % 3 else None for k in range(n)]
+
+
+def test_a_missing_layer_starts_no_python(spark, tmp_path):
+    empty = features.read_geojson(spark, f"{tmp_path}/missing")
+    assert empty.schema == features.FEATURES and empty.count() == 0
+    pages = spark.createDataFrame([('{"features":[{"properties":{"a":1},"geometry":null}]}',)], "value string")
+    both = features.geojson_rows(pages).unionByName(empty)
+    assert [r.properties for r in both.collect()] == [{"a": "1"}]
+    plan = empty._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Arrow" not in plan
