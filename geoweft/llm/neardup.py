@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from geoweft.llm import simhash
 from geoweft.llm.common import looked_up, numbered, shuffle_partitions, staged, temporary, text_slices
 from geoweft.llm.simhash import kept_rows
-from geoweft.operators.components import connected_components
+from geoweft.operators.components import connected_components, with_edges
 from geoweft.session import counted, gathered
 
 WORDS, LEAST = 5, 0.8
@@ -237,11 +237,11 @@ def alike(docs: DataFrame, ids: DataFrame, words: int = WORDS, least: float = LE
         wanted = ids.groupBy("id").agg(F.min("doc.row").alias("row")).join(needed, "id", "left_semi")
         texts = docs.select(F.col("doc.row").alias("row"), "text").join(wanted.hint("shuffle_hash"), "row").select("id", "text")
         texts = staged(texts, "near-texts", compression="zstd")
-        near = staged(alike_pairs(close, n, texts, words, least), "near-simhash")
+        found = staged(connected_components(alike_pairs(close, n, texts, words, least)), "near-simhash")
         for across in (star_pairs, open_pairs):
-            found = alike_pairs(across(in_components(shared, connected_components(near), rows), least), rows, texts, words, least)
-            near = staged(near.unionByName(found), f"near-{across.__name__}")
-        return connected_components(near)
+            near = alike_pairs(across(in_components(shared, found, rows), least), rows, texts, words, least)
+            found = staged(with_edges(found, near), f"near-{across.__name__}", keep=across is open_pairs)
+        return found
 
 
 def representatives(docs: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:
