@@ -48,16 +48,32 @@ def projection_sql(lon: str, lat: str, meridian: str) -> tuple[str, str]:
     return f"({_number(EASTING)} + {_number(scale)} * ({eta} + {x}))", f"({_number(scale)} * ({xi} + {y}))"
 
 
-def _projected(df: DataFrame, lon: str, lat: str, meridian: str, x: str, y: str) -> DataFrame:
-    """projection_sql in steps, each a column: expressions stay small, and what x and y share is computed once."""
+def _steps(lon: str, lat: str, meridian: str, of: str) -> list[dict[str, str]]:
+    """projection_sql in three steps: what each names comes, after the prefix ``of``, in the next. What x and y share is computed once."""
     scale, e, alpha = _series()
-    sin, turn = f"sin(radians({lat}))", f"radians({lon} - {meridian})"
-    df = df.withColumns({"_utm_t": F.expr(f"sinh(atanh({sin}) - {_number(e)} * atanh({_number(e)} * {sin}))"), "_utm_turn": F.expr(turn)})
-    df = df.withColumns({"_utm_xi": F.expr("atan2(_utm_t, cos(_utm_turn))"), "_utm_eta": F.expr("atanh(sin(_utm_turn) / sqrt(1 + _utm_t * _utm_t))")})
-    east = " + ".join(f"{_number(a)} * cos({2 * j} * _utm_xi) * sinh({2 * j} * _utm_eta)" for j, a in enumerate(alpha, 1))
-    north = " + ".join(f"{_number(a)} * sin({2 * j} * _utm_xi) * cosh({2 * j} * _utm_eta)" for j, a in enumerate(alpha, 1))
-    df = df.withColumns({x: F.expr(f"({_number(EASTING)} + {_number(scale)} * (_utm_eta + {east}))"), y: F.expr(f"({_number(scale)} * (_utm_xi + {north}))")})
-    return df.drop("_utm_t", "_utm_turn", "_utm_xi", "_utm_eta")
+    sin = f"sin(radians({lat}))"
+    east = " + ".join(f"{_number(a)} * cos({2 * j} * {of}xi) * sinh({2 * j} * {of}eta)" for j, a in enumerate(alpha, 1))
+    north = " + ".join(f"{_number(a)} * sin({2 * j} * {of}xi) * cosh({2 * j} * {of}eta)" for j, a in enumerate(alpha, 1))
+    return [
+        {"t": f"sinh(atanh({sin}) - {_number(e)} * atanh({_number(e)} * {sin}))", "turn": f"radians({lon} - {meridian})"},
+        {"xi": f"atan2({of}t, cos({of}turn))", "eta": f"atanh(sin({of}turn) / sqrt(1 + {of}t * {of}t))"},
+        {"x": f"({_number(EASTING)} + {_number(scale)} * ({of}eta + {east}))", "y": f"({_number(scale)} * ({of}xi + {north}))"},
+    ]
+
+
+def projected(df: DataFrame, lon: str, lat: str, meridian: str, x: str, y: str) -> DataFrame:
+    """Adds x and y step by step, each a column, so expressions stay small."""
+    first, second, last = _steps(lon, lat, meridian, "_utm_")
+    for step in (first, second):
+        df = df.withColumns({f"_utm_{n}": F.expr(v) for n, v in step.items()})
+    return df.withColumns({x: F.expr(last["x"]), y: F.expr(last["y"])}).drop("_utm_t", "_utm_turn", "_utm_xi", "_utm_eta")
+
+
+def projected_ring_sql(ring: str, meridian: str) -> str:
+    """SQL text: the vertices (x, y) of a ring, in degrees, brought to metres step by step."""
+    for step in _steps("v.x", "v.y", meridian, "v."):
+        ring = f"transform({ring}, v -> named_struct({', '.join(f'{n!r}, {e}' for n, e in step.items())}))"
+    return ring
 
 
 def joint_centre(*frames: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -71,9 +87,9 @@ def joint_centre(*frames: DataFrame, lon: str = "lon", lat: str = "lat") -> Data
 def metric_xy(df: DataFrame, *others: DataFrame, meridian: float | None = None, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y") -> DataFrame:
     """Adds metric x and y. The zone is that of df and others together unless a meridian is given."""
     if meridian is not None:
-        return _projected(df, lon, lat, repr(float(meridian)), x, y)
+        return projected(df, lon, lat, repr(float(meridian)), x, y)
     centre = joint_centre(df, *others, lon=lon, lat=lat)
-    placed = _projected(df.crossJoin(F.broadcast(centre)), lon, lat, "_meridian", x, y)  # one row
+    placed = projected(df.crossJoin(F.broadcast(centre)), lon, lat, "_meridian", x, y)  # one row
     south = F.when(F.col("_south"), F.lit(SOUTHING)).otherwise(F.lit(0.0))
     return placed.withColumn(y, F.col(y) + south).drop("_meridian", "_south")
 
@@ -84,12 +100,10 @@ def planar_distance(x1: Column | str, y1: Column | str, x2: Column | str, y2: Co
 
 
 def segment_distance_sql(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
-    """SQL text: distance of a point to a segment, also one of length zero."""
-    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
-    square = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"(case when {square} = 0 then 0.0 else greatest(0.0, least(1.0, (({px} - {ax}) * {dx} + ({py} - {ay}) * {dy}) / {square})) end)"
-    ex, ey = f"({px} - {ax} - {t} * {dx})", f"({py} - {ay} - {t} * {dy})"
-    return f"sqrt({ex} * {ex} + {ey} * {ey})"
+    """SQL text: distance of a point to a segment, also one of length zero. No part is nested in another, so generated code stays small."""
+    dx, dy, ex, ey, fx, fy = f"({bx} - {ax})", f"({by} - {ay})", f"({px} - {ax})", f"({py} - {ay})", f"({px} - {bx})", f"({py} - {by})"
+    along, square = f"({ex} * {dx} + {ey} * {dy})", f"({dx} * {dx} + {dy} * {dy})"
+    return f"case when {along} <= 0 then sqrt({ex} * {ex} + {ey} * {ey}) when {along} >= {square} then sqrt({fx} * {fx} + {fy} * {fy}) else abs({dx} * {ey} - {dy} * {ex}) / sqrt({square}) end"
 
 
 def compass(dx: Column, dy: Column) -> Column:

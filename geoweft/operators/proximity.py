@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projection_sql, segment_distance_sql
+from geoweft.functions.geodesy import joint_centre, metric_xy, planar_distance, projected, projected_ring_sql, segment_distance_sql
 from geoweft.functions.geometry import LINES, area_relation_sql, distance, point_geometry, representative_point
 from geoweft.functions.names import free_name
 from geoweft.operators import quadtree
@@ -66,19 +66,20 @@ def zone(frames: list[DataFrame], meridian: float | None = None) -> float:
 
 def _shapes(df: DataFrame, others: list[DataFrame], key: str, meridian: float | None) -> DataFrame:
     """key, shape (the geometry in metres), x0, y0, x1, y1."""
-    geom = point_geometry(F.col("lon"), F.col("lat")) if _is_points(df) else F.col("geom")
-    rows = df.select(key, geom.alias("geom")).where("geom.type is not null and geom.xmin is not null")
+    rows = df.select(key, "lon", "lat").where("lon is not null and lat is not null") if _is_points(df) else df.select(key, "geom").where("geom.type is not null and geom.xmin is not null")
     if meridian is None:
         rows = rows.crossJoin(F.broadcast(joint_centre(_corners(df), *map(_corners, others)).select("_meridian")))  # one row
     else:
         rows = rows.withColumn("_meridian", F.lit(float(meridian)))
-    x, y = projection_sql("p.x", "p.y", "_meridian")
-    rows = rows.withColumn("parts", F.expr(f"transform(geom.parts, part -> transform(part, ring -> transform(ring, p -> named_struct('x', {x}, 'y', {y}))))"))
+    if _is_points(df):
+        placed = projected(rows, "lon", "lat", "_meridian", "x", "y")
+        return placed.select(key, point_geometry(F.col("x"), F.col("y")).alias("shape", metadata={"shape": "point"}))
+    rows = rows.withColumn("parts", F.expr(f"transform(geom.parts, part -> transform(part, ring -> {projected_ring_sql('ring', '_meridian')}))"))
     flat = F.flatten(F.flatten("parts"))
     xs, ys = F.transform(flat, lambda p: p["x"]), F.transform(flat, lambda p: p["y"])
     sides = {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
     shape = F.struct(F.col("geom.type").alias("type"), *[c.alias(n) for n, c in sides.items()], F.col("parts"))
-    kind = "point" if _is_points(df) else df.schema["geom"].metadata.get("shape")
+    kind = df.schema["geom"].metadata.get("shape")
     return rows.select(key, shape.alias("shape", metadata={"shape": kind} if kind else {}))
 
 
@@ -115,13 +116,18 @@ def _apart_sql(a: tuple[str, str], b: tuple[str, str], c: tuple[str, str], d: tu
     return f"case when {a[0]} = {b[0]} and {a[1]} = {b[1]} then {to(a, c, d)} when {crossing} then 0.0 else least({to(a, c, d)}, {to(b, c, d)}, {to(c, a, b)}, {to(d, a, b)}) end"
 
 
+def _edges(df: DataFrame, key: str) -> DataFrame:
+    """key, ax, ay, bx, by: the edges of the points and lines among shapes."""
+    rows = df.where(~_is_area("shape")).select(key, F.explode(F.expr(_edges_sql("shape"))).alias("e"))
+    return rows.select(key, *[F.col(f"e.{v}.{c}").alias(f"{n}{c}") for n, v in (("a", "p"), ("b", "q")) for c in "xy"])
+
+
 def _edge_hits(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """As shape_hits_within, for points and lines: their edges meet by the cells along them, a point being an edge of no length."""
     side = max(float(metres), 250.0)
 
     def celled(df: DataFrame, key: str, grow: float) -> DataFrame:
-        rows = df.where(~_is_area("shape")).select(key, F.explode(F.expr(_edges_sql("shape"))).alias("e"))
-        return _cells_along(rows.select(key, *[F.col(f"e.{v}.{c}").alias(f"{n}{c}") for n, v in (("a", "p"), ("b", "q")) for c in "xy"]), side, grow)
+        return _cells_along(_edges(df, key), side, grow)
 
     other = celled(right, "target_id", float(metres)).toDF("target_id", "cax", "cay", "cbx", "cby", "cx", "cy")
     if left.schema["shape"].metadata.get("shape") == "point":
@@ -147,11 +153,78 @@ def _kernel_hits(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     return met.select("feature_id", "target_id", _shape_distance("a", "b").alias("distance_m")).where(F.col("distance_m") <= metres)
 
 
+def _thin(df: DataFrame) -> bool:
+    return df.schema["shape"].metadata.get("shape") in ("point", "line")
+
+
 def shape_hits_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """As shape_pairs_within, but a pair can come several times; the least distance is that of the pair."""
     hits = _edge_hits(left, right, metres)
-    thin = [df.schema["shape"].metadata.get("shape") in ("point", "line") for df in (left, right)]
-    return hits if all(thin) else hits.unionByName(_kernel_hits(left, right, metres))
+    return hits if _thin(left) and _thin(right) else hits.unionByName(_kernel_hits(left, right, metres))
+
+
+#: Places of a cell, or edges that they meet, that need no smaller cells; smaller cells at most.
+PLACES, EDGES, SPLITS = 16, 64, 6
+
+
+def _closest(units: DataFrame, edges: DataFrame, cells: list[str], metres: float, slack: float = 0.0) -> DataFrame:
+    """The edges of each unit's cell at most metres from it (ux, uy) that are no farther than its nearest one and slack.
+
+    The distance is taken twice, so that no pair is sorted or shuffled: first for
+    the least one, a number for each unit, then for the edges that are so near.
+    """
+    away = F.expr(segment_distance_sql("ux", "uy", "ax", "ay", "bx", "by"))
+    least = units.join(edges, cells).groupBy("ux", "uy").agg(F.min(away).alias("least"))
+    bound = F.least(F.lit(float(metres)), F.col("least") + F.lit(float(slack)))
+    near = units.join(least.select("ux", "uy", bound.alias("bound")), ["ux", "uy"])
+    return near.join(edges, cells).where(away <= F.col("bound"))
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, metres: float) -> DataFrame:
+    """(feature_id, target_id, distance_m): each point's nearest target by its edges, the smaller target_id of equals.
+
+    points: feature_id, x, y; edges: target_id, ax, ay, bx, by. Points at one
+    place are one, and so are equal edges. Where many places of a cell would meet
+    many edges, the cell is split four by four, and each part keeps only edges
+    that can be the nearest of a place in it: those no farther from its middle
+    than the nearest one and its diagonal. One number a round reaches the driver.
+    """
+    metres, side = float(metres), max(float(metres), 250.0)
+    at = lambda c, s: F.floor(F.col(c) / F.lit(s))
+    points = staged(points.select("feature_id", "x", "y"), "near-points")
+    places = points.select(F.col("x").alias("ux"), F.col("y").alias("uy")).distinct()
+    edges = edges.groupBy("ax", "ay", "bx", "by").agg(F.min("target_id").alias("target_id"))
+    open_ = staged(places.withColumns({"cx": at("ux", side), "cy": at("uy", side)}), "near-places")
+    known = _cells_along(edges, side, metres).join(open_.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    found: list[DataFrame] = []
+    for split in range(SPLITS + 1):
+        known = staged(known.select("cx", "cy", "target_id", "ax", "ay", "bx", "by"), "near-edges")
+        loads = [df.groupBy("cx", "cy").agg(F.count("*").alias(n)) for df, n in ((open_, "places"), (known, "edges"))]
+        dense = staged(loads[0].join(loads[1], ["cx", "cy"]).where((F.col("places") > PLACES) & (F.col("edges") > EDGES)).select("cx", "cy"), "near-dense")
+        last = split == SPLITS or dense.isEmpty()
+        usual = open_ if last else open_.join(dense, ["cx", "cy"], "left_anti")
+        found.append(_closest(usual, known, ["cx", "cy"], metres).groupBy("ux", "uy", "bound").agg(F.min("target_id").alias("target_id")))
+        if last:
+            break
+        side /= 4
+        open_ = staged(open_.join(dense, ["cx", "cy"], "left_semi").withColumns({"px": F.col("cx"), "py": F.col("cy"), "cx": at("ux", side), "cy": at("uy", side)}), "near-places")
+        middle = lambda c: (F.col(c) + 0.5) * F.lit(side)
+        parts = open_.select("px", "py", middle("cx").alias("ux"), middle("cy").alias("uy")).distinct()
+        diagonal = side * 2**0.5 * (1 + 1e-9) + 1e-6
+        known = _closest(parts, known.withColumnsRenamed({"cx": "px", "cy": "py"}), ["px", "py"], metres + diagonal, diagonal)
+        known = known.withColumns({"cx": at("ux", side), "cy": at("uy", side)})
+        open_ = open_.drop("px", "py")
+    best = reduce(DataFrame.unionByName, found).select(F.col("ux").alias("x"), F.col("uy").alias("y"), "target_id", "bound")
+    return points.join(best, ["x", "y"]).select("feature_id", "target_id", F.col("bound").alias("distance_m"))
+
+
+def nearest_shapes(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
+    """As nearest_within, for shapes in metres."""
+    if left.schema["shape"].metadata.get("shape") != "point":
+        return _best(shape_hits_within(left, right, metres))
+    points = left.select("feature_id", F.col("shape.xmin").alias("x"), F.col("shape.ymin").alias("y"))
+    hits = nearest_edges(points, _edges(right, "target_id"), metres)
+    return _best(hits if _thin(right) else hits.unionByName(_kernel_hits(left, right, metres)))
 
 
 def shape_pairs_within(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
@@ -207,12 +280,12 @@ def pairs_within(left: DataFrame, right: DataFrame, distance: float) -> DataFram
 
 def nearest_within(df: DataFrame, ref: DataFrame, metres: float, meridian: float | None = None, more: list[DataFrame] | None = None) -> DataFrame:
     """(feature_id, target_id, distance_m): each feature's nearest target, the smaller target_id of equals."""
-    place, meet = _metric(df, ref)
+    place, nearest = _metric(df, ref)
     meridian = zone([df, ref, *(more or [])], meridian)
     left = place(df, [ref, *(more or [])], "feature_id", meridian)
     right = place(ref, [df, *(more or [])], "target_id", meridian)
-    if meet is not pairs_within:
-        return _best(meet(left, right, metres))
+    if nearest is nearest_shapes:
+        return nearest_shapes(left, right, metres)
     return nearest_points(staged(left, "near-features"), staged(right, "near-targets"), metres)
 
 
@@ -236,8 +309,8 @@ def nearest_points(left: DataFrame, right: DataFrame, metres: float) -> DataFram
 
 
 def _metric(df: DataFrame, ref: DataFrame) -> tuple[Callable[..., DataFrame], Callable[..., DataFrame]]:
-    """How to bring both to metres, and how to pair them."""
-    return (_placed, pairs_within) if _is_points(df) and _is_points(ref) else (_shapes, shape_hits_within)
+    """How to bring both to metres, and how to find each feature's nearest target."""
+    return (_placed, nearest_points) if _is_points(df) and _is_points(ref) else (_shapes, nearest_shapes)
 
 
 def _best(met: DataFrame) -> DataFrame:
@@ -281,14 +354,13 @@ def nearest_n(df: DataFrame, ref: DataFrame, count: int, where: Where | None = N
     reason = F.concat(F.lit("נבחר כאחת הישויות הקרובות ביותר; המרחק מישות הייחוס הוא "), _rounded(F.col("distance_m")), F.lit(" מ׳."))
     if df.isEmpty() or ref.isEmpty():
         return _enriched(df.limit(0), ref, nearest_within(df.limit(0), ref, radius, meridian), reason)
-    place, meet = _metric(df, ref)
+    place, nearest = _metric(df, ref)
     meridian = zone([df, ref], meridian)
     open_, targets = staged(place(df, [ref], "feature_id", meridian), "nearest-open"), staged(place(ref, [df], "target_id", meridian), "nearest-targets")
     rounds: list[DataFrame] = []
     found = 0
     while True:
-        found_now = nearest_points(open_, targets, radius) if meet is pairs_within else _best(meet(open_, targets, radius))
-        rounds.append(staged(found_now, "nearest-found"))
+        rounds.append(staged(nearest(open_, targets, radius), "nearest-found"))
         last = rounds[-1].count()
         found += last
         if found >= count or radius > 4e7:

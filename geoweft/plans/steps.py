@@ -23,6 +23,7 @@ from geoweft.functions.geodesy import metric_xy, segment_distance_sql
 from geoweft.functions.geometry import GEOMETRY
 from geoweft.operators import filters, moving, proximity, ranking, topology
 from geoweft.operators.filters import boundary_edges
+from geoweft.session import staged
 from geoweft.sources import catalog as catalogs
 
 Step = dict[str, Any]
@@ -118,7 +119,7 @@ def _shapes_near_boundary(df: DataFrame, boundary: dict[str, Any], metres: float
     meridian = ((boundary["xmin"] + boundary["xmax"]) / 2 + 180) // 6 * 6 - 177
     area = df.sparkSession.createDataFrame([(0, boundary)], T.StructType([T.StructField("target_id", T.LongType()), T.StructField("geom", GEOMETRY)]))
     key = "feature_id" if "feature_id" in df.columns else "target_id"
-    near = proximity.shapes_near_one(boxed, area, metres, key, meridian).select(F.col(key).alias("_near_id"))
+    near = staged(proximity.shapes_near_one(boxed, area, metres, key, meridian).select(F.col(key).alias("_near_id")), "near-boundary")
     return boxed.join(near, F.col(key) == F.col("_near_id"), "left_semi")
 
 

@@ -70,3 +70,28 @@ def test_points_meet_lines_and_lines_a_boundary_without_python(spark):
     for found in (proximity.near(points, lines, 150, meridian=33.0), proximity.shapes_near_one(lines, area, 150, "target_id", 33.0)):
         plan = found._jdf.queryExecution().toString()
         assert "Arrow" not in plan and "Python" not in plan and found.count() == 3
+
+
+def test_dense_places_and_lines_do_not_make_all_pairs(spark, monkeypatch):
+    """Copies of places and lines count once, cells where many of them meet are split, and the nearest line is that of brute force."""
+    seen = []
+    real = proximity._closest
+
+    def counting(units, edges, cells, *args):
+        seen.append(units.join(edges, cells).count())
+        return real(units, edges, cells, *args)
+
+    monkeypatch.setattr(proximity, "_closest", counting)
+    monkeypatch.setattr(proximity, "EDGES", 8)
+    at = lambda k, wide: 34.75 + (F.xxhash64(F.col("id") % 300, F.lit(k)) % 1000).cast("double") * wide / 1000
+    points = spark.range(3000).select(F.col("id").alias("feature_id"), at(1, 0.003).alias("lon"), (at(2, 0.003) - 2.7).alias("lat")).localCheckpoint()
+    lines = spark.range(1500).select((F.col("id") + 1).alias("target_id"), line_geometry(at(3, 0.01), at(4, 0.01) - 2.7, at(5, 0.01), at(6, 0.01) - 2.7).alias("geom", metadata=LINES)).localCheckpoint()
+    got = {r.feature_id: (r.target_id, r.distance_m) for r in proximity.nearest_within(points, lines, 150, 33.0).collect()}
+    p = proximity._shapes(points.where("feature_id < 300"), [], "feature_id", 33.0).collect()
+    t = proximity._shapes(lines.where("target_id <= 300"), [], "target_id", 33.0).collect()
+    for a in p:
+        d, best = min((distance(a.shape.asDict(True), b.shape.asDict(True)), b.target_id) for b in t)
+        assert (a.feature_id in got) == (d <= 150)
+        for k in range(a.feature_id, 3000, 300) if d <= 150 else ():
+            assert got[k][0] == best and abs(got[k][1] - d) < 1e-9
+    assert len(seen) > 2 and sum(seen) < 300 * 300
